@@ -84,4 +84,42 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id
 FROM w LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
 """
 
-SQL = {"op3_quality_cascade": OP3, "op4_wu_manber": OP4, "op5_line_dedup": OP5, "op10_minhash_tensor": OP10}
+_KINDS = [
+  ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""),
+  ("access", "AKIA[A-Z0-9]{12,}"),
+  ("hex", "[0-9a-f]{32,}"),
+  ("ident", r"""(?i)(?:user_?name|user|login|client_?id|account_?id|access_?key_?id)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9@._-]{3,}"""),
+  ("part", "[A-Za-z0-9+/]{24,}"),
+  ("endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]{1,5})?|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?::[0-9]{1,5})?"),
+]
+_MATCHES = " UNION ALL ".join(
+    f"SELECT r, doc_id, {k} AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(string_split_regex(text, '{p}')[:-2]) AS gap, unnest(range(len(regexp_extract_all(text, '{p}')))) AS i FROM d" for k, (_, p) in enumerate(_KINDS)
+)
+
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), m AS ({_MATCHES}
+), placed AS (
+  SELECT r, kind, m, sum(length(gap) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS finish FROM m
+), ok AS (
+  SELECT r, kind, finish::BIGINT AS finish, (finish - length(m))::BIGINT AS begin FROM placed
+  WHERE CASE kind WHEN 0 THEN length(regexp_extract(m, '{_KINDS[0][1]}', 2)) >= 8
+    WHEN 4 THEN regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') ELSE true END
+), near AS (
+  SELECT *, kind IN (0, 1, 2) AS strong,
+    coalesce(begin - max(finish) FILTER (WHERE kind IN (1, 3)) OVER up <= 160, false) OR coalesce(min(begin) FILTER (WHERE kind IN (1, 3)) OVER down - finish <= 160, false) AS by_ident,
+    coalesce(begin - max(finish) FILTER (WHERE kind IN (0, 2, 4)) OVER up <= 160, false) OR coalesce(min(begin) FILTER (WHERE kind IN (0, 2, 4)) OVER down - finish <= 160, false) AS by_secret,
+    coalesce(max(finish) FILTER (WHERE kind < 3) OVER up > begin, false) OR coalesce(min(begin) FILTER (WHERE kind < 3) OVER down < finish, false) AS covered
+  FROM ok WINDOW up AS (PARTITION BY r ORDER BY begin, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), down AS (PARTITION BY r ORDER BY begin DESC, kind DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), said AS (
+  SELECT r, kind, begin, ['assign', 'access', 'hex', 'ident', 'part', 'endpoint'][kind + 1] || ':' || begin || ':' || finish AS s FROM near
+  WHERE strong OR NOT covered AND CASE kind WHEN 4 THEN by_ident WHEN 3 THEN by_secret ELSE by_ident AND by_secret END
+), g AS (
+  SELECT r, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS b, count(*) FILTER (WHERE kind = 2) AS c,
+    string_agg(s, ',' ORDER BY begin, kind) FILTER (WHERE kind < 3) AS base, string_agg(s, ',' ORDER BY begin, kind) AS spans FROM said GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""
+
+SQL = {"op3_quality_cascade": OP3, "op4_wu_manber": OP4, "op5_line_dedup": OP5, "op9_credential_links": OP9, "op10_minhash_tensor": OP10}
