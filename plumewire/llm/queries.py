@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, minhash, mixing, quality, secrets
+from . import decontam, linededup, minhash, mixing, quality, secrets, tokenfile
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 #: Shares of the domains that the mixing query aims at.
 MIX = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
 
@@ -39,4 +43,4 @@ def op10_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.cluster(read_table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_cascade, op4_wu_manber, op5_line_dedup, op8_soft_mixing, op9_credential_links, op10_minhash_tensor)}
+QUERIES = {f.__name__: f for f in (op3_quality_cascade, op4_wu_manber, op5_line_dedup, op7_token_codes, op8_soft_mixing, op9_credential_links, op10_minhash_tensor)}
