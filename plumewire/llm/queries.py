@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, minhash, mixing, quality, secrets, tokenfile
+from . import decontam, langid, linededup, minhash, mixing, quality, secrets, tokenfile
 from .common import read_table
 
 
@@ -22,6 +22,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    models = langid.train(docs, ~langid.held_out(F.col("doc_id")))
+    found = langid.identify(docs, models)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -43,4 +50,4 @@ def op10_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.cluster(read_table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_cascade, op4_wu_manber, op5_line_dedup, op7_token_codes, op8_soft_mixing, op9_credential_links, op10_minhash_tensor)}
+QUERIES = {f.__name__: f for f in (op3_quality_cascade, op4_wu_manber, op5_line_dedup, op6_language_id, op7_token_codes, op8_soft_mixing, op9_credential_links, op10_minhash_tensor)}
