@@ -7,9 +7,9 @@ A pair with similarity s meets in some table with probability (1 - (1 - s**rows)
 the defaults.  Every candidate link is confirmed on the full sets.
 
 Copies (equal sets) are one class from the start.  In each bucket every class is compared with the smallest
-one; classes that this leaves in different components are then compared with each other, in rounds, until no
-bucket holds an untested pair from two components.  Links inside a component need no test, so a large group of
-near copies costs a number of tests in proportion to its size, and no candidate is dropped.
+one.  Links inside a component need no further test; what is left are buckets whose classes lie in different
+components.  Small ones are compared pair by pair.  The classes of large ones are compared in pairs of bounded
+blocks, which give back links and not candidates, so no candidate is dropped and none of them is written out.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer
 words than ``width`` is one shingle; repeated rows are copies; rows with a null doc_id are linked like others
@@ -25,14 +25,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import batch, bound_batches, mix64, stage, text_bytes
 
 WIDTH, PERCENT = 5, 80
 SIDE, ROWS = 8, 2
-#: Buckets of at most so many classes are compared pair by pair; larger ones by pivots, so many a round at first.
-SMALL, PIVOTS = 24, 8
+#: Buckets of at most so many classes are compared pair by pair; larger ones in blocks of about so many shingles.
+SMALL, BLOCK = 24, 200_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -185,36 +184,69 @@ def _link(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     sets = stage(_sets(docs, buckets.select("rep").distinct(), width), "sets")
     edges = stage(_confirm(tested, sets, percent), "links")
     labels = stage(components(edges), "labels")
-    left = buckets.where("rep <> pivot").select("key", "rep", "n")
-    pivots_a_round = PIVOTS
-    while True:
-        left = left.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        mixed = left.groupBy("key").agg(F.count("*").alias("many"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "many")
-        left = stage(left.join(mixed, "key"), "left")
-        if left.isEmpty():
-            return labels
-        # Pivots of large buckets: classes of the rarest components first, as those of the common one need no test among themselves.
-        sizes = left.where(f"many > {SMALL}").groupBy("key", "label").agg(F.count("*").alias("alike"))
-        large = left.where(f"many > {SMALL}").join(sizes, ["key", "label"])
-        order = Window.partitionBy("key").orderBy("alike", "rep")
-        chosen = large.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots_a_round).select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-        chosen = stage(chosen, "pivots")
-        small = left.where(f"many <= {SMALL}")
-        other = small.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-        near = (F.col("label") != F.col("bl")) & (100 * F.least("n", "bn") >= percent * F.greatest("n", "bn"))
-        pairs = small.join(other, "key").where(near & (F.col("rep") > F.col("b"))).unionByName(large.drop("alike").join(chosen, "key").where(near & (F.col("rep") != F.col("b"))))
-        pairs = pairs.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
-        fresh = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
-        found = stage(_confirm(fresh, sets, percent), "links")
-        left = stage(left.where(f"many > {SMALL}").join(chosen.select("key", F.col("b").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n"), "left")
-        if not found.isEmpty():
-            named = labels.withColumnRenamed("node", "a").withColumnRenamed("label", "x")
-            more = found.join(named, "a", "left").join(named.withColumnRenamed("a", "b").withColumnRenamed("x", "y"), "b", "left")
-            edges = more.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-            ties = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(edges)
-            labels = stage(components(ties), "labels")
-        pivots_a_round *= 2
+    # What is left to test: classes of one bucket in different components.
+    left = buckets.where("rep <> pivot").select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = left.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "many", "head")
+    left = stage(left.join(mixed, "key"), "left")
+    small = left.where(f"many <= {SMALL}")
+    other = small.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
+    near = (F.col("label") != F.col("bl")) & (100 * F.least("n", "bn") >= percent * F.greatest("n", "bn")) & (F.col("rep") > F.col("b"))
+    pairs = small.join(other, "key").where(near).select(F.col("rep").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
+    found = stage(_confirm(pairs, sets, percent).unionByName(_resolve(left.where(f"many > {SMALL}"), sets, percent)), "links")
+    if found.isEmpty():
+        return labels
+    ties = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)
+    return stage(components(ties), "labels")
+
+
+def _resolve(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of large mixed buckets.  Buckets that share classes form a group; its classes are dealt
+    into blocks of bounded size, and each pair of blocks is one task, which counts common shingles over an inverted
+    index and gives back a spanning set of links only."""
+    groups = components(large.select(F.col("rep").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("team"))
+    heads = groups.select(F.col("team").alias("rep"), "team").distinct()
+    members = stage(groups.unionByName(heads).join(sets, "rep"), "members")
+    blocks = members.groupBy("team").agg(F.ceil(F.sum(F.length("items")) / (8 * BLOCK)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "team").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("team", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "rep", "items")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(table: pa.Table) -> pa.Table:
+        rep = table["rep"].to_pylist()
+        sets_ = [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()]
+        block, j = np.array(table["x"].to_pylist()), table["j"][0].as_py()
+        size = np.array([len(x) for x in sets_])
+        _, shingle = np.unique(np.concatenate(sets_), return_inverse=True)
+        member = np.repeat(np.arange(len(rep)), size)
+        order = np.argsort(shingle, kind="stable")
+        posting = member[order]
+        first = np.searchsorted(shingle[order], np.arange(shingle.max() + 1))
+        last = np.append(first[1:], len(order))
+        at = np.cumsum(size) - size
+        root = list(range(len(rep)))
+
+        def find(u: int) -> int:
+            while root[u] != u:
+                root[u] = u = root[root[u]]
+            return u
+
+        out: list[list[int]] = [[], []]
+        for u in range(len(rep)):
+            mine = shingle[at[u] : at[u] + size[u]]
+            common = np.bincount(np.concatenate([posting[first[m] : last[m]] for m in mine]), minlength=len(rep))
+            ok = 100 * common >= percent * (size + size[u] - common)
+            ok[: u + 1] = False
+            if table["i"][0].as_py() != j:
+                ok &= block != block[u]
+            for v in np.flatnonzero(ok).tolist():
+                x, y = find(u), find(v)
+                if x != y:
+                    root[x] = y
+                    out[0].append(max(rep[u], rep[v]))
+                    out[1].append(min(rep[u], rep[v]))
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+
+    return dealt.groupBy("team", "i", "j").applyInArrow(links, "a long, b long")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, side: int = SIDE, rows: int = ROWS) -> DataFrame:

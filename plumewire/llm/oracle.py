@@ -1,5 +1,7 @@
 """DuckDB SQL for the numbered queries that SQL can express."""
 
+from .warc import CLEANING, REFERENCES, SPACING
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3 = r"""
@@ -122,4 +124,34 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_a
 FROM d LEFT JOIN g USING (r)
 """
 
-SQL = {"op3_quality_cascade": OP3, "op4_wu_manber": OP4, "op5_line_dedup": OP5, "op9_credential_links": OP9, "op10_minhash_tensor": OP10}
+def _warc() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    text = "body"
+    for pattern, to in CLEANING:
+        text = f"regexp_replace({text}, {q(pattern)}, {q(to)}, 'g')"
+    for name, to in REFERENCES:
+        text = f"replace({text}, {q(name)}, {q(to)})"
+    for pattern, to in SPACING:
+        text = f"regexp_replace({text}, {q(pattern)}, {q(to)}, 'g')"
+    uuid = lambda kind, x: f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5('{kind}|' || {x}) AS h))"
+    crlf = "chr(13) || chr(10)"
+    return f"""
+WITH r AS (
+  SELECT {uuid("response", "coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')")} AS refers_to, coalesce(url, '') AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, coalesce(html, '') AS body FROM pages
+), d AS (
+  SELECT *, 'sha256:' || sha256(body) AS payload_digest FROM r
+), b AS (
+  SELECT 'metadata' AS warc_type, {uuid("metadata", "refers_to")} AS record_id, refers_to, target_uri, warc_date, 'application/warc-fields' AS content_type, payload_digest,
+    'refers-to: ' || refers_to || {crlf} || 'payload-digest: ' || payload_digest || {crlf}
+    || 'title: ' || trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1), '\\s+', ' ', 'g')) || {crlf}
+    || 'outlinks: ' || len(regexp_extract_all(body, '(?i)<a\\s[^>]*href\\s*=')) || {crlf}
+    || 'source-Content-Type: text/html; charset=utf-8' || {crlf} || 'source-Content-Length: ' || strlen(body) AS block
+  FROM d
+  UNION ALL
+  SELECT 'conversion', {uuid("conversion", "refers_to")}, refers_to, target_uri, warc_date, 'text/plain; charset=utf-8', payload_digest, {text} FROM d
+)
+SELECT *, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest FROM b
+"""
+
+
+SQL = {"op2_warc_derivatives": _warc(), "op3_quality_cascade": OP3, "op4_wu_manber": OP4, "op5_line_dedup": OP5, "op9_credential_links": OP9, "op10_minhash_tensor": OP10}

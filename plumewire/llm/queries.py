@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, minhash, mixing, quality, secrets, tokenfile
+from . import decontam, html_extract, langid, linededup, minhash, mixing, quality, secrets, tokenfile, warc
 from .common import read_table
 
 
+def op1_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.texts(read_table(spark, sf_dir, "pages"))
+
+
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(read_table(spark, sf_dir, "pages")))
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.measure(docs).drop("rejected_by")
@@ -50,4 +58,4 @@ def op10_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.cluster(read_table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_cascade, op4_wu_manber, op5_line_dedup, op6_language_id, op7_token_codes, op8_soft_mixing, op9_credential_links, op10_minhash_tensor)}
+QUERIES = {f.__name__: f for f in (op1_block_labeller, op2_warc_derivatives, op3_quality_cascade, op4_wu_manber, op5_line_dedup, op6_language_id, op7_token_codes, op8_soft_mixing, op9_credential_links, op10_minhash_tensor)}
