@@ -78,6 +78,18 @@ def text_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("binary").alias("body"))
 
 
+#: Ids that a join may broadcast (16 MB of them); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` with (left_semi) or without (left_anti) the doc_ids of ``ids``, a stage table with one column
+    ``doc_id``.  The texts stay where they are while the ids are few, which is checked by their count."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = ids.withColumnRenamed("doc_id", "__pw_id")
+    return rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == F.col("__pw_id"), how)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, mix64, stage, text_bytes
+from .common import batch, bound_batches, by_ids, mix64, stage, text_bytes
 
 WIDTH, PERCENT = 5, 80
 SIDE, ROWS = 8, 2
@@ -112,9 +112,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for b in batches:
             yield batch(schema, b.column(0), [shingle_set(x, width).tobytes() for x in b.column(1).to_pylist()])
 
-    bodies = text_bytes(docs).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    # Two rows of one doc_id with different texts: the class's digest tells which of them stands for it.
-    return bodies.mapInArrow(run, "rep long, items binary")
+    return by_ids(text_bytes(docs), stage(wanted.withColumnRenamed("rep", "doc_id"), "wanted"), "left_semi").mapInArrow(run, "rep long, items binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -252,6 +250,5 @@ def _resolve(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, side: int = SIDE, rows: int = ROWS) -> DataFrame:
     """The input rows that stand for their component, one row each, with their own columns.  Rows whose set is
     empty or whose doc_id is null are linked with nothing and stay."""
-    found = cluster(docs, width, percent, side, rows).select(F.col("doc_id").alias("__pw_doc"), "component_id")
-    gone = found.where("__pw_doc <> component_id").select("__pw_doc").distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__pw_doc"), "left_anti")
+    gone = stage(cluster(docs, width, percent, side, rows).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return by_ids(docs, gone, "left_anti")

@@ -137,12 +137,14 @@ def fit(held: DataFrame, targets: dict[int, float], steps: int = STEPS, toleranc
     entry = lambda i, j: gram[f"g{max(i, j)}_{min(i, j)}"] / math.sqrt(scale[i] * scale[j])
     bound = max(sum(abs(entry(i, j)) for j in targets) for i in targets)  # at least the largest eigenvalue
     taken: list[list[float]] = []
+    last: dict[int, float] = {}
     for _ in range(steps):
         r = rate_after(taken, F.col("posterior"))
         now = held.select(r.alias("r"), "tokens", "posterior").agg(*(F.sum(F.col("r") * n * p[i]).alias(f"t{i}") for i in targets)).first()
         miss = {i: now[f"t{i}"] - t for i, t in targets.items()}
-        if max(abs(m) for m in miss.values()) <= tolerance * gram.n:
-            break
+        if max(abs(m) for m in miss.values()) <= tolerance * gram.n or last and max(abs(miss[i] - last[i]) for i in miss) <= tolerance * gram.n / 10:
+            break  # met, or as near as nonnegative rates come
+        last = miss
         taken.append([miss[i] / scale[i] / bound if i in miss else 0.0 for i in range(k)])
     return taken
 
