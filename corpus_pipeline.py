@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumewire.llm import decontam, minhash, quality
+from plumewire.llm import decontam, minhash, mixing, quality, tokenfile
 from plumewire.llm.common import read_table, shared_dir
 
 
@@ -25,7 +25,27 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontam.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("decontamination", decontamination)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents are thinned out to a target of none; clean ones keep all of their tokens."""
+    return mixing.thin(docs, mixing.quality_domains(read_table(spark, sf_dir, "labels")), FACTORS)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids written in directly addressable codes; one row a document, read back from them."""
+    return tokenfile.round_trip(docs)
+
+
+#: Expected tokens of the domains after mixing, as a multiple of those before.  Clean stays a little above one, so that
+#: the fitted rate of a clean document is not below one.
+FACTORS = {"clean": 1.02, "toxic": 0.0}
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source mixing", source_mixing),
+    ("token output", token_output),
+]
 
 #: Near-duplicate groups, the fitted rates and the token files have no SQL form.
 ORACLE_SQL = None
