@@ -1,10 +1,5 @@
 """Named queries over the provided tables, each with SQL text for comparison."""
 
-from pyspark.sql import DataFrame, SparkSession
+from .queries import ORACLE_SQL, QUERIES, flagship
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
