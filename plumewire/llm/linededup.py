@@ -53,7 +53,7 @@ class MinimalPerfectHash:
 
     @staticmethod
     def _slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return mix64(keys + np.uint64(0x9E3779B97F4A7C15) * np.uint64(level + 1)) % np.uint64(size)
+        return mix64(keys + np.uint64(0x9E3779B97F4A7C15 * (level + 1) % (1 << 64))) % np.uint64(size)
 
     @classmethod
     def build(cls, keys: np.ndarray) -> MinimalPerfectHash:

@@ -68,8 +68,8 @@ def _normal(scores: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, vocabulary: int = VOCABULARY, min_support: int = MIN_SUPPORT, min_lift: float = MIN_LIFT) -> Classifier:
-    """labels: doc_id, domain.  Words count that some domain holds ``min_lift`` times as often as all together, and
-    ``MIN_Z`` standard deviations more often; common words would only tell long texts from short ones.  A word's support counts families of near copies (documents with one smallest
+    """labels: doc_id, domain.  Words count that mark a domain of at most two thirds of the documents: it holds ``min_lift``
+    times as many of the word's documents as of all, and ``MIN_Z`` standard deviations more; common words would only tell long texts from short ones.  A word's support counts families of near copies (documents with one smallest
     hash of three words), not documents, so a text that was copied often does not vouch for its own words."""
     given = labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     n = given.count()
@@ -91,11 +91,15 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, vocabula
     support = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0))
     # Mutual information between the word and the domain, as far as the word's presence goes.
     share = support / total
-    surplus = [(F.col(f"c{i}") - support * (sizes[d] / total)) / F.sqrt(support * (sizes[d] / total) + 0.5) for i, d in enumerate(domains)]
-    clear = F.greatest(*surplus) if len(rate) > 1 else F.lit(0.0)
-    lift = F.greatest(*(x / share for x in rate)) if len(rate) > 1 else rate[0] / share
+    # Markers of a domain: its share of the word's documents is min_lift times its share of all, or nine in ten.
+    marks = F.lit(False)
+    for i, d in enumerate(domains):
+        part = sizes[d] / total
+        if part <= 2 / 3:
+            clear = (F.col(f"c{i}") - support * part) / F.sqrt(support * part + 0.5) >= MIN_Z
+            marks = marks | (F.col(f"c{i}") / support >= min(min_lift * part, 0.9)) & clear
     gain = sum((F.lit(sizes[d] / total) * rate[i] * F.log(rate[i] / share) for i, d in enumerate(domains)), F.lit(0.0))
-    best = counted.where((support >= min_support) & (lift >= min_lift) & (clear >= MIN_Z)).withColumn("gain", F.round(gain, 9)).orderBy(F.desc("gain"), "word").limit(vocabulary).collect()
+    best = counted.where((support >= min_support) & marks).withColumn("gain", F.round(gain, 9)).orderBy(F.desc("gain"), "word").limit(vocabulary).collect()
     base = [math.log(sizes[d] / total) for d in domains]
     weights = {}
     for r in best:

@@ -62,7 +62,7 @@ def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     key = ["doc_id", "h"]
     before = Window.partitionBy(*key, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     finish = F.sum(F.col("gap") + F.col("len")).over(before)
-    placed = flat.withColumn("finish", finish).withColumn("begin", F.col("finish") - F.col("len")).where("ok or kind is null")
+    placed = flat.withColumn("finish", finish).withColumn("begin", F.col("finish") - F.col("len")).withColumn("kind", F.when(F.col("ok"), F.col("kind")))  # rows stay, so that no document is lost
     kind = {k: F.col("kind") == i for i, k in enumerate(KINDS)}
     is_ident = kind["access"] | kind["ident"]
     is_secret = kind["assign"] | kind["hex"] | kind["part"]

@@ -1,0 +1,37 @@
+"""Registered queries and the pipeline on the smallest tables."""
+
+import duckdb
+import pytest
+
+from plumewire.llm import oracle, queries
+
+TABLES = "documents pages benchmark labels".split()
+
+
+@pytest.mark.parametrize("name", sorted(oracle.SQL))
+def test_against_sql(spark, small, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    want = con.sql(oracle.SQL[name])
+    got = queries.QUERIES[name](spark, small)
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = sorted(repr(r) for r in want.select(*(f'"{c}"' for c in columns)).fetchall())
+    assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == rows
+
+
+def test_pipeline(spark, small):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    n = docs.count()
+    out = P.run(spark, small)
+    got = out.collect()
+    assert 0 < len(got) < n
+    assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert len({r.doc_id for r in got}) == len(got)
+    ordered = sorted(got, key=lambda r: r.doc_id)
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(ordered, ordered[1:]))
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, docs, small).columns == docs.columns
