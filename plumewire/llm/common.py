@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -38,6 +39,17 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def only_cache(name: str = "", clear: Callable[[], None] | None = None) -> None:
+    """Called as an operator's task starts: what other operators keep in this Python worker goes."""
+    for other in [k for k in _caches if k != name]:
+        _caches.pop(other)()
+    if clear:
+        _caches[name] = clear
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough that a batch of very long texts fits in a Python worker."""
     ship_package(spark)

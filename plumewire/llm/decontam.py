@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, stage, text_bytes
+from .common import batch, bound_batches, only_cache, stage, text_bytes
 
 WINDOW = 10
 #: Text of the benchmark items searched in one pass.
@@ -110,6 +110,7 @@ def _pass(docs: DataFrame, block: list, window: int) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         tables = WuManber(held.value, window)
         for b in batches:
             out: list[list] = [[], [], [], []]
@@ -163,6 +164,7 @@ def _pass_keyed(keyed: DataFrame, block: list, window: int) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         tables = WuManber(held.value, window)
         for b in batches:
             out: list[list] = [[], [], [], []]
@@ -200,6 +202,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            only_cache()
             tables = WuManber(held.value, window)
             for b in batches:
                 clean = [next(tables.search(words_of(x)), None) is None for x in b.column(at).cast(pa.binary()).to_pylist()]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches
+from .common import batch, bound_batches, only_cache
 
 PATH_DIM, WORD_DIM, EXTRA_DIM, HIDDEN = 96, 32, 8, 24
 TRAIN_PAGES, EPOCHS = 700, 8
@@ -465,6 +465,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("blocks", pa.list_(block))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         labels = Labeller()
         labels.p = held.value
         for b in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, mix64
+from .common import batch, bound_batches, mix64, only_cache
 
 ORDER, MAX_DOCS = 5, 400
 #: Share of a language's own texts that its rejection threshold lets pass.
@@ -245,6 +245,7 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("languages", _scorers.clear)
         key = held.id if hasattr(held, "id") else id(held)
         m = held.value
         if m is not None and key not in _scorers:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, mix64, shuffle_width, stage, text_bytes
+from .common import batch, bound_batches, mix64, only_cache, shuffle_width, stage, text_bytes
 
 SPACE = b" \t\n\v\f\r"
 MIN_CHARS = 10
@@ -103,6 +103,7 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         digest = xxhash.xxh3_128_digest
         for b in batches:
             ids, raw = [], []
@@ -189,6 +190,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         digest = xxhash.xxh3_128_digest
         for b in batches:
             n_lines, n_dropped, texts = [], [], []

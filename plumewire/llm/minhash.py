@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, by_ids, mix64, stage, text_bytes
+from .common import batch, bound_batches, by_ids, mix64, only_cache, stage, text_bytes
 
 WIDTH, PERCENT = 5, 80
 SIDE, ROWS = 8, 2
@@ -41,7 +41,7 @@ class _WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000 and len(word) < 40:
+        if len(self) < 200_000 and len(word) < 40:
             self[word] = value
         return value
 
@@ -86,6 +86,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, side: int = SIDE, rows: int
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("words", _words.clear)
         for b in batches:
             out: list[list] = [[], [], [], []]
             for body in b.column(1).to_pylist():
@@ -109,6 +110,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("rep", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("words", _words.clear)
         for b in batches:
             yield batch(schema, b.column(0), [shingle_set(x, width).tobytes() for x in b.column(1).to_pylist()])
 
@@ -120,6 +122,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         for t in batches:
             ok = []
             for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):

@@ -35,9 +35,10 @@ FLOOR = 0.01
 
 def words(text: Column) -> Column:
     """Distinct lower-case words, and one mark for the share of symbol characters."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    marks = F.concat(F.lit("#symbols"), F.least(F.lit(9), F.floor(F.lit(20) * (F.length(lower) - F.length(F.translate(lower, "#*$%&|<>!", ""))) / F.greatest(F.length(lower), F.lit(1)))).cast("string"))
-    return F.array_append(F.array_distinct(F.split(lower, r"[^\p{L}]+")), marks)
+    text = F.coalesce(text, F.lit(""))
+    symbols = F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>!]+", ""))
+    marks = F.concat(F.lit("#symbols"), F.least(F.lit(9), F.floor(F.lit(20) * symbols / F.greatest(F.length(text), F.lit(1)))).cast("string"))
+    return F.array_append(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), marks)
 
 
 @dataclass
@@ -46,6 +47,11 @@ class Classifier:
     base: list[float]  # log prior plus the log chance of no known word at all
     weights: dict[str, list[float]] = field(default_factory=dict)
 
+    def unmarked(self) -> list[float]:
+        """The posterior of a document without any known word."""
+        grown = [math.exp(b - max(self.base)) for b in self.base]
+        return [g / sum(grown) for g in grown]
+
     def posterior(self, text: Column) -> Column:
         """array<double> in the order of ``domains``; no shuffle, the model is a literal."""
         scores = F.array(*map(F.lit, self.base))
@@ -121,8 +127,8 @@ def rate_after(steps: list[list[float]], posterior: Column) -> Column:
         return F.lit(1.0)
     k = len(steps[0])
     taken = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-    move = lambda c: sum((posterior[i] * c[i] for i in range(1, k)), posterior[0] * c[0])
-    return F.aggregate(taken, F.lit(1.0), lambda r, c: F.greatest(F.lit(0.0), r - move(c)))
+    move = lambda p, c: sum((p[i] * c[i] for i in range(1, k)), p[0] * c[0])
+    return _let(posterior, lambda p: F.aggregate(taken, F.lit(1.0), lambda r, c: F.greatest(F.lit(0.0), r - move(p, c))))
 
 
 def fit(held: DataFrame, targets: dict[int, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
@@ -179,11 +185,15 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> Data
 
 def thin(docs: DataFrame, labels: DataFrame, factors: dict[str, float]) -> DataFrame:
     """The input rows, sampled without repetition: each domain of ``factors`` is to have so many times the expected
-    tokens that it has now; a document stays with probability min(1, rate)."""
+    tokens that it has now; a document stays with probability min(1, rate).  A domain that is to shrink shrinks by what
+    stands out from documents without any marker, so that a classifier that can tell nothing drops nothing."""
     model = learn(docs, labels)
     held = stage(members(docs, model), "members")
     now = present(held, model)
-    targets = {i: now[d] * factors[d] for i, d in enumerate(model.domains) if d in factors}
+    rest = model.unmarked()
+    same = held.agg(*(F.sum(F.col("tokens") * F.least(F.col("posterior")[i], F.lit(rest[i]))).alias(f"t{i}") for i in range(len(rest)))).first()
+    floor = {d: (same[f"t{i}"] or 0.0) if factors.get(d, 1.0) < 1 else 0.0 for i, d in enumerate(model.domains)}
+    targets = {i: floor[d] + (now[d] - floor[d]) * factors[d] for i, d in enumerate(model.domains) if d in factors}
     taken = fit(held, targets) if targets else []
     return docs.where(F.coalesce(draw(F.col("doc_id"), rate_after(taken, model.posterior(F.col("text")))) >= 1, F.lit(True)))
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, mix64, shuffle_width, stage, text_bytes
+from .common import batch, bound_batches, mix64, only_cache, shuffle_width, stage, text_bytes
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 #: Ids of a segment, about; a longer document is a segment of its own.
@@ -61,7 +61,7 @@ class Encoder:
     """Ids of whole texts.  The pieces of many texts are hashed together (64 bits), distinct ones are looked up or
     encoded, and the ids are gathered from one array."""
 
-    def __init__(self, path: str, room: int = 2_000_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -261,6 +261,7 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, p
     kind = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("tokens", _encoders.clear)
         coder = encoder(path or tokenizer_path(vocabulary))
         end = np.array([end_id], coder.kind).tobytes()
         pack = zstandard.ZstdCompressor(level=1).compress
