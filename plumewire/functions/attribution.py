@@ -27,6 +27,11 @@ _STOP = r"\s(?:que|quien|quienes|donde|cuando|para|porque|mientras|tras|y el|y l
 MOST = 12
 
 
+def _named(kind: str):
+    key = lambda s: F.array_join(F.slice(F.split(F.regexp_replace(s, r"^(?:el|la|los|las|un|una|lo)\s+", ""), " "), 1, 4), " ")
+    return lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("source"), key(s).alias("key"))
+
+
 def attributions(*parts: Column) -> Column:
     """array<struct(kind, source, key)> over the parts in order (title, subtitle, body); one for each kind and first four
     words of the source, ``MOST`` at most."""
@@ -36,7 +41,7 @@ def attributions(*parts: Column) -> Column:
         for kind, pattern in PATTERNS:
             hits = F.regexp_extract_all(folded, F.lit(pattern), F.lit(1 if _WHO in pattern else 0))
             source = lambda s: F.array_join(F.slice(F.split(F.trim(F.regexp_replace(F.regexp_replace(s, _STOP, ""), r"\s+", " ")), " "), 1, 7), " ")
-            found.append(F.transform(F.transform(hits, source), lambda s, kind=kind: F.struct(F.lit(kind).alias("kind"), s.alias("source"), F.array_join(F.slice(F.split(F.regexp_replace(s, r"^(?:el|la|los|las|un|una|lo)\s+", ""), " "), 1, 4), " ").alias("key"))))
+            found.append(F.transform(F.transform(hits, source), _named(kind)))
     every = F.filter(F.concat(*found), lambda x: F.length(x["source"]) >= 3)
     first = F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: (y["kind"] == x["kind"]) & (y["key"] == x["key"])))
     return F.slice(first, 1, MOST)

@@ -78,11 +78,16 @@ def word_features(c: Column) -> Column:
     return with_bigrams(content_tokens(c))
 
 
+def _runs(length: Column, size: int, pick, kind: str) -> Column:
+    """``pick(start)`` for each start of a run of ``size`` in something of ``length``; none if it is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(length - size + 1, F.lit(1)))
+    return F.when(length >= size, F.transform(starts, lambda i: pick(i, size))).otherwise(F.array().cast(kind))
+
+
 def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams of the tokens, with a blank at both ends."""
     s = F.concat(F.lit(" "), F.array_join(raw_tokens(c), " "), F.lit(" "))
-    grams = [F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i, n=n: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-    return F.concat(*grams)
+    return F.concat(*(_runs(F.length(s), n, lambda i, size: F.substring(s, i, F.lit(size)), "array<string>") for n in range(low, high + 1)))
 
 
 def numbers(c: Column) -> Column:
@@ -113,7 +118,7 @@ def expressive(phrase: Column, names: Column | None = None) -> Column:
 def phrase_ngrams(c: Column, low: int = 3, high: int = 6) -> Column:
     """Distinct phrases of 3 to 6 words without stop words at their ends, with two expressive words or more."""
     tokens = raw_tokens(c)
-    grams = [F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i, n=n: F.slice(tokens, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>")) for n in range(low, high + 1)]
+    grams = [_runs(F.size(tokens), n, lambda i, size: F.slice(tokens, i, F.lit(size)), "array<array<string>>") for n in range(low, high + 1)]
     ends = F.filter(F.concat(*grams), lambda g: ~F.get(g, 0).isin(*L.STOPWORDS) & ~F.get(g, F.size(g) - 1).isin(*L.STOPWORDS))
     phrases = F.transform(ends, lambda g: F.array_join(g, " "))
     formula = "|".join(L.BOILERPLATE)
@@ -308,5 +313,4 @@ def headline_changes(old: Column, new: Column, old_sub: Column, new_sub: Column)
 def phrase_windows(c: Column, longest: int) -> Column:
     """All runs of 2 to ``longest`` tokens."""
     tokens = raw_tokens(c)
-    grams = [F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")) for n in range(2, longest + 1)]
-    return F.concat(*grams)
+    return F.concat(*(_runs(F.size(tokens), n, lambda i, size: F.array_join(F.slice(tokens, i, F.lit(size)), " "), "array<string>") for n in range(2, longest + 1)))
