@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; long texts make a row large, so this stays small.
 BATCH_ROWS = 256
+#: Bytes of such a batch, about; one longer text is a batch of its own.
+BATCH_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +53,32 @@ def only_cache(name: str = "", clear: Callable[[], None] | None = None) -> None:
         _caches[name] = clear
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the machine: an idle worker shouldn't hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable, name: str = "", clear: Callable[[], None] | None = None) -> Callable:
+    """``run`` over a task's batches, with one operator's caches at a time and freed memory given back at the end.
+    ``clear`` is a function of a module: a method of a cache would come to the worker with a copy of the cache."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache(name, clear)
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough that a batch of very long texts fits in a Python worker."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

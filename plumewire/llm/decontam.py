@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, only_cache, stage, text_bytes
+from .common import batch, bound_batches, lean, stage, text_bytes
 
 WINDOW = 10
 #: Text of the benchmark items searched in one pass.
@@ -110,7 +110,6 @@ def _pass(docs: DataFrame, block: list, window: int) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache()
         tables = WuManber(held.value, window)
         for b in batches:
             out: list[list] = [[], [], [], []]
@@ -125,7 +124,7 @@ def _pass(docs: DataFrame, block: list, window: int) -> DataFrame:
                     to.append(x)
             yield batch(arrow, b.column(0), *out)
 
-    return text_bytes(docs).mapInArrow(run, "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>")
+    return text_bytes(docs).mapInArrow(lean(run), "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -164,7 +163,6 @@ def _pass_keyed(keyed: DataFrame, block: list, window: int) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache()
         tables = WuManber(held.value, window)
         for b in batches:
             out: list[list] = [[], [], [], []]
@@ -176,7 +174,7 @@ def _pass_keyed(keyed: DataFrame, block: list, window: int) -> DataFrame:
                     to.append(x)
             yield batch(arrow, b.column(0), b.column(1), *out)
 
-    return text_bytes(keyed, F.col("__pw_h").alias("h")).select("doc_id", "h", "body").mapInArrow(run, "doc_id long, h long, n_words long, starts array<long>, ends array<long>, items array<string>")
+    return text_bytes(keyed, F.col("__pw_h").alias("h")).select("doc_id", "h", "body").mapInArrow(lean(run), "doc_id long, h long, n_words long, starts array<long>, ends array<long>, items array<string>")
 
 
 def _unite(frames):
@@ -202,11 +200,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            only_cache()
             tables = WuManber(held.value, window)
             for b in batches:
                 clean = [next(tables.search(words_of(x)), None) is None for x in b.column(at).cast(pa.binary()).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(lean(run), schema)
     return docs

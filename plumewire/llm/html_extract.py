@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, only_cache
+from .common import batch, bound_batches, lean
 
 PATH_DIM, WORD_DIM, EXTRA_DIM, HIDDEN = 96, 32, 8, 24
 TRAIN_PAGES, EPOCHS = 700, 8
@@ -465,7 +465,6 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("blocks", pa.list_(block))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache()
         labels = Labeller()
         labels.p = held.value
         for b in batches:
@@ -488,7 +487,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
             yield batch(schema, b.column(0), b.column(1), texts, kept)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, blocks array<struct<text: string, score: float>>")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, blocks array<struct<text: string, score: float>>")
 
 
 def texts(pages: DataFrame, model: Labeller | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, mix64, only_cache
+from .common import batch, bound_batches, lean, mix64
 
 ORDER, MAX_DOCS = 5, 400
 #: Share of a language's own texts that its rejection threshold lets pass.
@@ -235,37 +236,45 @@ def train(docs: DataFrame, use: Column, max_docs: int = MAX_DOCS, order: int = O
     return models
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
+
+
+def forget_scorers() -> None:
+    _scorers.clear()
+
+
+def scorer(key: str, models: Models) -> Scorer:
+    """The worker's scorer; tasks of one job share it."""
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(models)
+    return _scorers[key]
 
 
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """doc_id, lang_pred, score (posterior of the prediction), entropy, rejected."""
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(models)  # its size follows from max_docs
+    name = uuid.uuid4().hex
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache("languages", _scorers.clear)
-        key = held.id if hasattr(held, "id") else id(held)
         m = held.value
-        if m is not None and key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(m)
         for b in batches:
             docs_ = [words_of(t) for t in b.column(1).cast(pa.string()).to_pylist()]
             if m is None:
                 yield batch(schema, b.column(0), ["und"] * len(docs_), [0.0] * len(docs_), [None] * len(docs_), [True] * len(docs_))
                 continue
-            entropy = _scorers[key].entropies(docs_)
+            entropy = scorer(name, m).entropies(docs_)
             some = ~np.isnan(entropy[:, 0])
             safe = np.where(some[:, None], entropy, 0.0)
             best = safe.argmin(axis=1)
             at = np.arange(len(docs_))
             score = _posterior(safe, m.temperature)[at, best]
-            name = [m.langs[i] if ok else "und" for i, ok in zip(best.tolist(), some.tolist())]
-            yield batch(schema, b.column(0), name, np.where(some, score, 0.0), [float(e) if ok else None for e, ok in zip(safe[at, best], some)], ~some | (safe[at, best] > m.limits[best]))
+            found = [m.langs[i] if ok else "und" for i, ok in zip(best.tolist(), some.tolist())]
+            yield batch(schema, b.column(0), found, np.where(some, score, 0.0), [float(e) if ok else None for e, ok in zip(safe[at, best], some)], ~some | (safe[at, best] > m.limits[best]))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body")).mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body")).mapInArrow(lean(run, "languages", forget_scorers), "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

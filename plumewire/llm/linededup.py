@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, mix64, only_cache, shuffle_width, stage, text_bytes
+from .common import batch, bound_batches, lean, mix64, shuffle_width, stage, text_bytes
 
 SPACE = b" \t\n\v\f\r"
 MIN_CHARS = 10
@@ -103,7 +103,6 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache()
         digest = xxhash.xxh3_128_digest
         for b in batches:
             ids, raw = [], []
@@ -116,7 +115,7 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             halves = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
             yield batch(schema, ids, np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]))
 
-    return text_bytes(docs).mapInArrow(run, "doc_id long, h1 long, h2 long")
+    return text_bytes(docs).mapInArrow(lean(run), "doc_id long, h1 long, h2 long")
 
 
 def build_index(keys: DataFrame, shards: int) -> DataFrame:
@@ -190,7 +189,6 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache()
         digest = xxhash.xxh3_128_digest
         for b in batches:
             n_lines, n_dropped, texts = [], [], []
@@ -206,7 +204,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 texts.append(b"\n".join(kept) if drop else body or b"")
             yield batch(schema, b.column(0), n_lines, n_dropped, pa.array(texts, pa.binary()).cast(pa.string()))
 
-    return text_bytes(docs).join(drops, "doc_id", "left").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string")
+    return text_bytes(docs).join(drops, "doc_id", "left").mapInArrow(lean(run), "doc_id long, n_lines long, n_dropped long, text string")
 
 
 def report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, by_ids, mix64, only_cache, stage, text_bytes
+from .common import batch, bound_batches, by_ids, lean, mix64, stage, text_bytes
 
 WIDTH, PERCENT = 5, 80
 SIDE, ROWS = 8, 2
@@ -49,6 +49,10 @@ class _WordHash(dict):
 _words = _WordHash()
 
 
+def forget_words() -> None:
+    _words.clear()
+
+
 def shingle_set(body: bytes | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a text; A-Z count as a-z."""
     words = body.lower().split() if body else []
@@ -86,7 +90,6 @@ def signatures(docs: DataFrame, width: int = WIDTH, side: int = SIDE, rows: int
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache("words", _words.clear)
         for b in batches:
             out: list[list] = [[], [], [], []]
             for body in b.column(1).to_pylist():
@@ -96,7 +99,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, side: int = SIDE, rows: int
                     to.append(x)
             yield batch(schema, b.column(0), *out)
 
-    return text_bytes(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>")
+    return text_bytes(docs).mapInArrow(lean(run, "words", forget_words), "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>")
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
@@ -110,11 +113,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("rep", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache("words", _words.clear)
         for b in batches:
             yield batch(schema, b.column(0), [shingle_set(x, width).tobytes() for x in b.column(1).to_pylist()])
 
-    return by_ids(text_bytes(docs), stage(wanted.withColumnRenamed("rep", "doc_id"), "wanted"), "left_semi").mapInArrow(run, "rep long, items binary")
+    return by_ids(text_bytes(docs), stage(wanted.withColumnRenamed("rep", "doc_id"), "wanted"), "left_semi").mapInArrow(lean(run, "words", forget_words), "rep long, items binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -122,7 +124,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache()
         for t in batches:
             ok = []
             for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
@@ -137,7 +138,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     first = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
     second = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

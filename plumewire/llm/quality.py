@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, only_cache, text_bytes
+from .common import batch, bound_batches, lean, text_bytes
 
 SPACE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -124,7 +124,6 @@ def measure(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str] |
     arrow = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("rejected_by", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache()
         for b in batches:
             rows = []
             for body in b.column(1).to_pylist():
@@ -134,7 +133,7 @@ def measure(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str] |
                 rows.append((len(v.words), v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, failed, by is None, by))
             yield batch(arrow, b.column(0), *(zip(*rows) if rows else [[]] * 8))
 
-    return text_bytes(docs).mapInArrow(run, schema)
+    return text_bytes(docs).mapInArrow(lean(run), schema)
 
 
 def keep_good(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str] | None = None) -> DataFrame:
@@ -144,10 +143,9 @@ def keep_good(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str]
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache()
         for b in batches:
             views = (View(x) for x in b.column(at).cast(pa.binary()).to_pylist())
             good = [not v.base_failed and not any(rule(v) for rule in cascade) for v in views]
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

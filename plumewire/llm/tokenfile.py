@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, mix64, only_cache, shuffle_width, stage, text_bytes
+from .common import batch, bound_batches, lean, mix64, shuffle_width, stage, text_bytes
 
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 #: Ids of a segment, about; a longer document is a segment of its own.
@@ -61,7 +61,7 @@ class Encoder:
     """Ids of whole texts.  The pieces of many texts are hashed together (64 bits), distinct ones are looked up or
     encoded, and the ids are gathered from one array."""
 
-    def __init__(self, path: str, room: int = 1_000_000):
+    def __init__(self, path: str, room: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -174,6 +174,10 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def forget_encoders() -> None:
+    _encoders.clear()
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -258,10 +262,9 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, p
     parts = 2 * shuffle_width(spark)
     bounds = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     edges = np.unique(np.array(bounds or [0.0]))
-    kind = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+    kind = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("kind", pa.string()), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_cache("tokens", _encoders.clear)
         coder = encoder(path or tokenizer_path(vocabulary))
         end = np.array([end_id], coder.kind).tobytes()
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -269,23 +272,22 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, p
             texts = [t or "" for t in b.column(1).cast(pa.string()).to_pylist()]
             doc = b.column(0).to_pylist()
             at = np.searchsorted(edges, [-np.inf if d is None else d for d in doc], side="right").astype(np.int32)
-            yield batch(kind, at, b.column(0), [pack(x.tobytes() + end) for x in coder.encode(texts)])
+            yield batch(kind, at, b.column(0), [coder.kind] * len(doc), [pack(x.tobytes() + end) for x in coder.encode(texts)])
 
-    encoded = text_bytes(docs).mapInArrow(encode, "bucket int, doc_id long, ids binary")
+    encoded = text_bytes(docs).mapInArrow(lean(encode, "tokens", forget_encoders), "bucket int, doc_id long, kind string, ids binary")
     dealt = encoded.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     out = pa.schema([("bucket", pa.int32()), ("place", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("codes", pa.binary())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path or tokenizer_path(vocabulary))
         unpack = zstandard.ZstdDecompressor().decompress
-        bucket, place, first, held, docs_, sizes, ids = None, 0, 0, 0, [], [], []
+        bucket, place, first, held, docs_, sizes, ids, kind = None, 0, 0, 0, [], [], [], ""
 
         def flush():
-            codes = Codes.build(np.frombuffer(b"".join(ids), coder.kind))
+            codes = Codes.build(np.frombuffer(b"".join(ids), kind))
             return batch(out, [bucket], [place], [first], [held], [docs_], [sizes], [codes.to_bytes()])
 
         for b in batches:
-            for k, doc, raw in zip(*(c.to_pylist() for c in b.columns)):
+            for k, doc, kind, raw in zip(*(c.to_pylist() for c in b.columns)):
                 if k != bucket or held >= segment_ids:
                     if docs_:
                         yield flush()
@@ -293,13 +295,13 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, p
                     bucket, held, docs_, sizes, ids = k, 0, [], [], []
                 raw = unpack(raw)
                 docs_.append(doc)
-                sizes.append(len(raw) // coder.size)
+                sizes.append(len(raw) // int(kind[2]))
                 held += sizes[-1]
                 ids.append(raw)
         if docs_:
             yield flush()
 
-    segments = dealt.mapInArrow(build, "bucket int, place int, first long, n_ids long, doc_ids array<long>, sizes array<long>, codes binary")
+    segments = dealt.mapInArrow(lean(build), "bucket int, place int, first long, n_ids long, doc_ids array<long>, sizes array<long>, codes binary")
     return stage(segments, "token-codes")
 
 
@@ -321,7 +323,7 @@ def read(segments: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(starts.tolist(), ends.tolist())]
                 yield batch(schema, row["doc_ids"], starts + base[row["bucket"]] + row["first"], row["sizes"], crc)
 
-    return segments.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
