@@ -2,28 +2,47 @@
 
 Every derivative refers to its response by record id and keeps the response's target, date, headers and payload
 digest.  Record ids follow from the source's id and the derivative's type, so a task that runs again makes the
-same records.  All steps are column expressions; a record never leaves its row.
+same records.  A record never leaves its row: all steps are column expressions, but for the character references
+outside ``REFERENCES``, which Python decodes.
 
 Defined results: a null page has an empty payload, an empty conversion and digests of the empty string; a null
 url is an empty target; a null page_id counts as an empty id; repeated rows give repeated records; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored.  A "<" opens a tag only before a letter, "/", "!" or "?".  A
+character reference ends with a semicolon; what looks like one and is none stays as it is.
 """
 
 from __future__ import annotations
 
+import html as entities
+import re
+from html.entities import html5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .common import bound_batches
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: Character references that the plain text decodes, in this order.
+#: Fixed values, which the SQL reads too: the usual character references, decoded in this order.
 REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-#: (pattern, replacement) in order: what is not text, then block ends, then other tags, then white space.
+#: Patterns of the SQL (pattern, replacement) in order: what is not text, then block ends, then other tags, then white space.
 CLEANING = [
     (r"(?is)<!--.*?-->|<(script|style|head|noscript|template)\b.*?</(script|style|head|noscript|template)\s*>", " "),
     (r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/ul|/ol|/table|/article|/section|/header|/footer|/nav|/aside)\b[^>]*>", "\n"),
     (r"<[^>]*>", " "),
 ]
+#: What the plain text uses: the same, but only whole element names, and a tag only where "<" opens one.
+TAGS = [
+    (r"(?is)<!--.*?-->|<(script|style|head|noscript|template)(?=[\s/>]).*?</(script|style|head|noscript|template)\s*>", " "),
+    (r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/ul|/ol|/table|/article|/section|/header|/footer|/nav|/aside)(?=[\s/>])[^>]*>", "\n"),
+    (r"<(?=[a-zA-Z/!?])[^>]*>", " "),
+]
+#: A reference outside REFERENCES (Java); every reference (Python).
+_OTHER = "&(?!(?:" + "|".join(name[1:] for name, _ in REFERENCES) + "))(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+_REFERENCE = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
 SPACING = [(r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
 
 
@@ -45,20 +64,44 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select(record_id(source, "response").alias("record_id"), F.coalesce("url", F.lit("")).alias("target_uri"), F.lit(date).alias("warc_date"), headers.alias("headers"), body.alias("body"))
 
 
-def plain_text(body: Column) -> Column:
-    """Visible text, a line for each block."""
-    for pattern, to in CLEANING:
-        body = F.regexp_replace(body, pattern, to)
+def _character(m: re.Match) -> str:
+    name = m[0][1:]
+    found = entities.unescape(m[0]) if name[0] == "#" else html5.get(name, m[0])
+    return " " if found == "\xa0" else found
+
+
+def decode(text: str) -> str:
+    """All named and numeric references; a non-breaking one is a space, as in REFERENCES."""
+    return _REFERENCE.sub(_character, text)
+
+
+@F.pandas_udf(StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(decode, na_action="ignore")
+
+
+def plain_text(records: DataFrame) -> DataFrame:
+    """The records with a column ``text``: the visible text, a line for each block.  Only texts with a reference
+    outside REFERENCES go to Python."""
+    text = F.col("body")
+    for pattern, to in TAGS:
+        text = F.regexp_replace(text, pattern, to)
+    held = records.withColumn("bare", text)
+    held = held.withColumn("rest", _decoded(F.when(F.col("bare").rlike(_OTHER), F.col("bare"))))
+    text = F.col("bare")
     for name, to in REFERENCES:
-        body = F.replace(body, F.lit(name), F.lit(to))
+        text = F.replace(text, F.lit(name), F.lit(to))
+    text = F.coalesce("rest", text)
     for pattern, to in SPACING:
-        body = F.regexp_replace(body, pattern, to)
-    return body
+        text = F.regexp_replace(text, pattern, to)
+    return held.withColumn("text", text).drop("bare", "rest")
 
 
 def derive(records: DataFrame) -> DataFrame:
     """Two records for each response: warc_type, record_id, refers_to, target_uri, warc_date, content_type, block,
     content_length, block_digest, payload_digest (of the response)."""
+    bound_batches(records.sparkSession)
+    records = plain_text(records)
     payload = digest(F.col("body"))
     title = F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title", 1)
     links = F.size(F.split("body", r"(?i)<a\s[^>]*href\s*=", -1)) - 1
@@ -68,7 +111,7 @@ def derive(records: DataFrame) -> DataFrame:
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), about.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("body")).alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
     both = records.select("record_id", "target_uri", "warc_date", payload.alias("payload_digest"), F.explode(kinds).alias("d"))
     own = F.when(F.col("d.warc_type") == "metadata", record_id(F.col("record_id"), "metadata")).otherwise(record_id(F.col("record_id"), "conversion"))

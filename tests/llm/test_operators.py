@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -411,6 +412,38 @@ def test_warc_derivatives(spark):
     assert collected(warc.parse(warc.serialise(made))) == collected(made.select(*columns))
 
 
+class Visible(HTMLParser):
+    """The words of a page as the library's parser reads it."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.silent, self.parts = 0, []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in ("script", "style", "head")
+        self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in ("script", "style", "head")
+        self.parts.append(" ")
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.parts.append(data)
+
+
+def test_conversion_against_a_parser(spark):
+    pages = [
+        "<p>if a < b then stop</p><p>next</p>", "<p>caf&eacute; &mdash; 5 &#8217;s &#x27;q&#X27; &hellip;</p>", "<p>&amp;eacute; &amp;#39; &lt;b&gt; &nosuch; AT&T; x &copy; &nbsp; y</p>", "<p>1<2 and 3 <4, x<- y</p>t<style>p<q</style>u",
+        "<head-line>Top story</head-line><template-card>kept</template-card><script>no</script><p>end</p>", "<!doctype html><?xml x?><p>a</p><!-- < no --><p>&#128512; b &#xD800;",
+    ]
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.col("page_id").cast("string"))
+    got = {int(r.target_uri): r.block.split() for r in warc.derive(warc.responses(table)).where("warc_type = 'conversion'").collect()}
+    assert got == {i: "".join(Visible(p).parts).split() for i, p in enumerate(pages)}
+
+
 # Empty tables and repeated rows
 
 
