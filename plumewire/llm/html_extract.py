@@ -44,10 +44,11 @@ BLOCKS = {
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr"}, {"table"})}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<((?:" + "|".join(RAW) + r")(?=[\s/>])(?<!svg)|svg(?=[\s/>])(?!(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>))(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*+>).*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>", re.S | re.I
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']++)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
@@ -56,13 +57,22 @@ def _slot(token: str, size: int) -> int:
     return zlib.crc32(token.encode()) % size
 
 
+def _hidden(attributes: str) -> bool:
+    """By an attribute's own name: hidden, aria-hidden="true", or a style without display."""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 @lru_cache(1 << 14)
 def _element(tag: str, attributes: str) -> tuple[str, tuple[int, ...], bool]:
     """Name, hashed places of its tag and its class, id and role words, and whether it is shown."""
     tokens = [tag]
     for _, a, b, c in _NAMED.findall(attributes):
         tokens += [f".{w}" for w in _NAME.findall((a or b or c).lower())]
-    return tag, tuple(_slot(t, PATH_DIM) for t in dict.fromkeys(tokens)), not _HIDDEN.search(attributes)
+    return tag, tuple(_slot(t, PATH_DIM) for t in dict.fromkeys(tokens)), not _hidden(attributes)
 
 
 Block = tuple[str, tuple, int, str]  # text, path elements, characters inside links, innermost block element

@@ -347,6 +347,15 @@ def test_blocks_of_odd_pages():
     assert len(text("<p>word " * 20_000)) == 20_000
 
 
+def test_blocks_of_custom_elements_and_hidden_in_values():
+    text = lambda page: [b[0] for b in html_extract.blocks_of(page)]
+    assert text("<p>a</p><svg-icon name='x'></svg-icon><p>b</p><template-card>c</template-card><p>d") == ["a", "b", "c", "d"]
+    assert text("<p>a</p><svg width='1'/><p>b</p><svg a='x>y' />c<svg><text>no</text></svg><p>d") == ["a", "b", "c", "d"]
+    assert text("<script src='a>b'>no</script>yes<title>no</title><p>end") == ["yes", "end"]
+    assert text('<article title="The hidden city"><p class="a hidden b">x</p></article><p data-style="display:none">y</p><p title="aria-hidden=true">z') == ["x", "y", "z"]
+    assert text("<div HIDDEN=''>no</div><div style='color:red; Display : none'>no</div><div aria-hidden=true>no</div><div/hidden>no</div>yes") == ["yes"]
+
+
 def test_labeller_on_pages_it_has_not_seen():
     model, right, total = html_extract.labeller(), 0, 0
     for i in range(60):
