@@ -53,6 +53,13 @@ def test_weak_chain_is_not_merged(spark):
     assert rows(groups.cluster(edges, sims, media, rejected)) == [(1, 1), (1, 2), (5, 5), (5, 6)]
 
 
+def test_components_of_long_chains_are_whole(spark):
+    n = 100  # ids rise from both ends
+    ids = [2 * i if i < n // 2 else 2 * (n - 1 - i) + 1 for i in range(n)]
+    edges = spark.createDataFrame([(500, 500), (300, 301), *zip(ids, ids[1:])], "a long, b long")
+    assert rows(groups.components(edges)) == rows(spark.createDataFrame([(i, 0) for i in range(n)] + [(300, 300), (301, 300), (500, 500)], "a long, b long"))
+
+
 def test_groups_keep_their_old_ids(spark):
     new = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 20), (2, 21)], "group_id long, id long")
     old = spark.createDataFrame([(100, 10), (100, 11), (200, 20), (200, 99), (200, 98), (200, 97)], "group_id long, id long")
