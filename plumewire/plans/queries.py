@@ -267,10 +267,21 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def article_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole rule cascade over the articles' titles."""
-    none = F.array().cast("array<string>")
-    docs = V.articles(spark, sf_dir).withColumns({"canonical_url": F.concat(F.lit("https://x/"), F.col("id").cast("string")), "recent": F.lit(True), "published_at": F.col("first_seen_at"), "published_precision": F.lit("datetime"), "topic_ids": F.array((F.col("id") % 5)), "linked_urls": none, "mentioned_media": none, "media_name": F.col("media_id")})
-    return relations.find_relations(docs.drop("body"))
+    """The whole rule cascade over the articles' whole texts: the first sentence is the title, the rest the subtitle.
+    Links are the addresses in the text, mentioned outlets the names of outlets among its words."""
+    whole = F.trim(F.regexp_replace("body", r"^\s+|\s+$", ""))
+    title = F.regexp_extract(whole, r"^[^\n]*?(?:[.!?](?=\s)|(?=\n)|$)", 0)
+    urls = F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?i)\bhttps?://[^\s<>\"'()\[\]]+"), F.lit(0))
+    links = F.array_distinct(F.filter(F.transform(urls, lambda u: text.canonical_url(F.regexp_replace(u, r"[.,;:!?]+$", ""))), lambda u: u.isNotNull()))
+    a = V.articles(spark, sf_dir)
+    words = a.select("id", F.explode(F.array_distinct(F.split(F.lower("body"), r"[^\p{L}\p{N}_]+"))).alias("word"))
+    outlets = a.select(F.lower("media_id").alias("word"), F.col("media_id").alias("name")).distinct()
+    mentions = words.join(outlets, "word").groupBy("id").agg(F.collect_set("name").alias("mentioned_media"))
+    docs = a.join(mentions, "id", "left").withColumns({
+        "title": title, "subtitle": F.nullif(F.trim(F.substring(whole, F.length(title) + 1, F.length(whole))), F.lit("")), "canonical_url": F.concat(F.lit("https://x/"), F.col("id").cast("string")), "recent": F.lit(True), "published_at": F.col("first_seen_at"), "published_precision": F.lit("datetime"),
+        "topic_ids": F.array((F.col("id") % 5)), "linked_urls": links, "mentioned_media": F.coalesce("mentioned_media", F.array().cast("array<string>")), "media_name": F.col("media_id"),
+    })
+    return relations.find_relations(docs.drop("body"), vocabulary=None, recent_hours=relations.RECENT_HOURS)
 
 
 @query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>')) AS tag, generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>'), 1) - 1 AS place FROM pages)

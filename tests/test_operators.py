@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from plumewire import plans
 from plumewire.operators import evaluation, graph, groups, headlines, merges, metrics, relations
 
 T0 = datetime(2026, 10, 14, 18)
@@ -43,6 +44,19 @@ def test_figures_block_identity(spark):
     assert all("RN" in r for r in found.values())
 
 
+def test_article_relations_read_the_whole_text(spark, tmp_path):
+    shared = "Mientras tanto los astilleros zarparon hacia Ushuaia llevando turbinas hidroeléctricas, calderas oxidadas, bobinas trenzadas, válvulas niqueladas, grúas telescópicas, cojinetes cerámicos, tableros blindados, rodillos templados, alambiques cromados, hélices plegables, anclas forjadas y mástiles pulidos"
+    opening = lambda i: " ".join(f"{'abcdefghijklm'[k]}{'nopqrstuvwxyz'[i % 13]}zq" for k in range(13)) + "."
+    # Times follow from the ids: 0 and 11 are 12 hours apart, 0 and 22 a day, 0 and 1 more than five days.
+    data = [(0, "alfa", f"{opening(0)}\n{shared}. Zafarrancho."), (11, "beta", f"{opening(1)}\n{shared}."), (1, "alfa", f"{opening(2)} {shared}."), (22, "gama", f"{opening(3)} Zafarrancho. Ver https://x/0, y ALFA."), (33, "gama", None)]
+    data += [(100 + i, f"otro{i}", f"{opening(4 + i)} {t}") for i, t in enumerate(FILLER)]
+    spark.createDataFrame(data, "doc_id long, source string, text string").withColumn("lang", F.lit("es")).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r.a, r.b, r.relation_type, r.rules[0]) for r in plans.QUERIES["article_relations"](spark, str(tmp_path)).collect()}
+    assert (0, 11, "expresion_compartida", "R3") in found
+    assert (0, 1, "reaparicion", "R6") in found and (0, 22, "referencia_explicita", "R7") in found
+    assert {x for pair in found for x in pair[:2]} == {0, 1, 11, 22}
+
+
 def test_weak_chain_is_not_merged(spark):
     edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (5, 6, 0.7), (5, 7, 0.6), (6, 7, 0.5), (8, 9, 0.9)], "a long, b long, score double")
     sims = spark.createDataFrame([(1, 2, 0.6), (2, 3, 0.5), (1, 3, 0.01), (5, 6, 0.5), (5, 7, 0.5), (6, 7, 0.5), (8, 9, 0.9)], "a long, b long, similarity double")
