@@ -82,9 +82,11 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share.  Only on one machine, where the session names none, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="plumewire-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -99,14 +101,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there,
-    so a lost executor costs a read and not a recomputation."""
+    so a lost executor costs a read and not a recomputation.  ``out`` is a folder of the caller's, who keeps it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumewire/{name}-{uuid.uuid4().hex}"
+    path = out or f"{shared_dir(spark)}/plumewire/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not out:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(schema).parquet(path)
 
 

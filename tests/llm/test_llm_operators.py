@@ -237,21 +237,64 @@ def test_tokens_round_trip(docs, plain):
     assert collected(tokenfile.round_trip(docs)) == sorted(want, key=repr)
 
 
+def whole_ids(e, texts):
+    return [e.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_encoder_equals_whole_texts():
     e = tokenfile.Encoder(tokenfile.tokenizer_path())
-    odd = ["a  b \n \n c\t\td 's don't  ", "x\x00y z", "", "<|endoftext|> a <|endoftext|>b", "é , ,, ...   a", " a", "\n\nfoo\n bar.", "foo\nbar, 's it's\nx", " a b", "a b c", "word." * 30, "tab\tb"]
+    odd = ["a  b \n \n c\t\td 's don't  ", "x\x00y z", "", "<|endoftext|> a <|endoftext|>b", "é , ,, ...   a", " a", "\n\nfoo\n bar.", "foo\nbar, 's it's\nx", "\u00a0a\u2003b", "a\u00a0b\u0085c", "word." * 30, "tab\tb"]
     for texts in (odd, odd[::-1]):
-        assert [x.tolist() for x in e.encode(texts)] == [e.model.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == whole_ids(e, texts)
+    assert e.encode([b"a \xff b"])[0].tolist() == whole_ids(e, ["a \ufffd b"])[0]
+
+
+def test_encoder_on_random_texts():
+    e = tokenfile.Encoder(tokenfile.tokenizer_path(), room=300)
+    r = random.Random(1)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "a", "bc", "é", "ñ", "×", "÷", "'s", "'", "’", ".", ",,", "1", "23", "-", "_", "IT'S", "don't", "Ω", "ª", "ɐ", "日本", "😀", "\u0301", "x" * 20, "y" * 70, "\x85", "\xa0", "<|endoftext|>", "\0"]
+    for k in range(120):
+        texts = ["".join(r.choice(parts[: 32 if k % 2 else None]) for _ in range(r.randint(0, 40))) for _ in range(12)]
+        assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == whole_ids(e, texts)
+
+
+def test_pieces_are_not_taken_for_others():
+    """Words that collide under any polynomial hash modulo 2**64, and words that differ late or in zero bytes only."""
+    e = tokenfile.Encoder(tokenfile.tokenizer_path())
+    for n in (512, 1024, 2048, 4096, 8192):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        pair = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+        assert [x.tolist() for x in e.encode([t.encode() for t in pair])] == whole_ids(e, pair)
+    near = ["abcdefghijklmnop", "abcdefghijklmnoq", "abcdefghijklmnopq", "abcdefghijklmnopr", "a\0", "a\0\0", "a"]
+    assert [x.tolist() for x in e.encode([t.encode() for t in near])] == whole_ids(e, near)
+
+
+def test_piece_table_with_equal_hashes(monkeypatch):
+    monkeypatch.setattr(tokenfile.PieceTable, "hash", staticmethod(lambda words: words[:, 0] % np.uint64(3)))
+    e = tokenfile.Encoder(tokenfile.tokenizer_path())
+    texts = [" ".join(words(k, 200)) for k in range(4)]
+    for _ in range(2):
+        assert [x.tolist() for x in e.encode([t.encode() for t in texts])] == whole_ids(e, texts)
+
+
+def words(seed, n):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdé") for _ in range(r.randint(1, 12))) for _ in range(n)]
 
 
 def test_codes_give_any_id():
     rng = np.random.default_rng(3)
-    for ids in ([], [0], [255, 256, 65535, 65536, 2**31], rng.integers(0, 70_000, 5000).tolist(), [7] * 1500):
+    for ids in ([], [0], [255, 256, 65535, 65536, 2**31], rng.integers(0, 70_000, 5000).tolist(), [7] * 1500, [300] * 1024):
         c = tokenfile.Codes.from_bytes(tokenfile.Codes.build(np.array(ids, np.uint32)).to_bytes())
-        assert c.all().tolist() == ids
+        assert c.run(0, len(ids)).tolist() == ids
         assert all(c[i] == ids[i] for i in range(0, len(ids), 37))
+        for i in range(0, len(ids) + 1, 61):
+            for n in (0, 1, 7, 512, 700):
+                assert c.run(i, min(i + n, len(ids))).tolist() == ids[i : i + n]
     with pytest.raises(IndexError):
         c[len(ids)]
+    with pytest.raises(IndexError):
+        c.run(0, len(ids) + 1)
 
 
 def test_long_documents_are_segments_of_their_own(docs):
@@ -260,6 +303,22 @@ def test_long_documents_are_segments_of_their_own(docs):
     assert collected(tokenfile.read(s)) == collected(tokenfile.round_trip(docs))
 
 
+def test_any_token_of_the_files(spark, docs, plain, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(tokenfile, "SEGMENT_IDS", 1000)
+    monkeypatch.setattr(tokenfile, "_RUN", 64)
+    made = tokenfile.write(docs, segment_ids=70, out=f"file://{tmp_path}/codes")
+    held = spark.read.parquet(f"file://{tmp_path}/codes")
+    assert held.count() == made.count() and held.select("bucket").distinct().count() > 5
+    coder = tokenfile.Encoder(tokenfile.tokenizer_path())
+    order = sorted(plain, key=lambda x: (x[0] is not None, x[0] or 0))
+    ids = [i for _, t in order for i in [*coder.model.encode(t or "", add_special_tokens=False).ids, 2]]
+    ask = [*range(0, len(ids), 41), 3, 3, len(ids) - 1, len(ids), -1, None]
+    got = tokenfile.tokens_at(held, spark.createDataFrame([(i,) for i in ask], "place long"))
+    assert collected(got) == sorted(((i, ids[i]) for i in {i for i in ask if i is not None and 0 <= i < len(ids)}), key=repr)
+    assert tokenfile.tokens_at(held.limit(0), spark.createDataFrame([(0,)], "place long")).count() == 0
+
+
 # Mixing
 
 
