@@ -9,8 +9,11 @@ The labeller is trained here, on pages that a seeded generator makes from templa
 (``TRAIN_PAGES`` pages); it learns nothing from the input.  Scripts, styles and other elements without visible
 text never become blocks.
 
-Defined results: a null or empty page has an empty text; repeated rows give repeated results; an empty table
-gives an empty result; other columns are ignored.
+Defined results: a null or empty page has an empty text; repeated rows (ties) give repeated results; an empty table
+gives an empty result; other columns are ignored.  A page of any length is read in one pass and labelled ``STEPS``
+blocks at a time, with the state carried on.  A "<" without any ">" behind it is text.  A tag ends at the first ">"
+outside quotes; where quotes don't close, at the first ">", and after ``TRIES`` such tags on a page always there.  Of a
+block's path the nearest ``DEPTH`` elements count.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +35,8 @@ from .common import batch, bound_batches, lean
 
 PATH_DIM, WORD_DIM, EXTRA_DIM, HIDDEN = 96, 32, 8, 24
 TRAIN_PAGES, EPOCHS = 700, 8
+#: Blocks labelled at once; elements of a path that are looked at; tags with open quotes until quotes are left out of account.
+STEPS, DEPTH, TRIES = 4096, 64, 3
 
 # Fixed lists of HTML element names.
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "head", "title", "textarea", "select", "button", "iframe", "object", "canvas", "audio", "video", "datalist"}
@@ -43,9 +49,26 @@ BLOCKS = {
 #: An element that ends an open one of the same family, unless the second set's elements stand between.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr"}, {"table"})}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<((?:" + "|".join(RAW) + r")(?=[\s/>])(?<!svg)|svg(?=[\s/>])(?!(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>))(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*+>).*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*+)([^>]*+)>", re.S | re.I
-)
+_QUOTED = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
+_RAW = r"<!--.*?(?:-->|\Z)|<((?:" + "|".join(RAW) + r")(?=[\s/>])(?<!svg)|svg(?=[\s/>])(?!{inner}(?<=/)>)){open}.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>"
+_TAG = r"<(/?)([a-zA-Z][\w:-]*+)({inner})>"
+_PLAIN_TAG = _TAG.format(inner="[^>]*+")
+_TOKEN = re.compile(_RAW.format(inner=_QUOTED, open=f"(?:{_QUOTED}>|[^>]*+>)") + "|" + _TAG.format(inner=_QUOTED) + "|" + _PLAIN_TAG, re.S | re.I)
+#: The same with tags that end at the first ">"; a page is never searched twice for quotes that close nowhere.
+_TOKEN_PLAIN = re.compile(_RAW.format(inner="[^>]*+", open="[^>]*+>") + "|" + _PLAIN_TAG + "|(?!)()()()", re.S | re.I)
+_RAW_END = re.compile(r"(?:-->|</(?:" + "|".join(RAW) + r")\s*+>)\Z", re.I)
+
+
+def _tokens(page: str, end: int) -> Iterator[re.Match]:
+    """Tags, comments and raw elements up to ``end``."""
+    tries = 0
+    for m in _TOKEN.finditer(page, 0, end):
+        yield m
+        if m[6] and (tries := tries + 1) == TRIES:
+            yield from _TOKEN_PLAIN.finditer(page, m.end(), end)
+            return
+
+
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']++)))?")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
@@ -75,7 +98,7 @@ def _element(tag: str, attributes: str) -> tuple[str, tuple[int, ...], bool]:
     return tag, tuple(_slot(t, PATH_DIM) for t in dict.fromkeys(tokens)), not _hidden(attributes)
 
 
-Block = tuple[str, tuple, int, str]  # text, path elements, characters inside links, innermost block element
+Block = tuple[str, tuple, int, str]  # text, path elements (the nearest ``DEPTH``), characters inside links, innermost block element
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -87,6 +110,7 @@ def blocks_of(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked = in_link = silent = 0
     path: tuple = ()
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal parts, linked
@@ -101,6 +125,7 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal in_link, silent
         while len(stack) > depth:
             e = stack.pop()
+            opened[e[0]] -= 1
             in_link -= e[0] == "a"
             silent -= e[0] in SILENT or not e[2]
 
@@ -108,13 +133,13 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked, path
         if s and not silent:
             if not parts:
-                path = tuple(stack)
+                path = tuple(stack[-DEPTH:])
             parts.append(s)
             if in_link:
                 linked += len(s)
 
-    last = 0
-    for m in _TOKEN.finditer(page):
+    last, end, m = 0, page.rfind(">") + 1, None
+    for m in _tokens(page, end):
         if m.start() > last:
             text(page[last : m.start()])
         last = m.end()
@@ -128,13 +153,11 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in BLOCKS:
             flush()
         if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
+            if opened[tag]:
+                pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in BLOCKS:  # an open paragraph ends where a block begins
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened["p"] else ():
                 if stack[i][0] == "p":
                     pop_to(i)
                     break
@@ -142,7 +165,7 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
             if tag in ENDS:
                 same, between = ENDS[tag]
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if any(opened[t] for t in same) else ():
                     if stack[i][0] in between:
                         break
                     if stack[i][0] in same:
@@ -154,10 +177,12 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         e = _element(tag, attributes)
         stack.append(e)
+        opened[tag] += 1
         in_link += tag == "a"
         silent += tag in SILENT or not e[2]
-    if last < len(page):
-        text(page[last:])
+    cut_off = m is not None and m.end() == end and (m[1] or m[0].startswith("<!--")) and not _RAW_END.search(m[0])
+    if last < len(page) and not cut_off:
+        text(page[last:].partition("<!--")[0])
     flush()
     return out
 
@@ -165,10 +190,12 @@ def blocks_of(page: str | None) -> list[Block]:
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + EXTRA_DIM), np.float32)
+def vectors(blocks: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """The vectors of the page's blocks, or of those from ``start`` to ``stop``."""
+    some = blocks[start:stop]
+    out = np.zeros((len(some), PATH_DIM + WORD_DIM + EXTRA_DIM), np.float32)
     paths: dict[tuple, np.ndarray] = {}
-    for i, (text, path, linked, inner) in enumerate(blocks):
+    for i, (text, path, linked, inner) in enumerate(some):
         v = paths.get(path)
         if v is None:
             v = np.zeros(PATH_DIM, np.float32)
@@ -181,7 +208,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         out[i, PATH_DIM:-EXTRA_DIM] = np.minimum(hashed, 8) / np.sqrt(len(words))
         n = len(text)
         marks = sum(map(text.count, ".,;!?"))
-        out[i, -EXTRA_DIM:] = np.log1p(n) / 6, min(1.0, linked / n), min(1.0, 10 * marks / n), i / len(blocks), inner in _HEADINGS, inner == "p", inner in ("li", "td", "dd"), np.log1p(len(blocks)) / 6
+        out[i, -EXTRA_DIM:] = np.log1p(n) / 6, min(1.0, linked / n), min(1.0, 10 * marks / n), (start + i) / len(blocks), inner in _HEADINGS, inner == "p", inner in ("li", "td", "dd"), np.log1p(len(blocks)) / 6
     return out
 
 
@@ -205,12 +232,12 @@ class Labeller:
             bias[h : 2 * h] = 1.0
             self.p |= {f"{side}x": init(d, 4 * h), f"{side}h": init(h, 4 * h), f"{side}b": bias}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, side: str, state: tuple | None = None, tape: list | None = None) -> tuple[np.ndarray, tuple]:
+        """Hidden states of all steps, and the last state.  A tape, which training needs, keeps every step's gates."""
         n, steps, _ = x.shape
-        h = np.zeros((n, HIDDEN), np.float32)
-        c = np.zeros_like(h)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         inputs = x @ self.p[f"{side}x"] + self.p[f"{side}b"]
-        out, tape = np.zeros((n, steps, HIDDEN), np.float32), []
+        out = np.zeros((n, steps, HIDDEN), np.float32)
         for t in range(steps) if side == "l" else range(steps - 1, -1, -1):
             z = inputs[:, t] + h @ self.p[f"{side}h"]
             gates = _sigmoid(z[:, : 3 * HIDDEN])
@@ -220,19 +247,35 @@ class Labeller:
             new_c = m * (f * c + i * g) + (1 - m) * c
             tc = np.tanh(new_c)
             new_h = m * (o * tc) + (1 - m) * h
-            tape.append((t, i, f, o, g, c, tc, h, m))
+            if tape is not None:
+                tape.append((t, i, f, o, g, c, tc, h, m))
             h, c = new_h, new_c
             out[:, t] = h
-        return out, tape
+        return out, (h, c)
+
+    def _scores(self, both: np.ndarray) -> np.ndarray:
+        return _sigmoid((both @ self.p["o"])[..., 0] + self.p["ob"])
 
     def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, side)[0] for side in "lr"], axis=2)
-        return _sigmoid((both @ self.p["o"])[:, :, 0] + self.p["ob"])
+        return self._scores(np.concatenate([self._run(x, mask, side)[0] for side in "lr"], axis=2))
+
+    def predict_long(self, blocks: list[Block], steps: int = STEPS) -> np.ndarray:
+        """Scores of one page of any length: a part at a time in each direction, the state carried on; only the
+        hidden states of all blocks are held."""
+        both = np.zeros((len(blocks), 2 * HIDDEN), np.float32)
+        for k, side in enumerate("lr"):
+            state = None
+            starts = range(0, len(blocks), steps)
+            for at in starts if side == "l" else reversed(starts):
+                x, mask = padded([vectors(blocks, at, at + steps)])
+                out, state = self._run(x, mask, side, state)
+                both[at : at + steps, k * HIDDEN : (k + 1) * HIDDEN] = out[0]
+        return self._scores(both)
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        runs = {side: self._run(x, mask, side) for side in "lr"}
-        both = np.concatenate([runs[s][0] for s in "lr"], axis=2)
-        error = (_sigmoid((both @ self.p["o"])[:, :, 0] + self.p["ob"]) - y) * mask / max(1.0, mask.sum())
+        tapes: dict[str, list] = {"l": [], "r": []}
+        both = np.concatenate([self._run(x, mask, side, None, tapes[side])[0] for side in "lr"], axis=2)
+        error = (self._scores(both) - y) * mask / max(1.0, mask.sum())
         grad = {"o": np.einsum("nth,nt->h", both, error)[:, None], "ob": error.sum(keepdims=True).reshape(1)}
         back = error[:, :, None] * self.p["o"][:, 0]
         for k, side in enumerate("lr"):
@@ -241,7 +284,7 @@ class Labeller:
             dc_next = np.zeros_like(dh_next)
             dz_all = np.zeros((*x.shape[:2], 4 * HIDDEN), np.float32)
             gh = np.zeros_like(wh)
-            for t, i, f, o, g, c, tc, h, m in reversed(runs[side][1]):
+            for t, i, f, o, g, c, tc, h, m in reversed(tapes[side]):
                 dh = back[:, t, k * HIDDEN : (k + 1) * HIDDEN] + dh_next
                 dc = dc_next + m * dh * o * (1 - tc * tc)
                 dz = np.concatenate((dc * g * i * (1 - i), dc * c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)), axis=1) * m
@@ -482,10 +525,14 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
             scores: list = [np.zeros(0)] * len(found)
             order = sorted((i for i, x in enumerate(found) if x), key=lambda i: len(found[i]))
             at = 0
-            while at < len(order):  # groups of similar length, of at most about 4096 steps in all
+            while at < len(order):  # groups of similar length, of at most about STEPS steps in all
                 longest = len(found[order[at]])
+                if longest > STEPS:
+                    scores[order[at]] = labels.predict_long(found[order[at]])
+                    at += 1
+                    continue
                 stop = at + 1
-                while stop < len(order) and (stop - at + 1) * len(found[order[stop]]) <= 4096 and len(found[order[stop]]) <= 2 * longest:
+                while stop < len(order) and (stop - at + 1) * len(found[order[stop]]) <= STEPS and len(found[order[stop]]) <= 2 * longest:
                     stop += 1
                 group = order[at:stop]
                 x, mask = padded([vectors(found[i]) for i in group])
