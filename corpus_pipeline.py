@@ -1,4 +1,7 @@
-"""A training-data pipeline from five of the corpus operators; each stage is written and read again."""
+"""A training-data pipeline from five of the corpus operators; each stage is written and read again.
+
+Every stage takes null texts, null ids, repeated rows, very long texts, empty tables and further columns of any name;
+what it does with them is said below and, in full, in the operator's module."""
 
 from __future__ import annotations
 
@@ -11,33 +14,36 @@ from plumewire.llm.common import read_table, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go, and with them null and empty texts, which have too few words.  Repeated rows are judged one
+    by one; further columns stay."""
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, repeated rows included.  A document without words is no copy."""
     return minhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.  An empty benchmark, or a null text, has no window."""
     return decontam.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents are thinned out to a target of none; clean ones keep all of their tokens."""
-    return mixing.thin(docs, mixing.quality_domains(read_table(spark, sf_dir, "labels")), FACTORS)
+    """Each domain gets its target of expected tokens (``EPOCHS`` of what it has): toxic documents go, clean ones come a
+    little more than once, so a few have a copy.  No labels: all stay.  A text of null is a document without tokens."""
+    return mixing.mix(docs, mixing.quality_domains(read_table(spark, sf_dir, "labels")), EPOCHS)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids written in directly addressable codes; one row a document, read back from them."""
+    """Token ids written in directly addressable codes; one row a document, read back from them.  A null text has the end
+    id alone; of further columns only doc_id is left."""
     return tokenfile.round_trip(docs)
 
 
 #: Expected tokens of the domains after mixing, as a multiple of those before.  Clean stays a little above one, so that
 #: the fitted rate of a clean document is not below one.
-FACTORS = {"clean": 1.02, "toxic": 0.0}
+EPOCHS = {"clean": 1.02, "toxic": 0.0}
 
 STAGES = [
     ("quality rules", quality_rules),

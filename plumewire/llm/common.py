@@ -126,8 +126,11 @@ def by_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """``rows`` with (left_semi) or without (left_anti) the doc_ids of ``ids``, a stage table with one column
     ``doc_id``.  The texts stay where they are while the ids are few, which is checked by their count."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = ids.withColumnRenamed("doc_id", "__pw_id")
-    return rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == F.col("__pw_id"), how)
+    name = "__pw_id"
+    while name in rows.columns:
+        name += "_"
+    ids = ids.withColumnRenamed("doc_id", name)
+    return rows.join(F.broadcast(ids) if few else ids, rows["doc_id"] == F.col(name), how)
 
 
 def shuffle_width(spark: SparkSession) -> int:

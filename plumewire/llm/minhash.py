@@ -8,12 +8,15 @@ the defaults.  Every candidate link is confirmed on the full sets.
 
 Copies (equal sets) are one class from the start.  In each bucket every class is compared with the smallest
 one.  Links inside a component need no further test; what is left are buckets whose classes lie in different
-components.  Small ones are compared pair by pair.  The classes of large ones are compared in pairs of bounded
-blocks, which give back links and not candidates, so no candidate is dropped and none of them is written out.
+components.  Small ones are compared pair by pair.  The classes of large ones meet again by the rarest shingles of
+their sets: sets of similarity t share one of their first n - ceil(t * n) + 1 shingles in any fixed order, and with the
+rare ones first a common passage makes nobody meet.  Where many classes share a rare shingle too, they are compared in
+pairs of bounded blocks, which give back links and not candidates.  So no candidate is dropped.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer
-words than ``width`` is one shingle; repeated rows are copies; rows with a null doc_id are linked like others
-and get the class's component, or null when alone; an empty table gives an empty result.
+words than ``width`` is one shingle; a very long text is one set of all its shingles; repeated rows and ties are
+copies; rows with a null doc_id are linked like others and get the class's component, or null when alone; an empty
+table gives an empty result; other columns are ignored (``cluster``) or kept untouched (``keep_one``).
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bound_batches, by_ids, lean, mix64, stage, text_bytes
+from .common import batch, bound_batches, by_ids, lean, mix64, shuffle_width, stage, text_bytes
 
 WIDTH, PERCENT = 5, 80
 SIDE, ROWS = 8, 2
 #: Buckets of at most so many classes are compared pair by pair; larger ones in blocks of about so many shingles.
 SMALL, BLOCK = 24, 200_000
+#: Cells of the table of shingle frequencies that orders the shingles of a set; its size is fixed.
+CELLS = 1 << 20
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -141,26 +146,37 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
+def _with_least(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m): each edge with the least neighbour of its u; and (u, m) alone.  Nodes with more than ``limit`` edges,
+    of which there are few, meet their edges by a broadcast, so that the edges of no node are one task's."""
+    found = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = found.select("u", "m")
+    hot = F.broadcast(found.where(F.col("n") > limit).select("u", "m"))  # at most (all edges) / limit
+    cold = edges.join(hot.select("u"), "u", "left_anti").join(found.where(F.col("n") <= limit).select("u", "m"), "u")
+    return cold.unionByName(edges.join(hot, "u")), least
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with an edge; the label is the smallest node of its component.
 
     Alternates two steps until nothing changes: larger neighbours of a node are tied to its smallest
-    neighbour, then the smaller ones.  Minima come from partial aggregates and a join that AQE can split,
+    neighbour, then the smaller ones.  Minima come from partial aggregates, and nodes with many edges are joined apart,
     so a star with very many leaves is no single task."""
+    width = shuffle_width(edges.sparkSession)
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    n, seen = now.count(), None
     while True:
+        limit = max(32, n // (2 * width))  # so at most 4 * width nodes are hot
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        tied, _ = _with_least(both, limit)
+        large = tied.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        tied, least = _with_least(large, limit)
+        small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stage(small.unionByName(least.withColumnRenamed("m", "v")).where("u <> v").distinct(), "edges")
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == (state.n, state.s):
             break
-        seen = (state.n, state.s)
+        seen, n = (state.n, state.s), state.n
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
@@ -190,21 +206,68 @@ def _link(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
     left = buckets.where("rep <> pivot").select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = left.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "many", "head")
     left = stage(left.join(mixed, "key"), "left")
-    small = left.where(f"many <= {SMALL}")
-    other = small.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    near = (F.col("label") != F.col("bl")) & (100 * F.least("n", "bn") >= percent * F.greatest("n", "bn")) & (F.col("rep") > F.col("b"))
-    pairs = small.join(other, "key").where(near).select(F.col("rep").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
-    found = stage(_confirm(pairs, sets, percent).unionByName(_resolve(left.where(f"many > {SMALL}"), sets, percent)), "links")
+    small = _pairs(left.where(f"many <= {SMALL}"), "key", percent)
+    large = left.where(f"many > {SMALL}").select("rep", "label").distinct()
+    pairs, rest = small, None
+    if not large.isEmpty():
+        prefixes = stage(_prefixes(stage(large.join(sets, "rep"), "large"), percent), "prefixes")
+        shared = prefixes.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("many > 1 and lo <> hi")
+        again = prefixes.join(shared.select("key", "many", "head"), "key")
+        pairs = pairs.unionByName(_pairs(again.where(f"many <= {SMALL}"), "key", percent)).distinct()
+        rest = stage(again.where(f"many > {SMALL}").select("rep", "head").distinct(), "rest")
+    confirmed = _confirm(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent)
+    found = stage(confirmed if rest is None or rest.isEmpty() else confirmed.unionByName(_resolve(rest, sets, percent)), "links")
     if found.isEmpty():
         return labels
     ties = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)
     return stage(components(ties), "labels")
 
 
+def _pairs(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """(a, b) with a > b for classes of one key in different components, where the sizes allow a link.
+    rows: key, rep, n, label; a key has at most SMALL of them."""
+    other = rows.select(key, F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
+    near = (F.col("label") != F.col("bl")) & (100 * F.least("n", "bn") >= percent * F.greatest("n", "bn")) & (F.col("rep") > F.col("b"))
+    return rows.join(other, key).where(near).select(F.col("rep").alias("a"), "b").distinct()
+
+
+def _prefixes(members: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n, label): the shingles of each set that it must share one of with any set similar enough, the rarest
+    ones first.  How frequent a shingle is comes from a table of ``CELLS`` counts, where some share a cell: the order is
+    the same for all sets, which is all that matters for the result.  members: rep, label, items."""
+    cell = lambda s: (s & np.uint64(CELLS - 1)).astype(np.int64)
+    tally = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                np.add.at(total, cell(np.frombuffer(x, np.uint64)), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            yield batch(tally, at[i : i + (1 << 16)].astype(np.int32), total[at[i : i + (1 << 16)]])
+
+    counted = members.select("items").mapInArrow(lean(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    table = np.zeros(CELLS, np.int64)
+    table[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    held = members.sparkSession.sparkContext.broadcast(table)
+    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("label", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rep, label, raw in zip(*(c.to_pylist() for c in b.columns)):
+                s = np.frombuffer(raw, np.uint64)
+                n = len(s)
+                first = s[np.lexsort((s, held.value[cell(s)]))][: n - -(-percent * n // 100) + 1]
+                yield batch(schema, first.view(np.int64), *(np.full(len(first), x, np.int64) for x in (rep, n, label)))
+
+    return members.select("rep", "label", "items").mapInArrow(lean(run), "key long, rep long, n long, label long")
+
+
 def _resolve(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of large mixed buckets.  Buckets that share classes form a group; its classes are dealt
-    into blocks of bounded size, and each pair of blocks is one task, which counts common shingles over an inverted
-    index and gives back a spanning set of links only."""
+    """Links between classes of large groups.  Groups that share classes form a team; its classes are dealt into blocks
+    of bounded size, and each pair of blocks is one task, which counts common shingles over an inverted index and gives
+    back a spanning set of links only.  large: rep, head (the smallest class of its group)."""
     groups = components(large.select(F.col("rep").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("team"))
     heads = groups.select(F.col("team").alias("rep"), "team").distinct()
     members = stage(groups.unionByName(heads).join(sets, "rep"), "members")
@@ -252,7 +315,18 @@ def _resolve(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, side: int = SIDE, rows: int = ROWS) -> DataFrame:
-    """The input rows that stand for their component, one row each, with their own columns.  Rows whose set is
-    empty or whose doc_id is null are linked with nothing and stay."""
+    """The input rows that stand for their component, one row each, with their own columns.  Rows whose set is empty
+    are linked with nothing and stay.  Of rows with one doc_id and one text one stays, and of rows without a doc_id one
+    for each text that no row with a doc_id has."""
     gone = stage(cluster(docs, width, percent, side, rows).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return by_ids(docs, gone, "left_anti")
+    kept = by_ids(docs, gone, "left_anti")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
+    repeated = stage(repeated, "repeated")
+    if repeated.isEmpty():
+        return kept
+    full = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    ids = repeated.where("doc_id is not null")
+    once, twice = by_ids(kept, ids, "left_anti"), by_ids(kept, ids, "left_semi")
+    known = docs.where("doc_id is not null").select("text").distinct()
+    nameless = once.where(F.col("doc_id").isNull() & full).dropDuplicates(["text"]).join(known, "text", "left_anti").select(docs.columns)
+    return once.where(F.col("doc_id").isNotNull() | ~full).unionByName(nameless).unionByName(twice.where(~full)).unionByName(twice.where(full).dropDuplicates(["doc_id", "text"]))

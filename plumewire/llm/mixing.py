@@ -12,12 +12,14 @@ keeps ``vocabulary`` words.  Token totals, gradients and rates cover all documen
 Defined results: a null or empty text has no tokens, the posterior of a document without known words, and a rate
 like others; labels with a null domain or doc_id are left out; several labels of one document: the smallest
 domain; without labels there is one domain, ``all``; an empty table gives an empty result; repeated rows are
-documents of their own; other columns are ignored (``rates``) or kept untouched (``sample``).
+documents of their own; a very long text is one document with all its words; equal words in the vocabulary's order are
+taken by name (ties); other columns are ignored (``rates``) or kept untouched (``mix``).
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -133,7 +135,8 @@ def rate_after(steps: list[list[float]], posterior: Column) -> Column:
 
 def fit(held: DataFrame, targets: dict[int, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """Step vectors of the projected gradient descent on ``sum_k (T_k - target_k)**2 / scale_k`` over rates >= 0.
-    ``held`` has tokens and posterior; ``targets`` gives tokens for (some) places of the posterior."""
+    ``held`` has tokens and posterior; ``targets`` gives tokens for (some) places of the posterior.  A descent that is
+    still moving after ``steps`` steps warns, and says by how much the targets are missed."""
     first = held.select(F.size("posterior").alias("k")).first()
     if first is None:
         return []
@@ -148,14 +151,18 @@ def fit(held: DataFrame, targets: dict[int, float], steps: int = STEPS, toleranc
     bound = max(sum(abs(entry(i, j)) for j in targets) for i in targets)  # at least the largest eigenvalue
     taken: list[list[float]] = []
     last: dict[int, float] = {}
+    settled = False
     for _ in range(steps):
         r = rate_after(taken, F.col("posterior"))
         now = held.select(r.alias("r"), "tokens", "posterior").agg(*(F.sum(F.col("r") * n * p[i]).alias(f"t{i}") for i in targets)).first()
         miss = {i: now[f"t{i}"] - t for i, t in targets.items()}
         if max(abs(m) for m in miss.values()) <= tolerance * gram.n or last and max(abs(miss[i] - last[i]) for i in miss) <= tolerance * gram.n / 10:
-            break  # met, or as near as nonnegative rates come
+            settled = True  # met, or as near as nonnegative rates come
+            break
         last = miss
         taken.append([miss[i] / scale[i] / bound if i in miss else 0.0 for i in range(k)])
+    if not settled:
+        warnings.warn(f"the rates have not settled after {steps} steps; expected tokens miss the targets by {last}", stacklevel=2)
     return taken
 
 
@@ -183,10 +190,13 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float]) -> Data
     return held.select("doc_id", "tokens", F.array(*map(F.lit, model.domains)).alias("domains"), "posterior", rate.alias("rate"), draw(F.col("doc_id"), rate).alias("copies"))
 
 
-def thin(docs: DataFrame, labels: DataFrame, factors: dict[str, float]) -> DataFrame:
-    """The input rows, sampled without repetition: each domain of ``factors`` is to have so many times the expected
-    tokens that it has now; a document stays with probability min(1, rate).  A domain that is to shrink shrinks by what
-    stands out from documents without any marker, so that a classifier that can tell nothing drops nothing."""
+def mix(docs: DataFrame, labels: DataFrame, factors: dict[str, float]) -> DataFrame:
+    """The input rows, each as often as its rate says: rates below one drop rows by chance, rates above one give copies.
+    Each domain of ``factors`` is to have so many times the expected tokens that it has now (its epochs).  A domain
+    that is to shrink shrinks by what stands out from documents without any marker, so that a classifier that can tell
+    nothing drops nothing.
+
+    Rows without a doc_id stay as they are; other columns are kept; an empty table stays empty."""
     model = learn(docs, labels)
     held = stage(members(docs, model), "members")
     now = present(held, model)
@@ -195,7 +205,12 @@ def thin(docs: DataFrame, labels: DataFrame, factors: dict[str, float]) -> DataF
     floor = {d: (same[f"t{i}"] or 0.0) if factors.get(d, 1.0) < 1 else 0.0 for i, d in enumerate(model.domains)}
     targets = {i: floor[d] + (now[d] - floor[d]) * factors[d] for i, d in enumerate(model.domains) if d in factors}
     taken = fit(held, targets) if targets else []
-    return docs.where(F.coalesce(draw(F.col("doc_id"), rate_after(taken, model.posterior(F.col("text")))) >= 1, F.lit(True)))
+    times = F.when(F.col("doc_id").isNull(), F.lit(1).cast("long")).otherwise(draw(F.col("doc_id"), rate_after(taken, model.posterior(F.col("text")))))
+    name = "__pw_times"
+    while name in docs.columns:
+        name += "_"
+    out = docs.withColumn(name, times).where(F.col(name) > 0)
+    return out.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name)))).drop(name)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

@@ -183,6 +183,57 @@ def test_large_mixed_buckets_lose_no_link(spark, monkeypatch):
     assert got == sorted(brute_components(data, 4), key=repr)
 
 
+def test_classes_that_meet_by_rare_shingles_only(spark, monkeypatch):
+    """One passage in all texts puts them into common buckets; families of near copies and near misses hide in them."""
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 400)
+    r = random.Random(11)
+    common = [f"c{i}" for i in range(150)]
+    data = []
+    for family in range(25):
+        own = [f"f{family}.{i}" for i in range(60)]
+        for k in range(r.randint(1, 5)):
+            text = common + own
+            for _ in range(r.choice((0, 1, 2, 4))):
+                text[r.randrange(len(text))] = f"e{family}.{k}.{r.random()}"
+            data.append((len(data), " ".join(text)))
+    got = collected(minhash.cluster(spark.createDataFrame(data, "doc_id long, text string"), width=4))
+    assert got == sorted(brute_components(data, 4), key=repr)
+
+
+def test_recall_of_links(spark):
+    """Pairs of random similarity around the threshold: at least nine in ten links are found, and none is invented."""
+    r = random.Random(3)
+    data = []
+    for i in range(150):
+        text = [f"p{i}.{k}" for k in range(200)]
+        data.append((2 * i, " ".join(text)))
+        at = r.randint(4, 40)  # changed words at the end: similarity from 0.98 down to 0.67
+        data.append((2 * i + 1, " ".join(text[: 200 - at] + [f"q{i}.{k}" for k in range(at)])))
+    want = {a for a, _, c, _ in brute_components(data, 5) if a != c}
+    got = {a.doc_id for a in minhash.cluster(spark.createDataFrame(data, "doc_id long, text string")).collect() if a.doc_id != a.component_id}
+    assert len(want) > 40 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_components_of_stars_and_chains(spark):
+    r = random.Random(4)
+    edges = [(0, i) for i in range(1, 600)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5000, 5000)] + [(7000 + r.randrange(60), 7000 + r.randrange(60)) for _ in range(70)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x.node: x.label for x in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: y for x, y in label.items() if x != y}  # the smallest nodes stand for themselves
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_keep_one_of_repeated_rows_and_rows_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (3, "other words in this text here", "d"), (3, "and again something else to read", "e"), (None, text, "f"), (None, "no id but a text of its own", "g"), (None, "no id but a text of its own", "h"), (None, None, "i"), (4, " ", "j"), (4, " ", "k")]
+    got = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, __pw_id string")).collect()
+    assert sorted((x.doc_id is not None, x.doc_id or 0, x.text or "") for x in got) == sorted((i is not None, i or 0, t or "") for i, t, c in rows if c in "adegijk")
+
+
 # Language identification
 
 
@@ -361,12 +412,74 @@ def test_mixing_steps_equal_numpy(spark):
     assert abs((rate * n) @ p[:, 0] - target[0]) < 0.02 * total
 
 
+def test_mix_meets_the_target_with_copies(spark):
+    """Rates above one give copies: the rows that come out have the expected tokens of the targets."""
+    r = random.Random(6)
+    data = [(i, " ".join(f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(40)) + (" nasty foul" if i % 3 == 0 else " nice good"), i % 3 == 0) for i in range(1500)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "bad" if bad else "good") for i, _, bad in data if i % 2], "doc_id long, domain string")
+    got = Counter(x.doc_id for x in mixing.mix(docs, labels, {"good": 1.6, "bad": 0.25}).collect())
+    n = {kind: sum(got[i] for i, _, bad in data if bad == kind) for kind in (True, False)}
+    assert abs(n[False] - 1600) < 100 and abs(n[True] - 125) < 60
+    assert max(got.values()) == 2 and all(got[i] >= 1 for i, _, bad in data if not bad)
+
+
+def brute_posterior(docs, labels, text):
+    """Naive Bayes from counts, for a small labelled table: (sorted domains, posterior)."""
+    find = lambda t: {w for w in re.findall(r"[^\W\d_]+", (t or "").lower())}
+    domains = sorted(set(labels.values()))
+    held = {i: find(t) for i, t in docs if i in labels}
+    sizes = {d: sum(labels[i] == d for i in held) for d in domains}
+    total = sum(sizes.values())
+    counts = {w: [sum(w in held[i] and labels[i] == d for i in held) for d in domains] for w in set().union(*held.values())}
+    chosen = {}
+    for w, c in counts.items():
+        n = sum(c)
+        for k, d in enumerate(domains):
+            part = sizes[d] / total
+            if n >= mixing.MIN_SUPPORT and part <= 2 / 3 and c[k] / n >= min(mixing.MIN_LIFT * part, 0.9) and (c[k] - n * part) / math.sqrt(n * part + 0.5) >= mixing.MIN_Z:
+                chosen[w] = [(x + 0.5) / (sizes[e] + 1) for x, e in zip(c, domains)]
+    score = [math.log(sizes[d] / total) for d in domains]
+    for w, p in chosen.items():
+        score = [s + math.log(x if w in find(text) else 1 - x) for s, x in zip(score, p)]
+    grown = [math.exp(s - max(score)) for s in score]
+    return domains, [g / sum(grown) for g in grown], set(chosen)
+
+
+def test_classifier_against_brute_force(spark):
+    r = random.Random(8)
+    say = {"a": ["alpha", "amber"], "b": ["beta", "bronze"], "c": ["gamma"]}
+    data, labels = [], {}
+    for i in range(360):
+        kind = "abc"[i % 3]
+        own = [f"{c}{chr(97 + i % 26)}{chr(97 + i // 26)}" for c in "unv"]  # between them every run of three words is a document's own
+        known = [r.choice(say[kind] if r.random() < 0.8 else say["abc"[r.randrange(3)]]) for _ in range(2)]
+        data.append((i, f"{own[0]} {known[0]} {own[1]} {known[1]} {own[2]}"))
+        if i % 4:
+            labels[i] = kind
+    docs = spark.createDataFrame([*data, (999, None)], "doc_id long, text string")
+    model = mixing.learn(docs, spark.createDataFrame(list(labels.items()), "doc_id long, domain string"))
+    got = {x.doc_id: x.posterior for x in mixing.members(docs, model).collect()}
+    assert {"alpha", "beta", "gamma"} <= set(model.weights)
+    for i, text in [*data[::7], (999, None)]:
+        domains, want, chosen = brute_posterior(data, labels, text)
+        assert model.domains == domains and set(model.weights) - {"#symbols0"} == chosen
+        assert np.allclose(got[i], want, atol=1e-9)
+
+
+def test_descent_that_does_not_settle_says_so(spark):
+    held = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.2, 0.8])], "tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="not settled"):
+        mixing.fit(held, {0: 1.0, 1: 25.0}, steps=1, tolerance=1e-9)
+
+
 def test_mixing_odd_tables(spark, docs, empty):
     labels = spark.createDataFrame([(5, "good"), (5, "bad"), (None, "good"), (8, None)], "doc_id long, domain string")
     assert mixing.rates(docs, labels, {"good": 1.0}).count() == docs.count()
     assert mixing.rates(docs, labels.limit(0), {"good": 1.0}).select("domains").first().domains == ["all"]
     assert mixing.rates(empty, labels, {"bad": 1.0}).count() == 0
-    assert mixing.thin(docs, labels, {"bad": 1.5}).columns == docs.columns
+    assert mixing.mix(docs, labels, {"bad": 1.5}).columns == docs.columns
+    assert mixing.mix(empty, labels, {"bad": 1.5}).count() == 0
 
 
 # Secrets
