@@ -16,12 +16,14 @@ WITH d AS (
 ), rep AS (
   SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS i FROM twice, (SELECT unnest([0, 1, 2]) AS k)) GROUP BY r
 ), lines AS (
-  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup,
+    count(*) FILTER (WHERE regexp_matches(line, '^[ \x09-\x0D]*[-*•]')) AS n_bullets, count(*) FILTER (WHERE regexp_matches(line, '(\.\.\.|…)[ \x09-\x0D]*$')) AS n_ellipses
   FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
 ), f AS (
   SELECT d.doc_id, d.text, w.ws, len(w.ws) AS n_words, length(array_to_string(w.ws, '')) AS word_chars,
     length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-    coalesce(lines.dup, 0) AS n_dup_lines, coalesce(lines.n_lines, 0) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words
+    coalesce(lines.dup, 0) AS n_dup_lines, coalesce(lines.n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_ellipses, 0) AS n_ellipses, coalesce(rep.n, 0) AS n_repeat_words,
+    len(list_filter(w.ws, lambda x: NOT regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) AS n_letterless, len(list_filter(w.ws, lambda x: x = list_aggregate(w.ws, 'mode'))) AS n_top
   FROM d JOIN w USING (r) LEFT JOIN lines USING (r) LEFT JOIN rep USING (r)
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
@@ -32,7 +34,8 @@ WITH d AS (
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND NOT (10 * n_symbols > 3 * n_words) AND NOT (upper_letters > lower_letters) AND NOT (2 * n_dup_lines > n_lines)
-    AND NOT (word_chars > 40 * n_words) AND NOT (20 * len(list_distinct(ws)) < n_words) AS kept
+    AND NOT (word_chars > 40 * n_words) AND NOT (20 * len(list_distinct(ws)) < n_words)
+    AND NOT (2 * n_letterless > n_words) AND NOT (10 * n_top > 3 * n_words) AND NOT (10 * n_bullets > 9 * n_lines) AND NOT (10 * n_ellipses > 3 * n_lines) AS kept
 FROM b
 """
 

@@ -37,6 +37,8 @@ def brute_quality(text):
     failed = n < 50 or 100 * len(mark) > 50 * n
     upper, lower = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
     bad = 10 * symbols > 3 * n or upper > lower or 2 * dup > len(lines) or sum(map(len, w)) > 40 * n or 20 * len(set(w)) < n
+    bad |= 2 * sum(not re.search(r"[A-Za-z\x80-\U0010FFFF]", x) for x in w) > n or 10 * max(Counter(w).values(), default=0) > 3 * n
+    bad |= 10 * sum(bool(re.match(r"[ \t\n\v\f\r]*[-*•]", x)) for x in lines) > 9 * len(lines) or 10 * sum(bool(re.search(r"(\.\.\.|…)[ \t\n\v\f\r]*\Z", x)) for x in lines) > 3 * len(lines)
     return n, sum(map(len, w)), symbols, dup, len(mark), failed, not failed and not bad
 
 
@@ -49,8 +51,39 @@ def test_quality_order_does_not_change_the_verdict(docs):
     orders = (list(quality.RULES), list(quality.RULES)[::-1])
     a, b = (collected(quality.measure(docs, order=o).select("doc_id", "kept")) for o in orders)
     assert a == b
-    assert quality.order_rules([("a", 1.0, 0.5), ("b", 0.1, 0.2), ("c", 1.0, 0.5)]) == ["b", "a", "c"]
-    assert collected(quality.keep_good(docs).select("doc_id")) == [(i,) for i, k in a if k]
+    for order in (None, list(quality.RULES)[::-1]):
+        assert collected(quality.keep_good(docs, order=order).select("doc_id")) == [(i,) for i, k in a if k]
+
+
+def test_quality_rules_each_reject_something():
+    some = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    texts = {
+        "few_words": "one two", "repeats": "same words here " * 40, "many_symbols": some.replace("w", "#w"), "shouting": some.upper(), "same_lines": "\n".join([some, *["x y"] * 6]), "long_words": " ".join("z" * 50 + str(i) for i in range(60)),
+        "small_vocabulary": "a " * 100, "few_letters": " ".join(map(str, range(90))), "one_word": some + " zz" * 40, "bullets": "\n".join(f"- {some} {i}" for i in range(4)), "breaking_off": "\n".join(f"{some} {i}..." for i in range(4)),
+    }
+    for name, rule in (quality.BASE | quality.RULES).items():
+        assert rule.test(quality.View(texts[name].encode())), name
+        assert not rule.test(quality.View(some.encode())), name
+
+
+def test_cascade_takes_rejections_per_second_among_those_left():
+    """A figure that an earlier rule has paid for is free, and only documents that are still there count."""
+    bodies = [b"a" * n for n in range(100)]
+    rule = lambda needs, test: quality.Rule(needs, lambda v: test(len(v.body)))
+    rules = {"cheap": rule(("words",), lambda n: n < 30), "same": rule(("words", "n_repeat_words"), lambda n: n < 30), "dear": rule(("vocabulary",), lambda n: n >= 60), "last": rule(("lines",), lambda n: n == 50)}
+    costs = dict.fromkeys(quality.FIGURES, 1.0) | {"words": 2.0, "n_repeat_words": 0.5, "vocabulary": 9.0, "lines": 1.0}
+    got = quality.cascade(bodies, rules, costs)
+    assert [name for name, _, _ in got] == ["cheap", "dear", "last", "same"]
+    assert abs(got[1][1] - 9.0) < 1e-3 and abs(got[1][2] - 40.5 / 71) < 1e-9  # the words were paid for; 40 of the 70 that are left
+    free = quality.cascade(bodies, rules, costs, known={"vocabulary", "words"})
+    assert [name for name, _, _ in free][:2] == ["dear", "cheap"]
+
+
+def test_cost_sample_is_bounded(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    got = quality.sample(docs, 300)
+    assert len(got) == 300 and len(set(got)) == 300
+    assert len(quality.sample(docs.limit(5), 300)) == 5 and quality.sample(docs.limit(0)) == []
 
 
 # Decontamination
