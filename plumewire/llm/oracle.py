@@ -101,6 +101,19 @@ _MATCHES = " UNION ALL ".join(
     f"SELECT r, doc_id, {k} AS kind, unnest(regexp_extract_all(text, '{p}')) AS m, unnest(string_split_regex(text, '{p}')[:-2]) AS gap, unnest(range(len(regexp_extract_all(text, '{p}')))) AS i FROM d" for k, (_, p) in enumerate(_KINDS)
 )
 
+
+
+def _nearest(kinds: str, name: str) -> str:
+    """The last end before and the first start after, with their spans."""
+    pick = lambda f, by, w: f"{f}({{'p': {by[0]}, 'q': {by[1]}, 's': s}}) FILTER (WHERE kind IN ({kinds})) OVER {w}"
+    return f"{pick('max', ('finish', 'begin'), 'up')} AS {name}_b, {pick('min', ('begin', 'kind'), 'down')} AS {name}_a"
+
+
+def _choice(name: str) -> str:
+    left, right = f"begin - {name}_b.p", f"{name}_a.p - finish"
+    return f"CASE WHEN {left} <= 160 AND (NOT coalesce({right} <= 160, false) OR {left} <= {right}) THEN {name}_b.s WHEN {right} <= 160 THEN {name}_a.s END"
+
+
 OP9 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
 ), m AS ({_MATCHES}
@@ -116,14 +129,19 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text
     coalesce(begin - max(finish) FILTER (WHERE kind IN (0, 2, 4)) OVER up <= 160, false) OR coalesce(min(begin) FILTER (WHERE kind IN (0, 2, 4)) OVER down - finish <= 160, false) AS by_secret,
     coalesce(max(finish) FILTER (WHERE kind < 3) OVER up > begin, false) OR coalesce(min(begin) FILTER (WHERE kind < 3) OVER down < finish, false) AS covered
   FROM ok WINDOW up AS (PARTITION BY r ORDER BY begin, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), down AS (PARTITION BY r ORDER BY begin DESC, kind DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), said AS (
-  SELECT r, kind, begin, ['assign', 'access', 'hex', 'ident', 'part', 'endpoint'][kind + 1] || ':' || begin || ':' || finish AS s FROM near
+), shown AS (
+  SELECT r, kind, begin, finish, ['assign', 'access', 'hex', 'ident', 'part', 'endpoint'][kind + 1] || ':' || begin || ':' || finish AS s FROM near
   WHERE strong OR NOT covered AND CASE kind WHEN 4 THEN by_ident WHEN 3 THEN by_secret ELSE by_ident AND by_secret END
+), beside AS (
+  SELECT *, {_nearest("1, 3", "ident")}, {_nearest("5", "endpoint")}
+  FROM shown WINDOW up AS (PARTITION BY r ORDER BY begin, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), down AS (PARTITION BY r ORDER BY begin DESC, kind DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), said AS (
+  SELECT r, kind, begin, s, CASE WHEN kind IN (0, 2, 4) THEN {_choice("ident")} || '+' || s || coalesce('+' || {_choice("endpoint")}, '') END AS link FROM beside
 ), g AS (
   SELECT r, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS b, count(*) FILTER (WHERE kind = 2) AS c,
-    string_agg(s, ',' ORDER BY begin, kind) FILTER (WHERE kind < 3) AS base, string_agg(s, ',' ORDER BY begin, kind) AS spans FROM said GROUP BY r
+    string_agg(s, ',' ORDER BY begin, kind) FILTER (WHERE kind < 3) AS base, string_agg(s, ',' ORDER BY begin, kind) AS spans, string_agg(link, ',' ORDER BY begin, kind) AS links FROM said GROUP BY r
 )
-SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(links, '') AS links
 FROM d LEFT JOIN g USING (r)
 """
 

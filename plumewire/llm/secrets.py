@@ -7,10 +7,14 @@ identifier, an identifier needs a secret, an endpoint needs both.  The intervals
 by position, each span sees the nearest complementary end before it and start after it, so the work is in
 proportion to the spans and no pairs are made.
 
+What belongs together is reported too: each secret with its nearest identifier within the scope, and its nearest
+endpoint there, if any (``links``).
+
 Positions are code points, end exclusive; matches of a kind are leftmost and do not overlap.
 
-Defined results: a null or empty text has no spans; repeated rows give repeated results; an empty table gives an
-empty result; other columns are ignored.
+Defined results: a null or empty text has no spans; a very long text is searched whole; of two identifiers at one
+distance (a tie) the one before the secret is linked; repeated rows give repeated results (``links``: one result, as
+they are one document); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,14 +84,46 @@ def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return placed.withColumn("report", report).select(*key, "copies", F.when(F.col("report"), F.col("kind")).alias("kind"), "begin", "finish")
 
 
+def _linked(found: DataFrame, scope: int) -> DataFrame:
+    """The spans with ``ident`` and ``endpoint`` (kind, begin, finish; null but for secrets): the nearest reported ones."""
+    kind = {k: F.col("kind") == i for i, k in enumerate(KINDS)}
+    key = ["doc_id", "h"]
+    up = Window.partitionBy(*key).orderBy("begin", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*key).orderBy(F.desc("begin"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    secret = kind["assign"] | kind["hex"] | kind["part"]
+
+    def nearest(wanted: Column) -> Column:
+        before = F.max(F.when(wanted, F.struct("finish", "begin", "kind"))).over(up)
+        after = F.min(F.when(wanted, F.struct("begin", "kind", "finish"))).over(down)
+        left, right = F.col("begin") - before["finish"], after["begin"] - F.col("finish")
+        same = lambda x: F.struct(x["kind"].alias("kind"), x["begin"].alias("begin"), x["finish"].alias("finish"))
+        near = lambda gap: F.coalesce(gap <= scope, F.lit(False))
+        return F.when(secret & near(left) & (~near(right) | (left <= right)), same(before)).when(secret & near(right), same(after))
+
+    return found.withColumns({"ident": nearest(kind["access"] | kind["ident"]), "endpoint": nearest(kind["endpoint"])})
+
+
+def _named(x: Column) -> Column:
+    return F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["begin"].cast("string"), x["finish"].cast("string"))
+
+
+def links(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """doc_id, secret, ident, endpoint (each kind:begin:end; endpoint may be null): one row for each secret that has
+    an identifier within the scope."""
+    whole = F.struct("kind", "begin", "finish")
+    found = _linked(spans(docs, scope), scope).where("ident is not null")
+    return found.select("doc_id", _named(whole).alias("secret"), _named(F.col("ident")).alias("ident"), F.when(F.col("endpoint").isNotNull(), _named(F.col("endpoint"))).alias("endpoint"))
+
+
 def report(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    ordered = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("begin", "kind", "finish"))))
-    got = spans(docs, scope).groupBy("doc_id", "h").agg(F.first("copies").alias("copies"), ordered.alias("s"))
-    names = F.array(*map(F.lit, KINDS))
-    text = lambda items: F.array_join(F.transform(items, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["begin"].cast("string"), x["finish"].cast("string"))), ",")
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, links (identifier+secret+endpoint by the secret's place)."""
+    ordered = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("begin", "kind", "finish", "ident", "endpoint"))))
+    got = _linked(spans(docs, scope), scope).groupBy("doc_id", "h").agg(F.first("copies").alias("copies"), ordered.alias("s"))
+    text = lambda items: F.array_join(F.transform(items, _named), ",")
+    link = lambda x: F.concat(_named(x["ident"]), F.lit("+"), _named(x), F.when(x["endpoint"].isNotNull(), F.concat(F.lit("+"), _named(x["endpoint"]))).otherwise(""))
     count = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long")
     out = got.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(text(F.filter("s", lambda x: x["kind"] < 3)), 256).alias("base_sha256"), text(F.col("s")).alias("spans"), "copies"
-    )
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(text(F.filter("s", lambda x: x["kind"] < 3)), 256).alias("base_sha256"), text(F.col("s")).alias("spans"),
+        F.array_join(F.transform(F.filter("s", lambda x: x["ident"].isNotNull()), link), ",").alias("links"), "copies",
+    )
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")

@@ -535,6 +535,17 @@ def test_secret_spans(spark, text, spans):
     assert got.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
 
 
+def test_secret_links(spark):
+    part, other = "Zq9Zq9Zq9Zq9Zq9Zq9Zq9Zq9Zq9", "Xw8Xw8Xw8Xw8Xw8Xw8Xw8Xw8Xw8"
+    texts = [f"user: bob {part} at https://db.example", f"user: ann {part} {'- ' * 100} user: bob {other}", f"{part} user: zoe", f"password: abcdefgh1 {'- ' * 100} {KEY}", f"{KEY} password: abcdefgh1", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    far = len(f"user: ann {part} {'- ' * 100} ")
+    want = [(0, "part:10:37", "ident:0:9", "endpoint:41:59"), (1, "part:10:37", "ident:0:9", None), (1, f"part:{far + 10}:{far + 37}", f"ident:{far}:{far + 9}", None), (2, "part:0:27", "ident:28:37", None), (4, "assign:21:40", "access:0:20", None)]
+    assert collected(secrets.links(docs)) == sorted(want, key=repr)
+    assert {r.doc_id: r.links for r in secrets.report(docs).collect()}[0] == "ident:0:9+part:10:37+endpoint:41:59"
+    assert secrets.links(docs.limit(0)).count() == 0
+
+
 def test_secrets_keep_every_row(docs, plain):
     assert secrets.report(docs).count() == len(plain)
     twice = docs.unionByName(docs)
