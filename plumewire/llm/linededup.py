@@ -4,10 +4,11 @@ The distinct line hashes (128 bits) are split into shards of bounded size.  Each
 hash and, at its positions, compact arrays: a 32-bit fingerprint, a saturating count and the owner (the
 smallest document id).  The lines of the documents go to the shard that holds them and probe the arrays; no
 line text is joined.  A shard that frequent lines make hot is copied as often as its probes need, so that no
-group of probes is larger than ``target`` rows.
+group of probes is larger than ``target`` rows, which is at most ``PROBES`` however large the table is.
 
-Defined results: a null or empty text is one empty line; rows with a null doc_id own and lose nothing; two
-rows with one doc_id count as one document; an empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text is one empty line; a very long text is one document with all its lines; rows with a
+null doc_id own and lose nothing; two rows with one doc_id (ties, repeated rows) count as one document; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ SPACE = b" \t\n\v\f\r"
 MIN_CHARS = 10
 #: Bits for each key of a level of the hash; more bits, fewer levels.
 GAMMA = 2
-#: Line hashes of a shard, at most about.
-SHARD_KEYS = 1_000_000
+#: Line hashes of a shard, at most about; probes of one group, at most about.
+SHARD_KEYS, PROBES = 1_000_000, 1_000_000
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -144,7 +145,7 @@ def build_index(keys: DataFrame, shards: int) -> DataFrame:
 
 def probe(keys: DataFrame, index: DataFrame, shards: int, target: int) -> DataFrame:
     """doc_id and hash of the lines that another, smaller document owns."""
-    # At most (all probes) / target shards are hotter than target, so this side has a fixed bound.
+    # At most (all probes) / target shards are hotter than target: 4 a shuffle partition, or one row for a million probes.
     hot = index.where(F.col("load") > target).select("shard", F.ceil(F.col("load") / target).cast("int").alias("salts"))
     sent = keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).join(F.broadcast(hot), "shard", "left")
     sent = sent.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
@@ -182,7 +183,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     bound_batches(spark)
     keys = stage(line_hashes(docs, min_chars), "line-hashes")
     n_keys = keys.count()
-    target = max(500, n_keys // (4 * shuffle_width(spark)))
+    target = min(PROBES, max(500, n_keys // (4 * shuffle_width(spark))))
     shards = max(8 * shuffle_width(spark), n_keys // SHARD_KEYS)
     index = stage(build_index(keys, shards), "line-index")
     drops = probe(keys, index, shards, target).groupBy("doc_id").agg(F.collect_list("h").alias("drops"))
