@@ -10,8 +10,8 @@ held back to calibrate: the temperature of the score, and for each language the
 prediction is marked as rejected.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any language learned all
-texts are ``und``; repeated rows give repeated results; an empty table gives an empty result; other columns are
-ignored.
+texts are ``und``; a very long text is scored whole; repeated rows give repeated results; a null doc_id is kept as it is;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ outside ``REFERENCES``, which Python decodes.
 
 Defined results: a null page has an empty payload, an empty conversion and digests of the empty string; a null
 url is an empty target; a null page_id counts as an empty id; repeated rows give repeated records; an empty
-table gives an empty result; other columns are ignored.  A "<" opens a tag only before a letter, "/", "!" or "?".  A
+table gives an empty result; a very long page is converted whole; other columns are ignored.  A "<" opens a tag only before a letter, "/", "!" or "?".  A
 character reference ends with a semicolon; what looks like one and is none stays as it is.
 """
 

@@ -308,6 +308,71 @@ def test_kneser_ney_sums_to_one():
         assert all(x < 0 for x in logs) and (end is None or before < 0)
 
 
+def brute_kneser_ney(counts, order):
+    """For each language a function (context, character) -> probability, from dictionaries."""
+    alphabet = len({x for c in counts for w in c for x in w.decode() + " "}) + 1
+    found = []
+    for c in counts:
+        n = [Counter() for _ in range(order)]
+        longer = [set() for _ in range(order)]
+        for w, times in c.items():
+            t = f" {w.decode()} "
+            for p in range(1, len(t)):
+                for k in range(min(p, order - 1) + 1):
+                    if k == order - 1 or k == p:  # the highest order, and contexts at the start of a word
+                        n[k][t[p - k : p], t[p]] += times
+                    else:
+                        longer[k].add((t[p - k - 1 : p], t[p]))
+        for k in range(order):
+            n[k].update((context[1:], char) for context, char in longer[k])
+        found.append(n)
+
+    def chance(n, context, char):
+        context = context[-(order - 1) :] if order > 1 else ""
+        lower = chance(n, context[1:], char) if context else 1 / alphabet
+        k = len(context)
+        own = {x: v for (y, x), v in n[k].items() if y == context}
+        if not own:
+            return lower
+        ones, twos = (sum(v == i for v in n[k].values()) for i in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        total = sum(own.values())
+        return (own[char] - d if char in own else 0) / total + d * len(own) / total * lower
+
+    return [lambda context, char, n=n: chance(n, context, char) for n in found]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_kneser_ney_against_brute_force(order):
+    r = random.Random(order)
+    counts = [Counter({"".join(r.choice(letters) for _ in range(r.randint(1, 6))).encode(): r.randint(1, 3) for _ in range(25)}) for letters in ("abcd", "bcdé", "xyzß")]
+    models = langid.Models(["p", "q", "r"], counts, order)
+    asked = [*list(counts[0])[:6], *list(counts[1])[:6], *list(counts[2])[:6], b"abq", b"zzzzzzzz", "éé".encode(), "ñ".encode()]
+    logs, chars = models.score(asked)
+    chances = brute_kneser_ney(counts, order)
+    for w, row, n in zip(asked, logs, chars):
+        t = f" {w.decode()} "
+        assert n == len(t) - 1
+        assert np.allclose(row, [sum(math.log(f(t[:p], t[p])) for p in range(1, len(t))) for f in chances], rtol=1e-4, atol=1e-4)
+
+
+def test_language_of_whole_texts_against_brute_force(speech):
+    """The operator's choice is the language of the lowest cross-entropy, on whole texts, a very long one among them."""
+    models = langid.train(speech, F.lit(True))
+    plain = [(r.doc_id, r.text) for r in speech.collect()] + [(950, "le que on ment " * 40_000), (951, "the of die"), (951, "the of die")]
+    got = {r.doc_id: r for r in langid.identify(speech.sparkSession.createDataFrame(plain, "doc_id long, text string"), models).collect()}
+    for i, text in plain:
+        found = re.findall(r"[^\x00-\x60\x7b-\x7f]+", (text or "").lower())
+        if not found:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        distinct = Counter(found)
+        logs, chars = models.score([w.encode() for w in distinct])
+        times = np.array(list(distinct.values()))
+        entropy = -(times @ logs) / (times @ chars)
+        assert got[i].lang_pred == models.langs[int(entropy.argmin())] and abs(got[i].entropy - entropy.min()) < 1e-6
+
+
 # Token files
 
 
