@@ -101,6 +101,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_staged: list[str] = []
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove the stage tables so far, whose results must have been read by now; a long session calls this between
+    queries, and the driver's end does."""
+    while _staged:
+        _remove(spark, _staged.pop())
+
+
 def stage(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there,
     so a lost executor costs a read and not a recomputation.  ``out`` is a folder of the caller's, who keeps it."""
@@ -109,7 +119,9 @@ def stage(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     if not out:
-        atexit.register(_remove, spark, path)
+        _staged.append(path)
+        if len(_staged) == 1:
+            atexit.register(drop_stages, spark)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -1,7 +1,5 @@
 """DuckDB SQL for the numbered queries that SQL can express."""
 
-from .warc import CLEANING, REFERENCES, SPACING
-
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3 = r"""
@@ -147,29 +145,33 @@ FROM d LEFT JOIN g USING (r)
 
 def _warc() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    text = "body"
-    for pattern, to in CLEANING:
-        text = f"regexp_replace({text}, {q(pattern)}, {q(to)}, 'g')"
-    for name, to in REFERENCES:
+    # Own patterns: silent elements one after the other, tags told by what follows "<", blocks put together from trimmed lines.
+    text = "regexp_replace(body, '(?s)<!--.*?-->', ' ', 'g')"
+    for name in ("script", "style", "noscript", "template", "head"):
+        text = f"regexp_replace({text}, {q(f'(?is)<{name}([[:space:]/][^>]*)?>.*?</{name}[[:space:]]*>')}, ' ', 'g')"
+    text = f"regexp_replace({text}, {q('(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/ul|/ol|/table|/article|/section|/header|/footer|/nav|/aside)([[:space:]/][^>]*)?>')}, chr(10), 'g')"
+    text = f"regexp_replace({text}, '<[A-Za-z/!?][^>]*>', ' ', 'g')"
+    for name, to in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}.items():  # all that the tables have
         text = f"replace({text}, {q(name)}, {q(to)})"
-    for pattern, to in SPACING:
-        text = f"regexp_replace({text}, {q(pattern)}, {q(to)}, 'g')"
+    lines = f"list_transform(string_split({text}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\f\\v]+', ' ', 'g')))"
+    text = f"array_to_string(list_filter({lines}, lambda x: x <> ''), chr(10))"
+    headers = "'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body)"
     uuid = lambda kind, x: f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5('{kind}|' || {x}) AS h))"
     crlf = "chr(13) || chr(10)"
     return f"""
 WITH r AS (
   SELECT {uuid("response", "coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')")} AS refers_to, coalesce(url, '') AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, coalesce(html, '') AS body FROM pages
 ), d AS (
-  SELECT *, 'sha256:' || sha256(body) AS payload_digest FROM r
+  SELECT *, 'sha256:' || sha256(body) AS payload_digest, {headers} AS source_headers FROM r
 ), b AS (
-  SELECT 'metadata' AS warc_type, {uuid("metadata", "refers_to")} AS record_id, refers_to, target_uri, warc_date, 'application/warc-fields' AS content_type, payload_digest,
+  SELECT 'metadata' AS warc_type, {uuid("metadata", "refers_to")} AS record_id, refers_to, target_uri, warc_date, 'application/warc-fields' AS content_type, source_headers, payload_digest,
     'refers-to: ' || refers_to || {crlf} || 'payload-digest: ' || payload_digest || {crlf}
     || 'title: ' || trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1), '\\s+', ' ', 'g')) || {crlf}
     || 'outlinks: ' || len(regexp_extract_all(body, '(?i)<a\\s[^>]*href\\s*=')) || {crlf}
     || 'source-Content-Type: text/html; charset=utf-8' || {crlf} || 'source-Content-Length: ' || strlen(body) AS block
   FROM d
   UNION ALL
-  SELECT 'conversion', {uuid("conversion", "refers_to")}, refers_to, target_uri, warc_date, 'text/plain; charset=utf-8', payload_digest, {text} FROM d
+  SELECT 'conversion', {uuid("conversion", "refers_to")}, refers_to, target_uri, warc_date, 'text/plain; charset=utf-8', source_headers, payload_digest, {text} FROM d
 )
 SELECT *, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest FROM b
 """

@@ -18,27 +18,28 @@ import re
 from html.entities import html5
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..sources.pages import decode as decode_page
 from .common import bound_batches
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: Fixed values, which the SQL reads too: the usual character references, decoded in this order.
+#: The usual character references, decoded in this order.
 REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-#: Patterns of the SQL (pattern, replacement) in order: what is not text, then block ends, then other tags, then white space.
-CLEANING = [
-    (r"(?is)<!--.*?-->|<(script|style|head|noscript|template)\b.*?</(script|style|head|noscript|template)\s*>", " "),
-    (r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/ul|/ol|/table|/article|/section|/header|/footer|/nav|/aside)\b[^>]*>", "\n"),
-    (r"<[^>]*>", " "),
-]
-#: What the plain text uses: the same, but only whole element names, and a tag only where "<" opens one.
+#: Elements whose content is not text; the head last, as it holds others of them.
+SILENT = ("script", "style", "noscript", "template", "head")
+BREAKS = "br|/p|/div|/li|/h[1-6]|/tr|/ul|/ol|/table|/article|/section|/header|/footer|/nav|/aside"
+#: (pattern, replacement) in order: comments and silent elements (each up to its own end), the head, block ends, other
+#: tags.  Names count whole, and "<" opens a tag only before a letter, "/", "!" or "?".
+_ELEMENT = r"<{0}(?=[\s/>])[^>]*+>.*?</{0}\s*+>"
 TAGS = [
-    (r"(?is)<!--.*?-->|<(script|style|head|noscript|template)(?=[\s/>]).*?</(script|style|head|noscript|template)\s*>", " "),
-    (r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/ul|/ol|/table|/article|/section|/header|/footer|/nav|/aside)(?=[\s/>])[^>]*>", "\n"),
-    (r"<(?=[a-zA-Z/!?])[^>]*>", " "),
+    ("(?is)<!--.*?-->|" + "|".join(_ELEMENT.format(n) for n in SILENT[:-1]), " "),
+    ("(?is)" + _ELEMENT.format(SILENT[-1]), " "),
+    (rf"(?i)<({BREAKS})(?=[\s/>])[^>]*+>", "\n"),
+    (r"<(?=[a-zA-Z/!?])[^>]*+>", " "),
 ]
 #: A reference outside REFERENCES (Java); every reference (Python).
 _OTHER = "&(?!(?:" + "|".join(name[1:] for name, _ in REFERENCES) + "))(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
@@ -57,13 +58,41 @@ def digest(body: Column) -> Column:
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """Response records of crawled pages: record_id, target_uri, warc_date, headers (HTTP), body."""
+    """Response records of a table of pages, which has neither dates nor headers: record_id, target_uri, warc_date (of
+    the crawl, given), headers (status, type and length as they follow from the page), body.  Records of WARC files come
+    with their own (``responses_of``)."""
     body = F.coalesce("html", F.lit(""))
     source = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")))
     headers = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length(body).cast("string"))
     return pages.select(record_id(source, "response").alias("record_id"), F.coalesce("url", F.lit("")).alias("target_uri"), F.lit(date).alias("warc_date"), headers.alias("headers"), body.alias("body"))
 
 
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of WARC files, plain or compressed: fields (header names in lower case to values), block (bytes) and
+    complete (the block has its declared length).  Spark splits the files at the records' first line, so no file is read
+    as one piece; a record whose block holds such a line is cut there, and is not complete."""
+    rows = spark.read.option("lineSep", f"WARC/1.0{CRLF}").text(path).where(F.length(F.trim("value")) > 0)
+    head = F.substring_index("value", CRLF * 2, 1)
+    lines = F.filter(F.split(head, CRLF), lambda x: x.contains(":"))
+    fields = F.map_from_entries(F.array_distinct(F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.substring(x, F.locate(":", x) + 1, F.length(x))).alias("value")))))
+    held = rows.select(fields.alias("fields"), F.octet_length(head).alias("n"), F.col("value").cast("binary").alias("raw"))
+    size = F.coalesce(F.try_element_at("fields", F.lit("content-length")).try_cast("int"), F.lit(0))
+    block = F.substring("raw", F.col("n") + 5, size)
+    return held.select("fields", block.alias("block"), (F.octet_length(block) == size).alias("complete"))
+
+
+def responses_of(records: DataFrame) -> DataFrame:
+    """The complete HTTP responses among ``read_warc``'s records, as ``responses`` has them: their own ids, targets,
+    dates and headers; the body by its charset.  Repeated header lines of one name stay."""
+    get = lambda name: F.try_element_at("fields", F.lit(name))
+    r = records.where((get("warc-type") == "response") & F.col("complete"))
+    text = F.decode("block", "ISO-8859-1")  # a character a byte
+    head = F.substring_index(text, CRLF * 2, 1)
+    body = F.substring("block", F.length("head") + 5, F.greatest(F.lit(0), F.octet_length("block") - F.length("head") - 4))
+    r = r.select(get("warc-record-id").alias("record_id"), get("warc-target-uri").alias("target_uri"), get("warc-date").alias("warc_date"), head.alias("head"), "block")
+    return r.select("record_id", F.coalesce("target_uri", F.lit("")).alias("target_uri"), "warc_date", F.col("head").alias("headers"), F.coalesce(decode_page(body, F.col("head")), F.lit("")).alias("body"))
+
+
 def _character(m: re.Match) -> str:
     name = m[0][1:]
     found = entities.unescape(m[0]) if name[0] == "#" else html5.get(name, m[0])
@@ -98,8 +127,8 @@ def plain_text(records: DataFrame) -> DataFrame:
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Two records for each response: warc_type, record_id, refers_to, target_uri, warc_date, content_type, block,
-    content_length, block_digest, payload_digest (of the response)."""
+    """Two records for each response: warc_type, record_id, refers_to, target_uri, warc_date, content_type, source_headers
+    (the response's HTTP headers), block, content_length, block_digest, payload_digest (of the response)."""
     bound_batches(records.sparkSession)
     records = plain_text(records)
     payload = digest(F.col("body"))
@@ -113,27 +142,41 @@ def derive(records: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), about.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
-    both = records.select("record_id", "target_uri", "warc_date", payload.alias("payload_digest"), F.explode(kinds).alias("d"))
+    both = records.select("record_id", "target_uri", "warc_date", F.col("headers").alias("source_headers"), payload.alias("payload_digest"), F.explode(kinds).alias("d"))
     own = F.when(F.col("d.warc_type") == "metadata", record_id(F.col("record_id"), "metadata")).otherwise(record_id(F.col("record_id"), "conversion"))
     return both.select(
-        "d.warc_type", own.alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "d.content_type", "d.block", F.octet_length("d.block").cast("long").alias("content_length"), digest(F.col("d.block")).alias("block_digest"), "payload_digest"
+        "d.warc_type", own.alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "warc_date", "d.content_type", "source_headers", "d.block", F.octet_length("d.block").cast("long").alias("content_length"), digest(F.col("d.block")).alias("block_digest"), "payload_digest"
     )
 
 
 _FIELDS = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
 
 
+#: A source header line in the derivative's own header.
+_SOURCE = "X-Source-"
+
+
 def serialise(derived: DataFrame) -> DataFrame:
-    """One text a record in the WARC/1.0 form; the texts put together are a WARC file."""
-    head = F.concat_ws(CRLF, F.lit("WARC/1.0"), *(F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in _FIELDS))
+    """One text a record in the WARC/1.0 form; the texts put together are a WARC file.  The source's headers are lines of
+    the record's header, its status line among them."""
+    lines = F.transform(F.split("source_headers", CRLF), lambda x: F.concat(F.lit(_SOURCE), F.when(x.contains(": "), x).otherwise(F.concat(F.lit("Status: "), x))))
+    head = F.concat_ws(CRLF, F.lit("WARC/1.0"), *(F.concat(F.lit(f"{name}: "), F.col(c).cast("string")) for name, c in _FIELDS), lines)
     return derived.select(F.concat(head, F.lit(CRLF * 2), "block", F.lit(CRLF * 2)).alias("record"))
 
 
 def parse(records: DataFrame) -> DataFrame:
     """The inverse of ``serialise`` on a column ``record``."""
     at = F.locate(CRLF * 2, "record")
-    head = F.substring("record", F.lit(1), at - 1)
-    fields = F.map_from_entries(F.transform(F.slice(F.split(head, CRLF), F.lit(2), F.size(F.split(head, CRLF)) - 1), lambda x: F.struct(F.substring_index(x, ": ", 1), F.substring(x, F.locate(": ", x) + 2, F.length(x)))))
+    lines = F.slice(F.split(F.substring("record", F.lit(1), at - 1), CRLF), 2, 1_000_000)
+    own = F.filter(lines, lambda x: ~x.startswith(_SOURCE))
+    fields = F.map_from_entries(F.transform(own, lambda x: F.struct(F.substring_index(x, ": ", 1), F.substring(x, F.locate(": ", x) + 2, F.length(x)))))
+    source = F.transform(F.filter(lines, lambda x: x.startswith(_SOURCE)), lambda x: F.regexp_replace(F.substring(x, F.lit(len(_SOURCE) + 1), F.length(x)), "^Status: ", ""))
     block = F.substring("record", at + 4, F.length("record") - at - 7)
-    held = records.select(fields.alias("f"), block.alias("block"))
-    return held.select(*((F.col("f")[name].cast("long") if c == "content_length" else F.col("f")[name]).alias(c) for name, c in _FIELDS), "block")
+    held = records.select(fields.alias("f"), F.array_join(source, CRLF).alias("source_headers"), block.alias("block"))
+    return held.select(*((F.col("f")[name].cast("long") if c == "content_length" else F.col("f")[name]).alias(c) for name, c in _FIELDS), "source_headers", "block")
+
+
+def write_warc(derived: DataFrame, path: str, codec: str = "gzip") -> None:
+    """WARC files, one a partition."""
+    record = F.substring("record", F.lit(1), F.length("record") - len(CRLF))
+    serialise(derived).select(record.alias("record")).write.option("lineSep", CRLF).option("compression", codec).text(path)

@@ -792,7 +792,7 @@ def test_warc_derivatives(spark):
     assert text == "One\ntwo three"
     about = next(r.block for r in rows if r.warc_type == "metadata" and "A &amp; B" in r.block)
     assert "outlinks: 1" in about and "source-Content-Type: text/html" in about
-    columns = ["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "payload_digest", "block_digest", "content_type", "content_length", "block"]
+    columns = ["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "payload_digest", "block_digest", "content_type", "content_length", "source_headers", "block"]
     assert collected(warc.parse(warc.serialise(made))) == collected(made.select(*columns))
 
 
@@ -821,6 +821,7 @@ class Visible(HTMLParser):
 def test_conversion_against_a_parser(spark):
     pages = [
         "<p>if a < b then stop</p><p>next</p>", "<p>caf&eacute; &mdash; 5 &#8217;s &#x27;q&#X27; &hellip;</p>", "<p>&amp;eacute; &amp;#39; &lt;b&gt; &nosuch; AT&T; x &copy; &nbsp; y</p>", "<p>1<2 and 3 <4, x<- y</p>t<style>p<q</style>u",
+        "<head><script>var a;</script><title>Not text</title><style>p{}</style></head><body>text<br/>more</body>", "<SCRIPT>a</script >b<style>x</STYLE>c",
         "<head-line>Top story</head-line><template-card>kept</template-card><script>no</script><p>end</p>", "<!doctype html><?xml x?><p>a</p><!-- < no --><p>&#128512; b &#xD800;",
     ]
     table = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.col("page_id").cast("string"))
@@ -828,6 +829,44 @@ def test_conversion_against_a_parser(spark):
     assert got == {i: "".join(Visible(p).parts).split() for i, p in enumerate(pages)}
 
 
+def test_warc_files(spark, tmp_path):
+    """Records read from WARC bytes, derived, written as WARC files and read again."""
+    import gzip
+
+    def record(kind, body, **fields):
+        head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items())
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\n{head}Content-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    page = "<p>Caf\u00e9 &eacute;</p>\r\n\r\n<p>two</p>"
+    http = lambda charset: b"HTTP/1.1 200 OK\r\nServer: x\r\nContent-Type: text/html; charset=" + charset.encode() + b"\r\n\r\n" + page.encode(charset)
+    raw = record("warcinfo", b"software: t") + record("response", http("utf-8"), WARC_Record_ID="<urn:a>", WARC_Target_URI="http://a/?x:y", WARC_Date="2020-02-02T00:00:00Z")
+    raw += record("request", b"GET /") + record("response", http("iso-8859-1"), WARC_Record_ID="<urn:b>", WARC_Target_URI="http://b/", WARC_Date="2021-01-01T00:00:00Z")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc").write_bytes(raw)
+    (tmp_path / "in/b.warc.gz").write_bytes(gzip.compress(record("response", http("utf-8"), WARC_Record_ID="<urn:c>", WARC_Target_URI="http://c/", WARC_Date="2022-01-01T00:00:00Z")) + gzip.compress(record("response", http("utf-8"), WARC_Record_ID="<urn:d>")))
+    read = warc.read_warc(spark, f"file://{tmp_path}/in")
+    assert read.count() == 6 and read.where("not complete").count() == 0
+    source = warc.responses_of(read)
+    assert {r.record_id: (r.target_uri, r.warc_date, r.body) for r in source.collect()} == {"<urn:a>": ("http://a/?x:y", "2020-02-02T00:00:00Z", page), "<urn:b>": ("http://b/", "2021-01-01T00:00:00Z", page), "<urn:c>": ("http://c/", "2022-01-01T00:00:00Z", page), "<urn:d>": ("", None, page)}
+    made = warc.derive(source.where("warc_date is not null"))
+    warc.write_warc(made, f"file://{tmp_path}/out")
+    again = {r.fields["warc-record-id"]: r for r in warc.read_warc(spark, f"file://{tmp_path}/out").collect()}
+    assert len(again) == 6 and all(r.complete for r in again.values())
+    for r in made.collect():
+        fields = again[r.record_id].fields
+        assert bytes(again[r.record_id].block).decode() == r.block and fields["warc-refers-to"] == r.refers_to and fields["x-source-server"] == "x" and fields["x-source-status"] == "HTTP/1.1 200 OK"
+        assert fields["warc-payload-digest"] == "sha256:" + hashlib.sha256(page.encode()).hexdigest() and fields["warc-date"] == r.warc_date
+        assert r.warc_type == "metadata" or r.block == "Café é\ntwo"
+
+
+def test_warc_empty_and_repeated(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "y"), (2, "v", "<p>" + "long text " * 100_000, "z")], "page_id long, url string, html string, body string")
+    assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+    rows = warc.derive(warc.responses(pages)).collect()
+    assert len(rows) == 6 and len({(r.record_id, r.block) for r in rows}) == 4
+    assert max(r.content_length for r in rows) == 999_999
+
+
 # Empty tables and repeated rows
 
 
