@@ -124,8 +124,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return by_ids(text_bytes(docs), stage(wanted.withColumnRenamed("rep", "doc_id"), "wanted"), "left_semi").mapInArrow(lean(run, "words", forget_words), "rep long, items binary")
 
 
+def _meet(rows: DataFrame, facts: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row a key).  A key with many rows is dealt over several tasks by ``spread``,
+    and its fact is copied as often.  rows: a stage table."""
+    limit = max(64, rows.count() // (2 * shuffle_width(rows.sparkSession)))
+    hot = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+    hot = F.broadcast(stage(hot, "hot"))  # at most (all rows) / limit keys
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("salts")
+    copied = facts.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copied, [key, "salt"]).drop("salt")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough.  pairs: a stage table."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +155,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     first = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
     second = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
+    # Candidates of one class are met by its set first, on whichever side there are many of them.
+    return _meet(pairs, second, "b", "a").join(first, "a").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def _with_least(edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +228,7 @@ def _link(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
         again = prefixes.join(shared.select("key", "many", "head"), "key")
         pairs = pairs.unionByName(_pairs(again.where(f"many <= {SMALL}"), "key", percent)).distinct()
         rest = stage(again.where(f"many > {SMALL}").select("rep", "head").distinct(), "rest")
-    confirmed = _confirm(pairs.join(tested, ["a", "b"], "left_anti"), sets, percent)
+    confirmed = _confirm(stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), sets, percent)
     found = stage(confirmed if rest is None or rest.isEmpty() else confirmed.unionByName(_resolve(rest, sets, percent)), "links")
     if found.isEmpty():
         return labels
@@ -272,7 +285,7 @@ def _resolve(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     heads = groups.select(F.col("team").alias("rep"), "team").distinct()
     members = stage(groups.unionByName(heads).join(sets, "rep"), "members")
     blocks = members.groupBy("team").agg(F.ceil(F.sum(F.length("items")) / (8 * BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "team").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = _meet(members, blocks, "team", "rep").withColumn("x", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("team", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "rep", "items")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
