@@ -108,7 +108,8 @@ def chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rising_sql() -> str:
-    return f"""{_TOPIC_SQL}, a AS (SELECT id, media_id, is_syndicated, floor(greatest(epoch(TIMESTAMP '2024-01-29 12:00:00') - epoch(first_seen_at), 0) / 10800)::INT AS win FROM articles WHERE first_seen_at <= TIMESTAMP '2024-01-29 13:00:00'
+    return f"""{_TOPIC_SQL}, p AS (SELECT *, CASE WHEN id % 9 = 0 THEN TIMESTAMP '2024-01-29 12:00:00' - to_minutes((id % 170)::INT) ELSE first_seen_at END AS published_at FROM articles
+), a AS (SELECT id, media_id, is_syndicated, floor(greatest(epoch(TIMESTAMP '2024-01-29 12:00:00') - epoch(published_at), 0) / 10800)::INT AS win FROM p WHERE published_at <= TIMESTAMP '2024-01-29 13:00:00'
 ), w AS (SELECT * FROM a WHERE win <= 112), t AS (SELECT win, count(*) AS n FROM w GROUP BY 1), u AS (SELECT win % 8 AS slot, median(n) AS usual FROM t WHERE win > 0 GROUP BY 1
 ), act AS (SELECT win FROM t LEFT JOIN u ON win % 8 = slot WHERE n >= 0.5 * coalesce(usual, 0)), st AS (SELECT count(*) FILTER (WHERE win = 0) AS fresh, count(*) FILTER (WHERE win > 0) AS base FROM act
 ), own AS (SELECT slug, win, count(*) AS n, count(DISTINCT media_id) AS media FROM topic_hits JOIN w USING (id) WHERE NOT is_syndicated GROUP BY ALL
@@ -119,7 +120,9 @@ SELECT slug, own.n AS n, round_even(usual, 1) AS usual, round_even(threshold, 1)
 
 @query(_rising_sql())
 def rising_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = V.articles(spark, sf_dir).withColumns({"search_text": F.col("body"), "published_at": F.col("first_seen_at")})
+    """Every ninth article was published in the last hours, so what it is about rises."""
+    late = ts("2024-01-29 12:00:00") - F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") % 170).cast("int"))
+    a = V.articles(spark, sf_dir).withColumns({"search_text": F.col("body"), "published_at": F.when(F.col("id") % 9 == 0, late).otherwise(F.col("first_seen_at"))})
     return metrics.rising_topics(metrics.matching_topics(a, V.topics(spark)), a, ts("2024-01-29 12:00:00"))
 
 
@@ -207,44 +210,41 @@ def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.agreement(V.labels(spark, sf_dir)), "agreement", "kappa")
 
 
-@query(f"""WITH {S.ARTICLES}, a AS (SELECT id, media_id, epoch(first_seen_at)::BIGINT AS at FROM articles WHERE NOT is_syndicated) SELECT x.media_id AS media_a, y.media_id AS media_b, count(*) AS pairs
-FROM a x JOIN a y ON x.id < y.id AND x.media_id <> y.media_id AND abs(x.at - y.at) <= 3600 WHERE x.id % 7 <> y.id % 7 OR x.id + 1 <> y.id GROUP BY ALL""")
+@query(f"""WITH {S.ARTICLES}, a AS (SELECT id, media_id, epoch(first_seen_at)::BIGINT AS at FROM articles WHERE NOT is_syndicated) SELECT least(x.media_id, y.media_id) AS media_a, greatest(x.media_id, y.media_id) AS media_b, count(*) AS pairs
+FROM a x JOIN a y ON x.id < y.id AND x.media_id <> y.media_id AND abs(x.at - y.at) <= 86400 WHERE NOT (x.id % 7 = 0 AND y.id = x.id + 1) GROUP BY ALL""")
 def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of different outlets within an hour, without those already related."""
+    """Pairs of different outlets within a day, without those already related: every seventh article and the next one."""
     a = V.articles(spark, sf_dir).where("not is_syndicated").select("id", "media_id", time.seconds(F.col("first_seen_at")).alias("at"))
-    related = a.where("id % 7 = (id + 1) % 7").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    pairs = evaluation.omission_universe(a, related, hours=1)
-    m = a.select("id", "media_id")
-    named = pairs.join(m.select(F.col("id").alias("a"), F.col("media_id").alias("media_a")), "a").join(m.select(F.col("id").alias("b"), F.col("media_id").alias("media_b")), "b")
-    return named.groupBy("media_a", "media_b").agg(F.count("*").alias("pairs"))
+    return evaluation.close_pair_counts(a, a.where("id % 7 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
 
 
 # Text functions
 
 
-@query(f"WITH {S.ARTICLES} SELECT id, array_to_string({S.TOKENS.format('title')}, ' ') AS tokens FROM articles")
+@query(f"WITH {S.ARTICLES} SELECT id, array_to_string({S.TOKENS.format('body')}, ' ') AS tokens FROM articles")
 def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.articles(spark, sf_dir).select("id", F.array_join(text.raw_tokens(F.col("title")), " ").alias("tokens"))
+    return V.articles(spark, sf_dir).select("id", F.array_join(text.raw_tokens(F.col("body")), " ").alias("tokens"))
 
 
-@query(f"WITH {S.ARTICLES} SELECT id, sha256(coalesce(trim(regexp_replace(title, '[\\s\\x{{A0}}]+', ' ', 'g')), '') || chr(31) || '') AS hash FROM articles")
+@query(f"WITH {S.ARTICLES} SELECT id, sha256(coalesce(trim(regexp_replace(body, '[\\s\\x{{A0}}]+', ' ', 'g')), '') || chr(31) || '') AS hash FROM articles")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.articles(spark, sf_dir).select("id", text.content_hash(F.col("title"), F.col("subtitle")).alias("hash"))
+    return V.articles(spark, sf_dir).select("id", text.content_hash(F.col("body"), F.col("subtitle")).alias("hash"))
 
 
-_TERMS = f"""WITH {S.ARTICLES}, t AS (SELECT id, unnest({S.TOKENS.format('title')}) AS term FROM articles), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL
+_terms = lambda c: f"""WITH {S.ARTICLES}, t AS (SELECT id, unnest({S.TOKENS.format(c)}) AS term FROM articles), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL
 ), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM articles), w AS (SELECT id, term, df, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN n
-), v AS (SELECT id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w)"""
+), v AS (SELECT id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w)"""
+_TERMS = _terms("title")
 
 
-def _title_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _title_vectors(spark: SparkSession, sf_dir: str, of: str = "title") -> DataFrame:
     a = V.articles(spark, sf_dir)
-    return relations.tf_idf(a.select("id", F.explode(text.raw_tokens(F.col("title"))).alias("term")), a.count(), vocabulary=10_000_000)
+    return relations.tf_idf(a.select("id", F.explode(text.raw_tokens(F.col(of))).alias("term")), a.count(), vocabulary=None)
 
 
-@query(f"{_TERMS} SELECT id, term, df, round(weight, 6) AS weight FROM v")
+@query(f"{_terms('body')} SELECT id, term, df, round(weight, 6) AS weight FROM v")
 def title_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_title_vectors(spark, sf_dir), "weight")
+    return rounded(_title_vectors(spark, sf_dir, "body"), "weight")
 
 
 @query(f"""{_TERMS}, p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM v x JOIN v y ON x.term = y.term AND x.id < y.id WHERE x.df BETWEEN 2 AND 5)

@@ -66,7 +66,7 @@ def parse(docs: DataFrame, max_items: int = 200) -> DataFrame:
     )
     link = lambda e: F.get(F.filter(e["link"], lambda k: (F.coalesce(k["_rel"], F.lit("alternate")) == "alternate") & k["_href"].isNotNull()), 0)["_href"]
     atom = F.transform(xml("atom", ATOM)["entry"], lambda e: _item(link(e), e["title"], e["summary"], _text(e["author"]["name"]), _text(e["published"]), _text(e["updated"]), None, None, _text(e["id"])))
-    words = lambda k: F.filter(F.transform(F.split(F.coalesce(k, F.lit("")), ","), F.trim), lambda x: x != "")
+    words = lambda k: F.filter(F.transform(F.split(F.coalesce(k, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     site = F.transform(xml("sitemap", SITEMAP)["url"], lambda u: _item(_text(u["loc"]), u["news:news"]["news:title"], None, None, _text(u["news:news"]["news:publication_date"]), _text(u["lastmod"]), None, words(u["news:news"]["news:keywords"])))
     items = F.slice(F.filter(F.coalesce(F.when(F.col("status") == "rss", rss).when(F.col("status") == "atom", atom).when(F.col("status") == "sitemap", site), F.array().cast(_ITEMS)), lambda i: i["url"].isNotNull() & i["title"].isNotNull()), 1, max_items)
     rows = d.select(*keys, "status", F.explode_outer(items).alias("item")).select(*keys, "status", "item.*")

@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_url, clean_space, compact_count, strip_html
 
 
+#: Fixed: the characters of windows-1252 at 0x80 to 0x9F, which pages mean when they say ISO-8859-1 too; five are free.
+_WESTERN = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
+def _western(text: Column) -> Column:
+    return F.translate(text, "".join(map(chr, range(0x80, 0xA0))), _WESTERN)
+
+
 def decode(body: Column, header: Column) -> Column:
     """Text of a page's bytes, by the charset of the header, or else of the page's own meta tag, or UTF-8."""
     ascii_ = F.decode(F.substring(body, 1, 2048), "ISO-8859-1")
     name = F.lower(F.coalesce(F.nullif(F.regexp_extract(F.coalesce(header, F.lit("")), r"(?i)charset=[\"']?([\w-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(ascii_, r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", 1), F.lit(""))))
-    return F.when(name.isin("iso-8859-1", "latin1", "latin-1", "windows-1252"), F.decode(body, "ISO-8859-1")).otherwise(F.try_validate_utf8(F.decode(body, "UTF-8")))
+    return F.when(name.isin("iso-8859-1", "latin1", "latin-1", "windows-1252"), _western(F.decode(body, "ISO-8859-1"))).otherwise(F.try_validate_utf8(F.decode(body, "UTF-8")))
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -42,7 +50,7 @@ def metadata(pages: DataFrame) -> DataFrame:
         "page_id", "url", F.coalesce(_attribute(F.col("canonical_tag"), "href"), get("og:url")).alias("canonical"), F.coalesce(get("og:title"), F.nullif(strip_html(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1)), F.lit(""))).alias("title"),
         get("og:description", "description").alias("description"), get("og:site_name").alias("site_name"), F.coalesce(get("article:published_time"), of_ld("datePublished")).alias("published_raw"), F.coalesce(get("article:modified_time"), of_ld("dateModified")).alias("modified_raw"),
         F.filter(F.array(F.coalesce(get("author", "article:author"), of_ld("author.name"), of_ld("author[0].name"))), lambda x: x.isNotNull()).alias("authors"), F.coalesce(get("article:section"), of_ld("articleSection")).alias("section"),
-        F.filter(F.transform(F.split(F.coalesce(get("keywords", "news_keywords"), F.lit("")), ","), F.trim), lambda x: x != "").alias("keywords"), F.col("html").rlike(r"(?i)paywall|isAccessibleForFree\"?\s*:\s*\"?false|suscriptores").alias("has_paywall"),
+        F.filter(F.transform(F.split(F.coalesce(get("keywords", "news_keywords"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "").alias("keywords"), F.col("html").rlike(r"(?i)paywall|isAccessibleForFree\"?\s*:\s*\"?false|suscriptores").alias("has_paywall"),
         F.filter(F.concat(anchors(F.col("article"), True), anchors(F.when(F.col("article") != "", whole).otherwise(F.col("html")), False)), lambda x: x["url"].isNotNull()).alias("links"),
     )
 
