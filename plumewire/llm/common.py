@@ -62,12 +62,30 @@ def give_back() -> None:
         pass
 
 
+_held_down = False
+
+
+def hold_down() -> None:
+    """Arrow's memory comes from the process's own allocator, and arrays of some megabytes are mapped on their own, so
+    that what is freed goes back to the machine at once."""
+    global _held_down
+    if not _held_down:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            ctypes.CDLL(None).mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        except (AttributeError, OSError):  # another C library
+            pass
+        _held_down = True
+
+
 def lean(run: Callable, name: str = "", clear: Callable[[], None] | None = None) -> Callable:
     """``run`` over a task's batches, with one operator's caches at a time and freed memory given back at the end.
     ``clear`` is a function of a module: a method of a cache would come to the worker with a copy of the cache."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_down()
         only_cache(name, clear)
+        give_back()
         yield from run(batches)
         give_back()
 

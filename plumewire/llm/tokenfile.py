@@ -36,8 +36,8 @@ from .common import batch, bound_batches, lean, mix64, stage, text_bytes
 VOCABULARY, END_ID = "byte_bpe_50k.json", 2
 #: Ids of a segment, about; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 20
-#: Text of a bucket (one task of writing), about.
-BUCKET_BYTES = 32 << 20
+#: Text of a bucket (one task of writing, which holds one segment at a time), about; and how many there are at most.
+BUCKET_BYTES, BUCKETS = 12 << 20, 50_000
 BLOCK = 512
 MAGIC = b"PWDC"
 
@@ -125,11 +125,11 @@ class PieceTable:
 
     def add(self, words: np.ndarray, rows: np.ndarray) -> None:
         """Distinct pieces that are not there yet."""
-        if 2 * (self.used + len(rows)) > len(self.row):
+        if 10 * (self.used + len(rows)) > 7 * len(self.row):
             held = np.flatnonzero(self.row)
             words, rows = np.concatenate((self.words[held], words)), np.concatenate((self.row[held] - 1, rows))
             slots = len(self.row)
-            while 2 * len(rows) > slots:
+            while 10 * len(rows) > 7 * slots:
                 slots *= 2
             self.__init__(slots)
         self.used += len(rows)
@@ -147,7 +147,7 @@ class Encoder:
     """Ids of whole texts.  The pieces of many texts are looked up together, new ones are encoded, and the ids are
     gathered from one array."""
 
-    def __init__(self, path: str, room: int = 2_000_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -158,7 +158,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.long = PieceTable(), {}
+        self.table, self.long = PieceTable(1 << max(8, (self.room * 10 // 7).bit_length())), {}
         self.at, self.count, self.rows = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), 0
         self.store, self.used = np.zeros(1 << 14, self.kind), 0
 
@@ -383,7 +383,7 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, p
     spark = docs.sparkSession
     bound_batches(spark)
     text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-text // BUCKET_BYTES) or 1  # follows the data
+    parts = min(BUCKETS, -(-text // BUCKET_BYTES) or 1)  # follows the data; the driver holds one edge for each
     bounds = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     edges = np.unique(np.array(bounds or [0.0]))
     kind = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("kind", pa.string()), ("ids", pa.binary())])
@@ -430,7 +430,7 @@ def write(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, p
 
 
 def _bases(segments: DataFrame) -> dict[int, int]:
-    """The ids before each bucket; one entry for about ``BUCKET_BYTES`` of text."""
+    """The ids before each bucket; at most ``BUCKETS`` entries."""
     totals = dict(sorted(segments.groupBy("bucket").agg(F.sum("n_ids").alias("n")).toPandas().itertuples(index=False)))
     base, total = {}, 0
     for k, n in totals.items():
