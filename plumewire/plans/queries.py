@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats, text, time
-from ..operators import evaluation, headlines, interest, merges, metrics, relations
+from ..operators import evaluation, groups, headlines, interest, merges, metrics, relations
 from ..sources import pages as page_source
 from . import sql as S
 from . import views as V
@@ -369,3 +369,156 @@ def group_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = V.members(spark, sf_dir).withColumn("s", s)
     span = F.max("s").over(w) - F.min("s").over(w)
     return m.select("group_id", "id", F.round(F.when(span > 0, (F.col("s") - F.min("s").over(w)) / span), 6).alias("x"))
+
+
+# Merges, groups and states
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-08') GROUP BY ALL")
+def first_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose key is new after the first week."""
+    e = V.table(spark, sf_dir, "events")
+    late = e.where(F.col("ts") >= ts("2024-01-08")).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return merges.insert_absent(e.where(F.col("ts") < ts("2024-01-08")), late, ["user_id", "event_type"])
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'own' WHEN page_id IS NOT NULL THEN url END AS subtitle, CASE WHEN doc_id % 4 = 0 THEN source WHEN page_id IS NOT NULL THEN 'p' || page_id || ', x' END AS author,
+  CASE WHEN page_id IS NOT NULL THEN 's' END AS section, CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-01-01' WHEN page_id IS NOT NULL THEN TIMESTAMP '2024-02-01' END AS published_at, CASE WHEN doc_id % 5 = 0 THEN 'date' WHEN page_id IS NOT NULL THEN 'datetime' ELSE 'none' END AS published_precision
+FROM documents LEFT JOIN pages ON page_id = doc_id""")
+def enriched_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty fields are filled from the article's page; what is there stays."""
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    a = V.table(spark, sf_dir, "documents").select(
+        i.alias("id"), F.when(i % 3 == 0, "own").otherwise("").alias("subtitle"), F.when(i % 4 == 0, F.col("source")).alias("author"), none.alias("section"), F.when(i % 5 == 0, ts("2024-01-01")).alias("published_at"), F.when(i % 5 == 0, "date").otherwise("none").alias("published_precision")
+    )
+    p = V.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("description"), F.array(F.concat(F.lit("p"), F.col("page_id").cast("string")), F.lit("x")).alias("authors"), F.lit("s").alias("section"), ts("2024-02-01").alias("published_at"))
+    return merges.enrich(a, p)
+
+
+_STATUS = "CASE WHEN l_linenumber % 3 = 0 THEN 'confirmada' WHEN l_linenumber % 3 = 1 THEN 'pendiente' ELSE 'rechazada' END"
+
+
+@query(f"""WITH o AS (SELECT l_orderkey AS a, l_orderkey + l_linenumber AS b, CASE WHEN l_tax < 0.04 THEN 'mismo_hecho' ELSE 'mismo_tema' END AS relation_type, l_discount AS score, {_STATUS} AS review_status FROM lineitem
+), n AS (SELECT a, b, relation_type, 1 - score AS score FROM o WHERE score < 0.05), l AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_linenumber = 2)
+SELECT a, b, relation_type, round(CASE WHEN o.review_status = 'pendiente' AND n.a IS NOT NULL THEN n.score ELSE o.score END, 6) AS score, o.review_status FROM o LEFT JOIN n USING (a, b, relation_type)
+WHERE NOT (o.review_status = 'pendiente' AND n.a IS NULL AND a IN (SELECT id FROM l) AND b IN (SELECT id FROM l))""")
+def merged_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored relations after an analysis that found some of them again: reviewed ones stay, others are renewed or go."""
+    x = V.table(spark, sf_dir, "lineitem")
+    status = F.when(F.col("l_linenumber") % 3 == 0, "confirmada").when(F.col("l_linenumber") % 3 == 1, "pendiente").otherwise("rechazada")
+    o = x.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("b"), F.when(F.col("l_tax") < 0.04, "mismo_hecho").otherwise("mismo_tema").alias("relation_type"), F.col("l_discount").alias("score"), status.alias("review_status"))
+    n = o.where("score < 0.05").select("a", "b", "relation_type", (1 - F.col("score")).alias("score"))
+    return rounded(merges.merge_relations(o, n, x.where("l_linenumber = 2").select(F.col("l_orderkey").alias("id")).distinct()), "score")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS group_id, 'f' || (o_orderkey % 4) AS fingerprint, (o_orderkey % 3)::INT AS priority, [o_custkey] AS media_ids, 1 AS version FROM orders WHERE o_orderkey % 5 <> 0
+), n AS (SELECT o_orderkey AS group_id, 'f' || (o_orderkey % 4 + CASE WHEN o_orderkey % 6 < 3 THEN 1 ELSE 0 END) AS fingerprint, (o_orderkey % 3 + CASE WHEN o_orderkey % 12 = 0 THEN 1 ELSE 0 END)::INT AS priority, CASE WHEN o_orderkey % 4 = 1 THEN [o_custkey, -1] ELSE [o_custkey] END AS media_ids FROM orders WHERE o_orderkey % 7 <> 0
+), s AS (SELECT coalesce(n.group_id, o.group_id) AS group_id, coalesce(o.version, 0) AS version, CASE WHEN o.group_id IS NULL THEN 'created' WHEN n.group_id IS NULL THEN 'closed' WHEN o.fingerprint = n.fingerprint THEN 'unchanged' WHEN len(n.media_ids) > len(o.media_ids) OR n.priority > o.priority THEN 'updated' ELSE 'refreshed' END AS state FROM o FULL JOIN n USING (group_id))
+SELECT group_id, state, (version + CASE WHEN state IN ('created', 'updated') THEN 1 ELSE 0 END)::INT AS version, state IN ('created', 'updated') AS notify FROM s""")
+def alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each alert, and which of them are to be sent."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    x = V.table(spark, sf_dir, "orders")
+    mark = lambda n: F.concat(F.lit("f"), n.cast("string")).alias("fingerprint")
+    o = x.where(k % 5 != 0).select(k.alias("group_id"), mark(k % 4), (k % 3).cast("int").alias("priority"), F.array(c).alias("media_ids"), F.lit(1).alias("version"))
+    n = x.where(k % 7 != 0).select(k.alias("group_id"), mark(k % 4 + F.when(k % 6 < 3, 1).otherwise(0)), (k % 3 + F.when(k % 12 == 0, 1).otherwise(0)).cast("int").alias("priority"), F.when(k % 4 == 1, F.array(c, F.lit(-1).cast("long"))).otherwise(F.array(c)).alias("media_ids"))
+    alerts = merges.update_alerts(o, n)
+    due = merges.notifications(alerts, spark.createDataFrame([], "dedupe_key string")).select("group_id", F.lit(True).alias("due"))
+    return alerts.join(due, "group_id", "left").select("group_id", "state", "version", F.coalesce("due", F.lit(False)).alias("notify"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 1000 + s_nationkey AS b FROM supplier UNION SELECT 1000 + s_suppkey + s_nationkey, 2000 + s_suppkey // 7 FROM supplier
+), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS other FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.other = s.a) SELECT node, min(other) AS component FROM r GROUP BY node""")
+def story_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    x = V.table(spark, sf_dir, "supplier")
+    edges = x.select(s.alias("a"), (s + 1000 + n).alias("b")).unionByName(x.select((1000 + s + n).alias("a"), (2000 + F.floor(s / 7)).alias("b")))
+    return groups.components(edges)
+
+
+@query("""WITH m AS (SELECT l_orderkey AS group_id, l_orderkey * 10 + l_linenumber AS id FROM lineitem), o AS (SELECT o_orderkey AS group_id, CASE WHEN o_orderkey % 6 = 0 THEN 'hide' WHEN o_orderkey % 6 = 1 THEN 'merge' END AS act FROM orders
+), r AS (SELECT group_id, id, id % 10 AS line, act FROM m JOIN o USING (group_id) WHERE act IS DISTINCT FROM 'hide' AND id % 10 <> 3)
+SELECT DISTINCT CASE WHEN line = 5 THEN -1 WHEN act = 'merge' THEN group_id + 1 ELSE group_id END AS group_id, id FROM r""")
+def corrected_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members after a reviewer's log: the third article of a group removed, the fifth moved away, groups hidden and merged."""
+    m = V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    line, at = F.col("id") % 10, ts("2024-01-02")
+    one = m.where(line.isin(3, 5)).select(at.alias("at"), F.when(line == 3, "remove").otherwise("move").alias("action"), "group_id", "id", F.when(line == 5, F.lit(-1).cast("long")).alias("target"))
+    older = one.withColumns({"at": ts("2024-01-01"), "action": F.lit("move"), "target": F.lit(-9).cast("long")})
+    k, none = F.col("o_orderkey"), F.lit(None).cast("long")
+    whole = V.table(spark, sf_dir, "orders").where(k % 6 <= 1).select(at.alias("at"), F.when(k % 6 == 0, "hide").otherwise("merge").alias("action"), k.alias("group_id"), none.alias("id"), F.when(k % 6 == 1, k + 1).alias("target"))
+    return groups.apply_corrections(m, one.unionByName(older).unionByName(whole))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS media_id, s_suppkey % 9 <> 0 AS enabled, CASE WHEN s_suppkey % 5 > 0 THEN TIMESTAMP '2024-01-30' - to_hours((s_suppkey % 11)::INT) END AS last_success_at, s_suppkey % 4 AS failures FROM supplier
+), t AS (SELECT *, CASE WHEN NOT enabled THEN 'pausada' WHEN last_success_at IS NULL THEN 'sin_datos' WHEN failures >= 3 THEN 'error' WHEN epoch(TIMESTAMP '2024-01-30') - epoch(last_success_at) > 21600 THEN 'demorada' ELSE 'ok' END AS state FROM s
+), g AS (SELECT media_id, count(*) AS sources, count(*) FILTER (WHERE state = 'ok') AS ok, bool_and(state = 'pausada') AS paused, bool_or(state IN ('error', 'demorada')) AS trouble, max(last_success_at) AS last_success FROM t GROUP BY 1)
+SELECT media_id, CASE WHEN paused THEN 'pausado' WHEN ok > 0 AND NOT trouble THEN 'ok' WHEN ok > 0 THEN 'parcial' WHEN trouble THEN 'con_problemas' ELSE 'sin_datos' END AS state, sources, last_success FROM g""")
+def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    last = F.when(k % 5 > 0, ts("2024-01-30") - F.make_dt_interval(F.lit(0), (k % 11).cast("int")))
+    s = V.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("media_id"), (k % 9 != 0).alias("enabled"), last.alias("last_success_at"), (k % 4).alias("failures"))
+    return metrics.source_states(s, ts("2024-01-30"))
+
+
+@query(f"{_CHANGE} SELECT id, article_id, old AS old_level, level FROM c WHERE list_contains(changes, 'negacion') ORDER BY detected_at DESC, id DESC LIMIT 200")
+def negated_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest changes that turn a headline round (a list of at most 200)."""
+    level = lambda c: F.regexp_extract(c, r"sube (-?\d+) puntos", 1).cast("long")
+    return headlines.change_list(V.versions(spark, sf_dir), "negacion").select("id", "article_id", level("old_title").alias("old_level"), level("title").alias("level"))
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id AS id, event_type AS name FROM events), m AS (SELECT id FROM e WHERE name = 'purchase')
+SELECT 'purchase' AS source, name AS target, count(*) AS n FROM e WHERE id IN (SELECT id FROM m) AND name <> 'purchase' GROUP BY name""")
+def names_beside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import graph
+
+    a = V.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.collect_set("event_type").alias("ents"))
+    return graph.name_graph(a, "purchase")
+
+
+@query("SELECT text, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "documents").where("text is not null").groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("SELECT event_type AS model, ts::DATE AS day, count(*) AS calls, sum((props->>'$.k')::BIGINT)::BIGINT AS tokens, round(sum(value), 4) AS cost FROM events GROUP BY ALL")
+def usage_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, tokens and cost by model and day."""
+    e = V.table(spark, sf_dir, "events")
+    out = e.groupBy(F.col("event_type").alias("model"), F.to_date("ts").alias("day")).agg(F.count("*").alias("calls"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("tokens"), F.sum("value").alias("cost"))
+    return rounded(out, "cost", digits=4)
+
+
+@query("WITH c AS (SELECT c_nationkey AS media_id, c_mktsegment AS section, count(*) AS n FROM customer GROUP BY ALL) SELECT media_id, section, n, (row_number() OVER (PARTITION BY media_id ORDER BY n DESC, section))::INT AS place FROM c QUALIFY place <= 3")
+def frequent_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three sections that each outlet has most of (ties: by name)."""
+    n = V.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("media_id"), F.col("c_mktsegment").alias("section")).agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("n"), "section"))).where("place <= 3")
+
+
+@query("""SELECT user_id AS scope, max(ts) AS last_at, round((epoch(TIMESTAMP '2024-02-01') - epoch(max(ts))) / 3600.0, 6)::DOUBLE AS hours, CASE WHEN epoch(TIMESTAMP '2024-02-01') - epoch(max(ts)) > 86400 THEN 'vieja' ELSE 'fresca' END AS state, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-31') AS last_day FROM events GROUP BY 1""")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How old each source's newest item is, and how many came on the last day."""
+    out = V.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scope")).agg(F.max("ts").alias("last_at"), F.count_if(F.col("ts") >= ts("2024-01-31")).alias("last_day"))
+    age = (F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(F.col("last_at").cast("timestamp"))) / 1e6
+    return out.select("scope", "last_at", F.round(age / 3600, 6).alias("hours"), F.when(age > 86400, "vieja").otherwise("fresca").alias("state"), "last_day")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, s_suppkey % 9 <> 0 AS enabled, 15 * (1 + s_suppkey % 4) AS every_minutes, CASE WHEN s_suppkey % 5 > 0 THEN TIMESTAMP '2024-01-30' - to_minutes((s_suppkey * 7 % 180)::INT) END AS last_run_at, s_suppkey % 4 AS failures FROM supplier)
+SELECT id, row_number() OVER (ORDER BY last_run_at NULLS FIRST, id) AS place FROM s WHERE enabled AND (last_run_at IS NULL OR last_run_at + to_minutes((every_minutes * pow(2, failures))::INT) <= TIMESTAMP '2024-01-30')""")
+def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources whose turn has come, oldest first; each failure in a row doubles the wait."""
+    k = F.col("s_suppkey")
+    wait = (15 * (1 + k % 4) * F.pow(F.lit(2), k % 4)).cast("int")
+    last = F.when(k % 5 > 0, ts("2024-01-30") - F.make_dt_interval(F.lit(0), F.lit(0), (k * 7 % 180).cast("int")))
+    due = V.table(spark, sf_dir, "supplier").where(k % 9 != 0).select(k.alias("id"), last.alias("last_run_at"), wait.alias("wait"))
+    due = due.where(F.col("last_run_at").isNull() | (F.col("last_run_at") + F.make_dt_interval(F.lit(0), F.lit(0), "wait") <= ts("2024-01-30")))
+    return due.select("id", F.row_number().over(Window.orderBy(F.asc_nulls_first("last_run_at"), "id")).cast("long").alias("place"))  # the sources, a small dimension
+
+
+@query("""SELECT conv_id AS account_id, count(*) AS posts, count(*) FILTER (WHERE role = 'user') AS own, max(turn) AS last_turn, sum(CASE WHEN regexp_matches(text, 'https?://') THEN 1 ELSE 0 END)::BIGINT AS with_links FROM conversations GROUP BY 1""")
+def account_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of each account, its own ones, the last, and those with links."""
+    c = V.table(spark, sf_dir, "conversations")
+    return c.groupBy(F.col("conv_id").alias("account_id")).agg(F.count("*").alias("posts"), F.count_if(F.col("role") == "user").alias("own"), F.max("turn").alias("last_turn"), F.count_if(F.coalesce(F.col("text").rlike("https?://"), F.lit(False))).alias("with_links"))
