@@ -22,6 +22,11 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)``, the value worked out once a row: a lambda works out again, for each element, what it mentions."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _words(items: list[str]) -> Column:
     return F.array(*map(F.lit, items))
 
@@ -69,9 +74,13 @@ def content_tokens(c: Column) -> Column:
 
 def with_bigrams(tokens: Column) -> Column:
     """The tokens and their adjacent pairs."""
-    n = F.size(tokens)
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b))
-    return F.when(n > 1, F.concat(tokens, pairs)).otherwise(tokens)
+
+    def add(t: Column) -> Column:
+        rest = F.greatest(F.size(t) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(t, F.lit(1), rest), F.slice(t, F.lit(2), rest), lambda a, b: F.concat_ws("_", a, b))
+        return F.when(F.size(t) > 1, F.concat(t, pairs)).otherwise(t)
+
+    return once(tokens, add)
 
 
 def word_features(c: Column) -> Column:
@@ -86,8 +95,8 @@ def _runs(length: Column, size: int, pick, kind: str) -> Column:
 
 def char_ngrams(c: Column, low: int = 3, high: int = 5) -> Column:
     """Character n-grams of the tokens, with a blank at both ends."""
-    s = F.concat(F.lit(" "), F.array_join(raw_tokens(c), " "), F.lit(" "))
-    return F.concat(*(_runs(F.length(s), n, lambda i, size: F.substring(s, i, F.lit(size)), "array<string>") for n in range(low, high + 1)))
+    letters = F.regexp_extract_all(F.concat(F.lit(" "), F.array_join(raw_tokens(c), " "), F.lit(" ")), F.lit("(?s)."), F.lit(0))
+    return once(letters, lambda s: F.concat(*(_runs(F.size(s), n, lambda i, size: F.array_join(F.slice(s, i, F.lit(size)), ""), "array<string>") for n in range(low, high + 1))))
 
 
 def numbers(c: Column) -> Column:
@@ -117,18 +126,23 @@ def expressive(phrase: Column, names: Column | None = None) -> Column:
 
 def phrase_ngrams(c: Column, low: int = 3, high: int = 6) -> Column:
     """Distinct phrases of 3 to 6 words without stop words at their ends, with two expressive words or more."""
-    tokens = raw_tokens(c)
-    grams = [_runs(F.size(tokens), n, lambda i, size: F.slice(tokens, i, F.lit(size)), "array<array<string>>") for n in range(low, high + 1)]
-    ends = F.filter(F.concat(*grams), lambda g: ~F.get(g, 0).isin(*L.STOPWORDS) & ~F.get(g, F.size(g) - 1).isin(*L.STOPWORDS))
+    grams = lambda tokens: F.concat(*(_runs(F.size(tokens), n, lambda i, size: F.slice(tokens, i, F.lit(size)), "array<array<string>>") for n in range(low, high + 1)))
+    ends = F.filter(once(raw_tokens(c), grams), lambda g: ~F.get(g, 0).isin(*L.STOPWORDS) & ~F.get(g, F.size(g) - 1).isin(*L.STOPWORDS))
     phrases = F.transform(ends, lambda g: F.array_join(g, " "))
     formula = "|".join(L.BOILERPLATE)
     return F.array_sort(F.array_distinct(F.filter(phrases, lambda p: (F.size(expressive(p)) >= 2) & ~p.rlike(formula))))
 
 
 def maximal_phrases(phrases: Column) -> Column:
-    """Phrases that are in no longer one, longest first."""
-    inside = lambda p, k: (F.length(k) > F.length(p)) & F.contains(F.concat(F.lit(" "), k, F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" ")))
-    kept = F.filter(F.array_distinct(phrases), lambda p: ~F.exists(phrases, lambda k: inside(p, k)))
+    """Phrases that are in no longer one, longest first.  The runs inside each phrase are taken away from them all: the
+    work grows with the phrases, not with their pairs."""
+
+    def inside(words: Column) -> Column:
+        n = F.size(words)
+        of_size = lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
+        return F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), of_size))).otherwise(F.array().cast("array<string>"))
+
+    kept = once(F.array_distinct(phrases), lambda every: F.array_except(every, F.flatten(F.transform(every, lambda k: once(F.split(k, " "), inside)))))
     return F.transform(F.array_sort(F.transform(kept, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))), lambda s: s["p"])
 
 
@@ -137,9 +151,8 @@ def entities(c: Column, known: Column | None = None) -> Column:
     text = F.coalesce(c, F.lit(""))
     found = F.regexp_extract_all(text, F.lit(L.ENTITY), F.lit(1))
     known = F.array().cast("array<string>") if known is None else known
-    starts = text.rlike("^" + L.ENTITY)
 
-    def name(e: Column, i: Column) -> Column:
+    def name(e: Column, i: Column, starts: Column) -> Column:
         words = F.split(F.trim(e), r"\s+")
         first = starts & (i == 0)
         sure = F.upper(F.get(words, 0)) == F.get(words, 0)
@@ -151,7 +164,8 @@ def entities(c: Column, known: Column | None = None) -> Column:
         kept = F.when(sentence, F.slice(kept, F.lit(2), F.size(kept))).otherwise(kept)
         return F.when(~drop & (F.size(kept) > 0), norm(F.array_join(kept, " ")))
 
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, name), lambda x: x.isNotNull())))
+    names = once(text.rlike("^" + L.ENTITY), lambda starts: F.transform(found, lambda e, i: name(e, i, starts)))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull())))
 
 
 def quotes(c: Column) -> Column:
@@ -292,9 +306,9 @@ def headline_changes(old: Column, new: Column, old_sub: Column, new_sub: Column)
     """What a new version changed: cifra, negacion, nombre, reescritura (under half of the plain words in common),
     or else otro; only forma where the words are the same, only bajada where the title is.  ``old`` and ``new`` are
     ``headline_facts``."""
-    names = F.array_union(old["names"], new["names"])
-    plain = lambda f: F.filter(f["content"], lambda t: ~is_number(t) & ~F.array_contains(names, t))
-    similar = F.when((F.size(plain(old)) == 0) & (F.size(plain(new)) == 0), 1.0).otherwise(jaccard(plain(old), plain(new)))
+    plain = lambda f, names: F.filter(f["content"], lambda t: ~is_number(t) & ~F.array_contains(names, t))
+    both = once(F.array_union(old["names"], new["names"]), lambda names: F.struct(plain(old, names).alias("old"), plain(new, names).alias("new")))
+    similar = once(both, lambda p: F.when((F.size(p["old"]) == 0) & (F.size(p["new"]) == 0), 1.0).otherwise(jaccard(p["old"], p["new"])))
     none = F.array().cast("array<string>")
     cats = F.array(
         F.when(old["nums"] != new["nums"], "cifra"),
@@ -312,5 +326,4 @@ def headline_changes(old: Column, new: Column, old_sub: Column, new_sub: Column)
 
 def phrase_windows(c: Column, longest: int) -> Column:
     """All runs of 2 to ``longest`` tokens."""
-    tokens = raw_tokens(c)
-    return F.concat(*(_runs(F.size(tokens), n, lambda i, size: F.array_join(F.slice(tokens, i, F.lit(size)), " "), "array<string>") for n in range(2, longest + 1)))
+    return once(raw_tokens(c), lambda tokens: F.concat(*(_runs(F.size(tokens), n, lambda i, size: F.array_join(F.slice(tokens, i, F.lit(size)), " "), "array<string>") for n in range(2, longest + 1))))

@@ -105,11 +105,23 @@ def sequences(members: DataFrame) -> DataFrame:
     out = g.groupBy("media_a", "media_b").agg(
         F.count("*").alias("groups"), F.count_if(F.col("gap") >= 1).alias("pub_a_first"), F.count_if(F.col("gap") <= -1).alias("pub_b_first"), F.count_if(F.abs("gap") < 1).alias("pub_tie"), F.count_if(F.col("gap").isNull()).alias("pub_unknown"),
         F.count_if(F.col("da") < F.col("db")).alias("det_a_first"), F.count_if(F.col("da") > F.col("db")).alias("det_b_first"), F.count_if(F.col("da") == F.col("db")).alias("det_tie"),
-        F.median("gap").alias("median_signed"), F.median(F.abs("gap")).alias("median_gap"), F.array_sort(F.collect_list(F.abs("gap"))).alias("gaps"),
+        F.median("gap").alias("median_signed"), F.median(F.abs("gap")).alias("median_gap"),
     )
     share = stats.wilson(F.col("pub_a_first"), F.col("pub_a_first") + F.col("pub_b_first"))
-    iqr = lambda p: F.when(F.size("gaps") >= 4, stats.exclusive_quantile(F.col("gaps"), p))
-    return out.withColumns({"q1": iqr(0.25), "q3": iqr(0.75), "share_lo": share["lo"], "share_hi": share["hi"]}).drop("gaps")
+    # Exclusive quartiles from running counts of the distinct gaps: the value at place k, and a share of the step to the next.
+    pair = ["media_a", "media_b"]
+    counts = g.where("gap is not null").groupBy(*pair, F.abs("gap").alias("value")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*pair)
+    ranked = counts.withColumns({"upto": F.sum("n").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(w)})
+
+    def quartile(p: float) -> Column:
+        place = p * (F.col("all") + 1)
+        k = F.greatest(F.lit(1), F.least(F.floor(place), F.col("all") - 1))
+        at = lambda i: F.max(F.when((F.col("upto") - F.col("n") < i) & (i <= F.col("upto")), F.col("value")))
+        return F.when(F.max("all") >= 4, at(k) + (at(k + 1) - at(k)) * F.max(place - k))
+
+    out = out.join(ranked.groupBy(*pair).agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3")), pair, "left")
+    return out.withColumns({"share_lo": share["lo"], "share_hi": share["hi"]})
 
 
 WINDOW_HOURS, BASELINE_DAYS, MIN_COUNT, MAD_FACTOR, MAD_SCALE, MIN_SPREAD, MIN_DAYS, MIN_COVERAGE = 3, 14, 4, 3.0, 1.4826, 1.0, 7, 0.5

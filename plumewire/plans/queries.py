@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats, text, time
-from ..operators import evaluation, groups, headlines, interest, merges, metrics, relations
+from ..operators import evaluation, groups, headlines, interest, merges, metrics, relations, shared
 from ..sources import pages as page_source
 from . import sql as S
 from . import views as V
@@ -145,7 +145,8 @@ _RUNS = "SELECT event_id AS id, ts::DATE AS day, event_type AS run_type, user_id
 def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first half of the runs rolled up, then extended by all of them: no run counts twice."""
     runs = V.runs(spark, sf_dir)
-    return metrics.extend_rollup(metrics.daily_rollup(runs.where("id < 3000")), runs)
+    half = runs.agg(F.max("id")).first()[0] or 0
+    return metrics.extend_rollup(metrics.daily_rollup(runs.where(F.col("id") < half // 2)), runs)
 
 
 @query(f"SELECT scope, count(*) AS runs, count(*) FILTER (WHERE ok) AS ok, sum(items)::BIGINT AS items, count(DISTINCT day) AS days, round(count(*) FILTER (WHERE ok)::DOUBLE / count(*), 6) AS success, round(count(DISTINCT day) / 31.0, 6)::DOUBLE AS observed FROM ({_RUNS}) GROUP BY scope")
@@ -247,22 +248,28 @@ def title_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_title_vectors(spark, sf_dir, "body"), "weight")
 
 
-@query(f"""{_TERMS}, p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM v x JOIN v y ON x.term = y.term AND x.id < y.id WHERE x.df BETWEEN 2 AND 5)
-SELECT a, b, round(sum(x.weight * y.weight), 6) AS similarity FROM p JOIN v x ON x.id = a JOIN v y ON y.id = b AND x.term = y.term GROUP BY ALL""")
+def _longest(n: int) -> int:
+    """How many documents may share a feature that candidates come from: a share of all, as in ``find_relations``."""
+    return max(4, int(0.08 * n))
+
+
+_PAIRS = f"""{_TERMS}, f AS (SELECT id, term FROM v, n WHERE df BETWEEN 2 AND greatest(4, floor(0.08 * n))), s AS (SELECT x.id AS i, y.id AS j, count(*) AS shared FROM f x JOIN f y ON x.term = y.term AND x.id <> y.id GROUP BY ALL
+), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY shared DESC, j) AS place FROM s), c AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM k WHERE place <= 40
+), p AS (SELECT a, b FROM c JOIN articles x ON x.id = a JOIN articles y ON y.id = b WHERE x.media_id <> y.media_id)"""
+
+
+@query(f"{_PAIRS} SELECT a, b, round(coalesce(sum(x.weight * y.weight), 0.0), 6) AS similarity FROM p JOIN v x ON x.id = a JOIN v y ON y.id = b AND x.term = y.term GROUP BY ALL")
 def title_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of the pairs that share a word of at most five titles."""
-    v = _title_vectors(spark, sf_dir).persist()
-    rare = v.where("df between 2 and 5").select("id", "term")
-    pairs = rare.withColumnRenamed("id", "a").join(rare.withColumnRenamed("id", "b"), "term").where("a < b").select("a", "b").distinct()
-    return rounded(relations.cosines(pairs, v), "similarity")
+    """Similarity of the candidate pairs: what relations are looked for among."""
+    v = shared.kept(_title_vectors(spark, sf_dir))
+    docs = V.articles(spark, sf_dir).withColumn("recent", F.lit(True))
+    return rounded(relations.cosines(relations.candidate_pairs(v.select("id", F.col("term").alias("feature")), docs, _longest(docs.count())), v), "similarity")
 
 
-@query(f"""{_TERMS}, f AS (SELECT id, term FROM v WHERE df BETWEEN 2 AND 20), s AS (SELECT x.id AS i, y.id AS j, count(*) AS shared FROM f x JOIN f y ON x.term = y.term AND x.id <> y.id GROUP BY ALL
-), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY shared DESC, j) AS place FROM s), c AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM k WHERE place <= 40)
-SELECT a, b FROM c JOIN articles x ON x.id = a JOIN articles y ON y.id = b WHERE x.media_id <> y.media_id""")
+@query(f"{_PAIRS} SELECT a, b FROM p")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.articles(spark, sf_dir).withColumn("recent", F.lit(True))
-    return relations.candidate_pairs(_title_vectors(spark, sf_dir).select("id", F.col("term").alias("feature")), docs, 20)
+    return relations.candidate_pairs(_title_vectors(spark, sf_dir).select("id", F.col("term").alias("feature")), docs, _longest(docs.count()))
 
 
 @query()
