@@ -143,6 +143,95 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_a
 FROM d LEFT JOIN g USING (r)
 """
 
+#: CRC-32 of ASCII and Latin-1 text: the remainder is linear, so it is the exclusive or of what each byte adds at its
+#: distance from the end (crc_part) and of what the start adds for the length (crc_start).
+_CRC = """crc_byte AS (
+  SELECT b, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS v FROM (SELECT unnest(range(256)) AS b)
+), crc_part AS (
+  SELECT 0::BIGINT AS k, b, v FROM crc_byte
+  UNION ALL SELECT p.k + 1, p.b, xor(p.v >> 8, t.v) FROM crc_part p JOIN crc_byte t ON t.b = p.v & 255 WHERE p.k < (SELECT max(n) FROM crc_text)
+), crc_start AS (
+  SELECT 0::BIGINT AS n, 4294967295 AS v
+  UNION ALL SELECT s.n + 1, xor(s.v >> 8, t.v) FROM crc_start s JOIN crc_byte t ON t.b = s.v & 255 WHERE s.n < (SELECT max(n) FROM crc_text)
+), crc AS (
+  SELECT s, xor(xor(x, crc_start.v), 4294967295) AS h FROM (
+    SELECT s, n, bit_xor(crc_part.v) AS x FROM (SELECT s, n, i, ('0x' || hexed[2 * i - 1:2 * i])::BIGINT AS b FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM crc_text)) c
+    JOIN crc_part ON crc_part.k = n - i AND crc_part.b = c.b GROUP BY s, n
+  ) JOIN crc_start USING (n)
+)"""
+
+OP11 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) GROUP BY ALL
+), crc_text AS (
+  SELECT DISTINCT coalesce(doc_id::VARCHAR, '') || ':' || w AS s, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS hexed, octet_length(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS n FROM runs WHERE length(w) >= 7
+), {_CRC}, words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(n)::BIGINT AS n
+  FROM runs JOIN crc ON s = coalesce(doc_id::VARCHAR, '') || ':' || w GROUP BY 1 HAVING sum(n) >= 2 AND length(word) >= 7
+), cuts AS (
+  SELECT word, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT x.word, y.word AS other FROM cuts x JOIN cuts y USING (i, a, b) WHERE x.word <> y.word
+  UNION SELECT word, a || b FROM cuts SEMI JOIN words v ON v.word = a || b
+  UNION SELECT a || b, word FROM cuts SEMI JOIN words v ON v.word = a || b
+), best AS (
+  SELECT near.word, other, o.n, count(*) OVER (PARTITION BY near.word) AS n_near FROM near JOIN words o ON o.word = other
+  QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) = 1
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * w.n THEN other END AS form, CASE WHEN best.n >= 10 * w.n THEN best.n END AS form_n FROM words w LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT forms.word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM forms JOIN chain USING (word) JOIN (SELECT word AS root FROM forms WHERE form IS NULL) USING (root)
+"""
+
+OP12 = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT r, doc_id, i, substr(x, 2 * i - 1, 100) AS s FROM (SELECT r, doc_id, x, unnest(range(1, length(x) // 2 - 48)) AS i FROM d WHERE length(x) >= 100)
+), gone AS (
+  SELECT r, i FROM w SEMI JOIN (SELECT s, min(doc_id) AS doc_id FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)) f ON w.s = f.s AND w.doc_id > f.doc_id
+), spans AS (
+  SELECT r, min(i) AS a, max(i) + 50 AS b FROM (
+    SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM gone)
+  ) GROUP BY r, g
+), kept AS (
+  SELECT r, string_agg(substr(x, 2 * coalesce(before, 1) - 1, 2 * (a - coalesce(before, 1))), '' ORDER BY a) || any_value(substr(x, 2 * last - 1)) AS k, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM (SELECT r, a, b, lag(b) OVER (PARTITION BY r ORDER BY a) AS before, max(b) OVER (PARTITION BY r) AS last FROM spans) JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+OP13 = f"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, length(coalesce(text, '')) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base FROM said
+), crc_text AS (SELECT conv_id::VARCHAR AS s, hex(encode(conv_id::VARCHAR)) AS hexed, octet_length(encode(conv_id::VARCHAR)) AS n FROM ids
+), {_CRC}, convs AS (SELECT conv_id, base, h % 6 AS h FROM ids JOIN crc ON s = conv_id::VARCHAR
+), turns AS (
+  SELECT c.conv_id, 0 AS part, place, said, size FROM convs c JOIN said b ON b.conv_id = c.base AND place <= h
+  UNION ALL SELECT c.conv_id, 1, place, said, size FROM convs c JOIN said s ON s.conv_id = c.conv_id AND place > h
+), path AS (
+  SELECT conv_id, row_number() OVER o AS depth, string_agg(said, '') OVER o AS node, size FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY part, place)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), nodes AS (SELECT node, any_value(depth) AS depth, min(conv_id) AS owner, count(*) AS n, any_value(size) AS size FROM path GROUP BY node
+), kids AS (SELECT left(node, length(node) - 32) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (
+  SELECT a.node, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves, sum((b.n - 1) * b.size) AS saved
+  FROM nodes b LEFT JOIN kids k ON k.node = b.node JOIN (SELECT node AS deep, unnest(range(0, depth + 1)) AS d FROM nodes) u ON u.deep = b.node JOIN nodes a ON a.node = left(b.node, 32 * d) GROUP BY a.node
+), ends AS (
+  SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, node FROM path QUALIFY depth = max(depth) OVER (PARTITION BY conv_id)) GROUP BY node
+)
+SELECT n.owner AS conv_id, n.depth::BIGINT AS depth, p.owner AS parent_conv_id, n.n::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.node = left(n.node, length(n.node) - 32) LEFT JOIN kids ON kids.node = n.node JOIN below ON below.node = n.node LEFT JOIN ends ON ends.node = n.node
+"""
+
+
 def _warc() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     # Own patterns: silent elements one after the other, tags told by what follows "<", blocks put together from trimmed lines.
@@ -177,4 +266,4 @@ SELECT *, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS
 """
 
 
-SQL = {"op2_warc_derivatives": _warc(), "op3_quality_cascade": OP3, "op4_wu_manber": OP4, "op5_line_dedup": OP5, "op9_credential_links": OP9, "op10_minhash_tensor": OP10}
+SQL = {"op2_warc_derivatives": _warc(), "op3_quality_cascade": OP3, "op4_wu_manber": OP4, "op5_line_dedup": OP5, "op9_credential_links": OP9, "op10_minhash_tensor": OP10, "op11_wildcard_groups": OP11, "op12_suffix_dedup": OP12, "op13_prefix_trie": OP13}

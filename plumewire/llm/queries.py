@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, linededup, minhash, mixing, quality, secrets, tokenfile, warc
+from . import decontam, html_extract, langid, linededup, minhash, mixing, quality, secrets, spelling, suffixes, tokenfile, trie, warc
 from .common import read_table
 
 
@@ -58,4 +58,16 @@ def op10_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.cluster(read_table(spark, sf_dir, "documents"), width=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_block_labeller, op2_warc_derivatives, op3_quality_cascade, op4_wu_manber, op5_line_dedup, op6_language_id, op7_token_codes, op8_soft_mixing, op9_credential_links, op10_minhash_tensor)}
+def op11_wildcard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_block_labeller, op2_warc_derivatives, op3_quality_cascade, op4_wu_manber, op5_line_dedup, op6_language_id, op7_token_codes, op8_soft_mixing, op9_credential_links, op10_minhash_tensor, op11_wildcard_groups, op12_suffix_dedup, op13_prefix_trie)}

@@ -5,7 +5,7 @@ import pytest
 
 from plumewire.llm import oracle, queries
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
