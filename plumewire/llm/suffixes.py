@@ -11,8 +11,8 @@ other under one token are a fragment: a fragment of f windows travels as span +
 3. Those fragments, now with their bytes, are range-partitioned by token again.  Each bucket sorts its windows by multikey
    quicksort: ranges of windows are split by their next eight bytes, and only runs of equal ones go deeper; all ranges of
    one depth are split at once.  Equal windows then stand together, and those of later documents go.
-4. A token that is a splitter, or too frequent for one chunk of a bucket, is split over buckets or chunks.  Each of them
-   hands on its earliest occurrence of each such window, and these are compared across the boundaries.
+4. A token with more rows than a bucket should have, or than one chunk of a bucket, is split over buckets or chunks.  Each of
+   them hands on its earliest occurrence of each such window, and these are compared across the boundaries.
 
 Step 2 may take a fragment for one of interest that is none (at the edges of a bucket), never the other way round, and
 step 3 is exact, so the result doesn't depend on where the splitters lie.  Digests have 128 bits (a fragment's: 64, and
@@ -37,11 +37,29 @@ from pyspark.sql import functions as F
 from .common import batch, bound_batches, by_ids, lean, mix64, shuffle_width, stage, text_bytes
 from .minhash import _meet
 
-SPAN, TOKEN = 50, 16
+SPAN, TOKEN = 50, 24
 #: Bytes of text worked on at once; windows of a fragment at most; bytes of fragments (or rows without bytes) of a chunk.
-PIECE, LONGEST, CHUNK, CHUNK_ROWS = 1 << 20, 256, 4 << 20, 1 << 19
-#: Tokens in the sample that splitters are taken from, at most about; the splitters only say where work is done.
-SAMPLE = 20_000
+PIECE, LONGEST, CHUNK, CHUNK_ROWS = 1 << 18, 256, 4 << 20, 1 << 19
+#: Tokens in the sample that splitters are taken from, at most about; the splitters only say where work is done.  A token is
+#: split over buckets if it has more rows than ``SPLIT``.
+SAMPLE, SPLIT = 20_000, 1 << 15
+
+#: A number and its inverse, whose powers tell the places in a text.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def forget_powers() -> None:
+    _powers.clear()
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    size = 1 << (n - 1).bit_length()
+    if size not in _powers:
+        _powers[size] = tuple(np.cumprod(np.append(np.uint64(1), np.full(size - 1, x, np.uint64))) for x in (_BASE, _INVERSE))
+    return _powers[size]
 
 
 def pieces(bodies: list[bytes], span: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -59,47 +77,52 @@ def pieces(bodies: list[bytes], span: int) -> Iterator[list[tuple[int, int, byte
         yield some
 
 
-def fragments(some: list[tuple[int, int, bytes]], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each fragment: the text's place in the list, the start in it, the number of windows, and the token's hash."""
-    data = b"".join(x for _, _, x in some) + bytes(TOKEN + span)
-    n = len(data) - TOKEN - span
-    eight = np.ndarray((n + TOKEN,), "<u8", data, strides=(1,)).astype(np.uint64)
-    least = mix64(mix64(eight[:n]) + eight[8 : n + 8])
-    width, rest = 1, span - TOKEN + 1
-    while 2 * width <= rest:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < rest:
-        least = np.minimum(least[: width - rest], least[rest - width :])
-    # Windows that end inside their text, in order.
-    size = np.array([len(x) for _, _, x in some])
-    first, count = np.cumsum(size) - size, size - span + 1
-    text = np.repeat(np.arange(len(some)), count)
-    before = np.cumsum(count) - count
-    at = np.arange(len(text)) + (first - before)[text]
-    token = least[at]
-    new = np.append(True, token[1:] != token[:-1])
-    new[before] = True
-    start = np.flatnonzero(new)
-    runs = np.diff(np.append(start, len(token)))
-    if len(runs) and runs.max() > LONGEST:
-        parts = -(-runs // LONGEST)
-        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        runs = np.minimum(np.repeat(runs, parts) - step * LONGEST, LONGEST)
-        start = np.repeat(start, parts) + step * LONGEST
-    of = text[start]
-    return of, start - before[of], runs, token[start]
-
-
-def described(bodies: list[bytes], span: int) -> Iterator[tuple[list[int], list[int], list[int], np.ndarray, np.ndarray]]:
-    """Place of the text, start, windows, token and digest of the fragments of some texts."""
-    digest = xxhash.xxh3_64_intdigest
+def described(bodies: list[bytes], span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each fragment of some texts, in order: the text's place in the list, the start in it, the number of windows, the
+    token's hash and the fragment's digest."""
     for some in pieces(bodies, span):
-        of, start, runs, token = fragments(some, span)
-        of_, start_, end = of.tolist(), start.tolist(), (start + runs + span - 1).tolist()
-        prints = np.fromiter((digest(some[k][2][s:e]) for k, s, e in zip(of_, start_, end)), np.uint64, len(of_))
-        place, offset = np.array([k for k, _, _ in some]), np.array([at for _, at, _ in some])
-        yield place[of], start + offset[of], runs, token, prints
+        data = b"".join(x for _, _, x in some) + bytes(TOKEN + span)
+        n = len(data) - TOKEN - span
+        mixed = mix64(np.ndarray((n + TOKEN,), "<u8", data, strides=(1,)).astype(np.uint64))
+        least = mixed[:n].copy()
+        for k in range(8, TOKEN, 8):
+            least *= np.uint64(_BASE)
+            least ^= mixed[k : n + k]
+        width, rest = 1, span - TOKEN + 1
+        while 2 * width <= rest:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if width < rest:
+            least = np.minimum(least[: width - rest], least[rest - width :])
+        # Windows that end inside their text, in order.
+        size = np.array([len(x) for _, _, x in some])
+        first, count = np.cumsum(size) - size, size - span + 1
+        before = np.cumsum(count) - count
+        at = np.arange(count.sum()) + np.repeat(first - before, count)
+        token = least[at]
+        new = np.append(True, token[1:] != token[:-1])
+        new[before] = True
+        start = np.flatnonzero(new)
+        runs = np.diff(np.append(start, len(token)))
+        if runs.max() > LONGEST:
+            parts = -(-runs // LONGEST)
+            step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            runs = np.minimum(np.repeat(runs, parts) - step * LONGEST, LONGEST)
+            start = np.repeat(start, parts) + step * LONGEST
+        # The digest: what the fragment's strings of eight bytes add up to, each weighted by its place in it.
+        begin = at[start]
+        up, down = powers(n + TOKEN)
+        total = np.cumsum(mixed * up[: n + TOKEN])
+        prints = total[begin + runs + (span - 9)] - total[begin] + mixed[begin] * up[begin]
+        prints = mix64(prints * down[begin] + runs.astype(np.uint64))
+        of = np.searchsorted(before, start, "right") - 1
+        place, offset = np.array([k for k, _, _ in some]), np.array([at_ for _, at_, _ in some])
+        yield place[of], begin - first[of] + offset[of], runs, token[start], prints
+
+
+def _key(place: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """One number for a text of a batch and a fragment's digest."""
+    return mix64(prints + place.astype(np.uint64) * np.uint64(_BASE))
 
 
 def _signed(docs: DataFrame, span: int) -> DataFrame:
@@ -114,16 +137,27 @@ def _signed(docs: DataFrame, span: int) -> DataFrame:
     return some.mapInArrow(lean(run), "doc_id long, digest binary")
 
 
-def splitters(tokens: list[int], buckets: int) -> np.ndarray:
-    """Tokens at which ``buckets`` ranges meet; one with more than a range's share is there more than once."""
+def splitters(tokens: list[int], buckets: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens at which ``buckets`` ranges meet, and those of them that are split because they may have more than ``SPLIT`` of
+    the ``rows`` rows, and more than a range's share."""
     held = np.sort(np.array(tokens, np.int64))
-    return held[(np.arange(1, buckets) * len(held)) // buckets] if len(held) else held
+    if not len(held):
+        return held, held
+    cuts = held[(np.arange(1, buckets) * len(held)) // buckets]
+    known, count = np.unique(held, return_counts=True)
+    many = known[count * (rows / len(held)) > SPLIT]
+    again, times = np.unique(cuts, return_counts=True)
+    return cuts, np.intersect1d(many, again[times > 1])
 
 
-def bucket_of(token: np.ndarray, other: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """A splitter's own rows are dealt over the ranges that meet there."""
-    low, high = np.searchsorted(cuts, token, "left"), np.searchsorted(cuts, token, "right")
-    return (low + (mix64(other.astype(np.uint64)) % (high - low + 1).astype(np.uint64)).astype(np.int64)).astype(np.int32)
+def bucket_of(token: np.ndarray, other: np.ndarray, cuts: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """The range of a token; rows of a split one are dealt over the ranges that meet there."""
+    high = np.searchsorted(cuts, token, "right")
+    hot = np.flatnonzero(np.isin(token, split))
+    if len(hot):
+        low = np.searchsorted(cuts, token[hot], "left")
+        high[hot] = low + (mix64(other[hot].astype(np.uint64)) % (high[hot] - low + 1).astype(np.uint64)).astype(np.int64)
+    return high.astype(np.int32)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], weigh, most: int) -> Iterator[tuple[pa.Table, set]]:
@@ -152,7 +186,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], weigh, most: int) -> Iterator[tup
         yield pa.Table.from_batches(held), cut
 
 
-def _repeats(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
+def _repeats(rows: DataFrame, split: np.ndarray) -> DataFrame:
     """doc_id, print, token, whole: fragments that an earlier document has too (whole), and of the other ones those whose
     token may be another fragment's."""
     schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("token", pa.int64()), ("whole", pa.bool_())])
@@ -165,7 +199,7 @@ def _repeats(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
             group = np.cumsum(new) - 1
             later = doc > doc[np.flatnonzero(new)][group]
             kinds = np.add.reduceat(new, np.flatnonzero(new_token))[np.cumsum(new_token) - 1]
-            lone = (kinds == 1) & ~np.isin(token, np.append(cuts, np.fromiter(cut, np.int64, len(cut))))
+            lone = (kinds == 1) & ~np.isin(token, np.append(split, np.fromiter(cut, np.int64, len(cut))))
             keep = later | new & ~lone
             yield batch(schema, doc[keep], prints[keep], token[keep], later[keep])
 
@@ -173,23 +207,26 @@ def _repeats(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
     return ordered.mapInArrow(lean(run), "doc_id long, print long, token long, whole boolean")
 
 
-def sorted_ties(data: bytes, at: np.ndarray, group: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that equal another one of their group: their places in ``at`` in order, and where a new run begins.  Multikey
-    quicksort with symbols of eight bytes, all ranges of a depth at once."""
+def sorted_ties(data: bytes, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that equal another one: their places in ``at`` in order, and where a new run begins.  Multikey quicksort with
+    symbols of eight bytes, all ranges of a depth at once."""
     eight = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
-    order, range_ = np.arange(len(at)), group
+    order, range_ = np.arange(len(at)), None
     for depth in [*range(0, span - 8, 8), span - 8]:
         symbol = eight[at[order] + depth].astype(np.uint64)
-        by = np.lexsort((symbol, range_))
-        order, symbol, range_ = order[by], symbol[by], range_[by]
-        new = np.append(True, (range_[1:] != range_[:-1]) | (symbol[1:] != symbol[:-1]))[: len(order)]
+        by = np.argsort(symbol) if range_ is None else np.lexsort((symbol, range_))
+        order, symbol = order[by], symbol[by]
+        new = np.append(True, symbol[1:] != symbol[:-1])[: len(order)]
+        if range_ is not None:
+            range_ = range_[by]
+            new[1:] |= range_[1:] != range_[:-1]
         alone = new & np.append(new[1:], True)[: len(order)]
         range_ = np.cumsum(new)[~alone]
         order, new = order[~alone], new[~alone]
     return order, new
 
 
-def _compared(rows: DataFrame, cuts: np.ndarray, span: int) -> DataFrame:
+def _compared(rows: DataFrame, split: np.ndarray, span: int) -> DataFrame:
     """doc_id, print, offsets of windows that an earlier document has; and with their digest (w1, w2) the earliest ones here
     of those windows that other buckets may have too.  rows: token, print, doc_id, bytes."""
     schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("offsets", pa.list_(pa.int32())), ("w1", pa.int64()), ("w2", pa.int64())])
@@ -204,12 +241,9 @@ def _compared(rows: DataFrame, cuts: np.ndarray, span: int) -> DataFrame:
             own = np.repeat(np.arange(len(texts)), windows)
             offset = np.arange(len(own)) - (np.cumsum(windows) - windows)[own]
             at = offset + (np.cumsum(size) - size)[own]
-            edge = np.isin(token, np.append(cuts, np.fromiter(cut, np.int64, len(cut))))
-            order, new = sorted_ties(data, at, np.unique(token, return_inverse=True)[1][own], span)
-            tied = np.zeros(len(at), bool)
-            tied[order] = True
-            first = np.zeros(len(at), np.int64)  # the earliest document with a window
-            first[:] = doc[own]
+            edge = np.isin(token, np.append(split, np.fromiter(cut, np.int64, len(cut))))
+            order, new = sorted_ties(data, at, span)
+            first = doc[own]  # the earliest document with a window
             if len(order):
                 least = np.minimum.reduceat(doc[own[order]], np.flatnonzero(new))
                 first[order] = least[np.cumsum(new) - 1]
@@ -244,88 +278,89 @@ def removals(docs: DataFrame, span: int = SPAN) -> DataFrame:
     gone = stage(copies.groupBy("doc_id").agg(F.count("*").alias("gone")).join(n, "doc_id").where("gone = n").select("doc_id"), "gone")
     reps = by_ids(docs.where("doc_id is not null"), gone, "left_anti")
 
-    def fragments_of(some: DataFrame, cuts: np.ndarray, one_in: int = 1) -> DataFrame:
+    def fragments_of(some: DataFrame, cuts: np.ndarray, split: np.ndarray, one_in: int = 1) -> DataFrame:
         schema = pa.schema([("bucket", pa.int32()), ("token", pa.int64()), ("print", pa.int64()), ("doc_id", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column(0).to_numpy()
-                for of, _, _, token, prints in described([x or b"" for x in b.column(1).to_pylist()], span):
-                    doc = ids[of]
+                for of, _, _, token, prints in described(b.column(1).to_pylist(), span):
+                    doc, token = ids[of], token.view(np.int64)
                     if one_in > 1:
-                        some = mix64(prints ^ doc.astype(np.uint64)) % np.uint64(one_in) == 0
-                        doc, token, prints = doc[some], token[some], prints[some]
-                    by = np.lexsort((prints, token, doc))  # a document's equal fragments are one row
-                    doc, token, prints = doc[by], token[by], prints[by]
-                    new = np.append(True, (doc[1:] != doc[:-1]) | (prints[1:] != prints[:-1]) | (token[1:] != token[:-1]))[: len(doc)]
-                    doc, token, prints = doc[new], token[new].view(np.int64), prints[new]
-                    for k in range(0, len(doc), 1 << 16):
-                        s = slice(k, k + (1 << 16))
-                        yield batch(schema, bucket_of(token[s], prints[s] ^ doc[s].astype(np.uint64), cuts), token[s], prints[s].view(np.int64), doc[s])
-
-        return text_bytes(some).mapInArrow(lean(run), "bucket int, token long, print long, doc_id long")
+                        few = mix64(prints ^ doc.astype(np.uint64)) % np.uint64(one_in) == 0
+                        doc, token, prints = doc[few], token[few], prints[few]
+                    yield batch(schema, bucket_of(token, prints ^ doc.astype(np.uint64), cuts, split), token, prints.view(np.int64), doc)
+
+        return text_bytes(some).where(f"octet_length(body) >= {span}").mapInArrow(lean(run, "powers", forget_powers), "bucket int, token long, print long, doc_id long")
 
     # The sample: fragments of some documents, and of those one in 16.
-    few = max(1, signed.count() // 2000)
-    sample = fragments_of(reps.where(F.pmod(F.xxhash64("doc_id"), F.lit(few)) == 0), np.empty(0, np.int64), 16).select("token").limit(2 * SAMPLE)
-    cuts = splitters([r.token for r in sample.collect()], width)
-    found = stage(_repeats(fragments_of(reps, cuts).repartitionById(width, "bucket"), cuts), "repeats")
+    few, none = max(1, signed.count() // 2000), np.empty(0, np.int64)
+    sample = [r.token for r in fragments_of(reps.where(F.pmod(F.xxhash64("doc_id"), F.lit(few)) == 0), none, none, 16).select("token").limit(2 * SAMPLE).collect()]
+    cuts, split = splitters(sample, width, len(sample) * 16 * few)
+    found = stage(_repeats(fragments_of(reps, cuts, split).repartitionById(width, "bucket"), split), "repeats")
 
     asked = found.where("not whole")
-    cuts2 = splitters(_sampled(asked.select("token", "print", "doc_id"), asked.count()), width)
+    n_asked = asked.count()
+    cuts2, split2 = splitters(_sampled(asked.select("token", "print", "doc_id"), n_asked), width, n_asked)
     lists = asked.groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
     schema = pa.schema([("bucket", pa.int32()), ("token", pa.int64()), ("print", pa.int64()), ("doc_id", pa.int64()), ("body", pa.binary())])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, wanted = b.column(0).to_numpy(), [np.array(x, np.int64).view(np.uint64) for x in b.column(2).to_pylist()]
-            bodies = b.column(1).to_pylist()
-            seen: set[tuple[int, int]] = set()
+            ids, bodies, wanted = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2)
+            of_list = np.repeat(np.arange(len(b)), wanted.value_lengths().to_numpy(zero_copy_only=False))
+            keys = _key(of_list, wanted.flatten().to_numpy().view(np.uint64))
             for of, start, runs, token, prints in described(bodies, span):
-                out = []
-                for k in np.unique(of).tolist():
-                    mine = np.arange(*np.searchsorted(of, [k, k + 1]))
-                    for i in mine[np.isin(prints[mine], wanted[k])].tolist():
-                        if (key := (k, int(prints[i]))) not in seen:
-                            seen.add(key)
-                            out.append(i)
-                of_, start_, end = of[out].tolist(), start[out].tolist(), (start[out] + runs[out] + span - 1).tolist()
-                doc, token, prints = ids[of[out]], token[out].view(np.int64), prints[out]
-                texts = [bodies[k][s:e] for k, s, e in zip(of_, start_, end)]
-                for j in range(0, len(out), 1 << 12):
-                    s = slice(j, j + (1 << 12))
-                    yield batch(schema, bucket_of(token[s], prints[s] ^ doc[s].astype(np.uint64), cuts2), token[s], prints[s].view(np.int64), doc[s], texts[s])
-
-    texts = text_bytes(reps).where(f"octet_length(body) >= {span}").join(lists, "doc_id").mapInArrow(lean(cut_out), "bucket int, token long, print long, doc_id long, body binary")
-    parts = stage(_compared(texts.repartitionById(width, "bucket"), cuts2, span), "parts")
+                key = _key(of, prints)
+                some = np.flatnonzero(np.isin(key, keys))
+                some = some[np.unique(key[some], return_index=True)[1]]  # a text's equal fragments are one row
+                doc, token, prints = ids[of[some]], token[some].view(np.int64), prints[some]
+                texts = [bodies[k][s:e] for k, s, e in zip(of[some].tolist(), start[some].tolist(), (start + runs + span - 1)[some].tolist())]
+                yield batch(schema, bucket_of(token, prints ^ doc.astype(np.uint64), cuts2, split2), token, prints.view(np.int64), doc, texts)
+
+    texts = text_bytes(reps).where(f"octet_length(body) >= {span}").join(lists, "doc_id").mapInArrow(lean(cut_out, "powers", forget_powers), "bucket int, token long, print long, doc_id long, body binary")
+    parts = stage(_compared(texts.repartitionById(width, "bucket"), split2, span), "parts")
     across = parts.where("w1 is not null").withColumn("first", F.min("doc_id").over(Window.partitionBy("w1", "w2"))).where("doc_id > first")
     going = parts.where("w1 is null").select("doc_id", "print", "offsets").unionByName(across.select("doc_id", "print", "offsets"))
     going = going.unionByName(found.where("whole").select("doc_id", "print", F.lit(None).cast("array<int>").alias("offsets")))
-    listed = going.select("doc_id", F.struct("print", "offsets").alias("part"), F.lit(None).cast("binary").alias("copy"))
-    listed = listed.unionByName(copies.select("doc_id", F.lit(None).cast("struct<print: long, offsets: array<int>>").alias("part"), F.col("digest").alias("copy")))
-    return stage(listed.groupBy("doc_id").agg(F.collect_set("copy").alias("copies"), F.collect_list("part").alias("parts")), "removals")
-
-
-def removed(body: bytes, copies: list[bytes], parts: list[dict], span: int) -> np.ndarray:
-    """True for the bytes of a text that go."""
-    if copies and xxhash.xxh3_128_digest(body) in copies:
-        return np.ones(len(body), bool)
-    steps = np.zeros(len(body) + 1, np.int32)
-    whole = np.array([p["print"] for p in parts if p["offsets"] is None], np.int64).view(np.uint64)
-    some: dict[int, list[int]] = {}
-    for p in parts:
-        if p["offsets"] is not None:
-            some.setdefault(p["print"] % (1 << 64), []).extend(p["offsets"])
-    partly = np.fromiter(some, np.uint64, len(some))
-    for _, start, runs, _, prints in described([body], span):
-        all_ = np.isin(prints, whole)
-        np.add.at(steps, start[all_], 1)
-        np.add.at(steps, (start + runs + span - 1)[all_], -1)
-        for k in np.flatnonzero(np.isin(prints, partly) & ~all_).tolist():
-            at = start[k] + np.unique(some[int(prints[k])])
-            np.add.at(steps, at, 1)
-            np.add.at(steps, at + span, -1)
-    return np.cumsum(steps[:-1]) > 0
+    some, copy = F.struct("print", "offsets"), F.lit(None).cast("binary")
+    listed = going.select("doc_id", F.when(F.col("offsets").isNull(), F.col("print")).alias("whole"), F.when(F.col("offsets").isNotNull(), some).alias("part"), copy.alias("copy"))
+    listed = listed.unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("whole"), F.lit(None).cast(listed.schema["part"].dataType).alias("part"), F.col("digest").alias("copy")))
+    return stage(listed.groupBy("doc_id").agg(F.collect_set("copy").alias("copies"), F.collect_set("whole").alias("wholes"), F.collect_list("part").alias("parts")), "removals")
+
+
+def removed(bodies: list[bytes], copies: list[list[bytes]], wholes: pa.Array, parts: pa.Array, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins in all of them put together, and what goes of their bytes."""
+    size = np.array([len(x) for x in bodies])
+    first = np.append(0, np.cumsum(size))
+    steps = np.zeros(first[-1] + 1, np.int32)
+    lists = lambda x: np.repeat(np.arange(len(bodies)), x.value_lengths().to_numpy(zero_copy_only=False))
+    whole = _key(lists(wholes), wholes.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+    struct = parts.flatten()
+    part_key = _key(lists(parts), struct.field("print").to_numpy(zero_copy_only=False).view(np.uint64))
+    offsets = struct.field("offsets")
+    part_key = np.repeat(part_key, offsets.value_lengths().to_numpy(zero_copy_only=False))
+    by = np.argsort(part_key, kind="stable")
+    part_key, part_at = part_key[by], offsets.flatten().to_numpy(zero_copy_only=False)[by]
+
+    def mark(begin: np.ndarray, end: np.ndarray) -> None:
+        np.add.at(steps, begin, 1)
+        np.add.at(steps, end, -1)
+
+    for of, start, runs, _, prints in described(bodies, span):
+        key, begin = _key(of, prints), first[of] + start
+        all_ = np.isin(key, whole)
+        mark(begin[all_], (begin + runs + span - 1)[all_])
+        low, high = np.searchsorted(part_key, key, "left"), np.searchsorted(part_key, key, "right")
+        some = np.flatnonzero((high > low) & ~all_)
+        n = (high - low)[some]
+        at = np.repeat(low[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        windows = np.repeat(begin[some], n) + part_at[at]
+        mark(windows, windows + span)
+    for k, mine in enumerate(copies):
+        if mine and xxhash.xxh3_128_digest(bodies[k]) in mine:
+            mark(first[k : k + 1], first[k + 1 : k + 2])
+    return first, np.cumsum(steps[:-1]) > 0
 
 
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -339,17 +374,22 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for body, copies, parts in zip(*(c.to_pylist() for c in b.columns[1:])):
-                body = body or b""
-                gone = removed(body, copies, parts, span)
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
-                for to, x in zip(out, (len(body), edge[::2], edge[1::2], kept)):
-                    to.append(x)
-            yield batch(schema, b.column(0), *out)
-
-    touched = text_bytes(by_ids(docs, ids, "left_semi")).join(lists, "doc_id").mapInArrow(lean(run), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+            bodies = [x or b"" for x in b.column(1).to_pylist()]
+            first, gone = removed(bodies, b.column(2).to_pylist(), b.column(3), b.column(4), span)
+            data = np.frombuffer(b"".join(bodies), np.uint8)
+            edge = gone.view(np.int8)
+            # Runs end with their text: copies that follow each other are runs of their own.
+            starts = np.flatnonzero(np.diff(edge, prepend=0) == 1)
+            starts = np.union1d(starts, first[:-1][np.append(edge, 0)[first[:-1]] == 1]).astype(np.int64)
+            ends = np.flatnonzero(np.diff(edge, append=0) == -1) + 1
+            ends = np.union1d(ends, first[1:][np.append(0, edge)[first[1:]] == 1]).astype(np.int64)
+            own = np.searchsorted(first[1:], starts, "right")
+            offsets = pa.array(np.searchsorted(own, np.arange(len(b) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x - first[own])) for x in (starts, ends)]
+            kept = [data[i:j][~gone[i:j]].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+            yield batch(schema, b.column(0), np.diff(first), *lists, kept)
+
+    touched = text_bytes(by_ids(docs, ids, "left_semi")).join(lists, "doc_id").mapInArrow(lean(run, "powers", forget_powers), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
     none = F.array().cast("array<long>")
     rest = text_bytes(by_ids(docs, ids, "left_anti")).select("doc_id", F.coalesce(F.octet_length("body"), F.lit(0)).cast("long").alias("n_bytes"), none.alias("starts"), none.alias("ends"), F.coalesce("body", F.lit(b"")).alias("kept"))
     return rest.unionByName(touched)
