@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -129,6 +130,15 @@ def drop_stages(spark: SparkSession) -> None:
         _remove(spark, _staged.pop())
 
 
+@contextlib.contextmanager
+def dropping_stages(spark: SparkSession) -> Iterator[None]:
+    """The stage tables that are written inside go at the end; what was made from them must have been written by then."""
+    before = len(_staged)
+    yield
+    while len(_staged) > before:
+        _remove(spark, _staged.pop())
+
+
 def stage(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there,
     so a lost executor costs a read and not a recomputation.  ``out`` is a folder of the caller's, who keeps it."""

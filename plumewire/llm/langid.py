@@ -22,12 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, bound_batches, lean, mix64
 
 ORDER, MAX_DOCS = 5, 400
+#: Bytes of text that a language is learned from, at most; languages, at most (those that most texts have).
+MAX_BYTES, MAX_LANGS = 64 << 20, 256
 #: Share of a language's own texts that its rejection threshold lets pass.
 ACCEPT = 0.995
 _TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -202,37 +204,41 @@ def _posterior(entropy: np.ndarray, temperature: float) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, use: Column, max_docs: int = MAX_DOCS, order: int = ORDER) -> Models | None:
-    """Models from the rows of ``docs`` (text, lang) for which ``use`` holds and the language is known."""
+def train(docs: DataFrame, use: Column, max_docs: int = MAX_DOCS, order: int = ORDER, max_bytes: int = MAX_BYTES, max_langs: int = MAX_LANGS) -> Models | None:
+    """Models from the rows of ``docs`` (text, lang) for which ``use`` holds and the language is known: about ``max_docs``
+    texts of each of the ``max_langs`` languages that most texts have, the first ``max_bytes`` of a language in the order of
+    a hash (a text that is longer than a sixteenth of that is left out)."""
     labelled = docs.where(use & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not sizes:
         return None
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs / n))) for lang, n in sizes.items()))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_003)) / 1_000_003.0
-    rows = labelled.where(draw < share).select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(5)) == 0).alias("held")).collect()  # about max_docs a language
-    langs = sorted(sizes)
-    fitted: dict[str, Counter] = {lang: Counter() for lang in langs}
-    held = []
-    for r in sorted(rows, key=lambda r: (r.lang, r.text)):
-        words = words_of(r.text)
-        if r.held and words:
-            held.append((langs.index(r.lang), words))
-        fitted[r.lang].update(words)
+    some = labelled.where((draw < share) & (F.octet_length("text") <= max_bytes // 16)).select("lang", "text", "doc_id", F.octet_length("text").alias("bytes"))
+    so_far = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(31)), F.xxhash64("text"))  # about max_docs rows
+    within = some.withColumn("bytes", F.sum("bytes").over(so_far)).where(F.col("bytes") <= max_bytes)
+    rows = within.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(5)) == 0).alias("held")).collect()  # at most max_bytes a language
+    fitted: dict[str, Counter] = {lang: Counter() for lang in sizes}
+    inner: dict[str, Counter] = {lang: Counter() for lang in sizes}
+    for r in rows:
+        fitted[r.lang].update(words_of(r.text))
+        if not r.held:
+            inner[r.lang].update(words_of(r.text))
+    langs = sorted(x for x in sizes if fitted[x])
+    if not langs:
+        return None
+    models = Models(langs, [fitted[x] for x in langs], order)
+    # Temperature and thresholds come from held texts, of the languages that have words without them.
+    tried = [x for x in langs if inner[x]]
+    held = [(tried.index(r.lang), words) for r in sorted(rows, key=lambda r: (r.lang, r.text)) if r.held and r.lang in tried and (words := words_of(r.text))]
     if held:
-        inner = {lang: Counter() for lang in langs}
-        for r in rows:
-            if not r.held:
-                inner[r.lang].update(words_of(r.text))
-        entropy = Scorer(Models(langs, [inner[x] for x in langs], order)).entropies([w for _, w in held])
+        entropy = Scorer(Models(tried, [inner[x] for x in tried], order)).entropies([w for _, w in held])
         truth = np.array([i for i, _ in held])
         own = np.arange(len(truth))
         losses = {t: -np.log(np.maximum(_posterior(entropy, t)[own, truth], 1e-9)).mean() for t in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)}
-        temperature = min(losses, key=lambda t: (losses[t], t))
-        limits = np.array([np.quantile(e, ACCEPT) * 1.05 if len(e := entropy[own, truth][truth == i]) else np.inf for i in range(len(langs))])
-    models = Models(langs, [fitted[x] for x in langs], order)
-    if held:
-        models.temperature, models.limits = temperature, limits
+        models.temperature = min(losses, key=lambda t: (losses[t], t))
+        known = {x: np.quantile(e, ACCEPT) * 1.05 for i, x in enumerate(tried) if len(e := entropy[own, truth][truth == i])}
+        models.limits = np.array([known.get(x, np.inf) for x in langs])
     return models
 
 

@@ -205,7 +205,11 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 texts.append(b"\n".join(kept) if drop else body or b"")
             yield batch(schema, b.column(0), n_lines, n_dropped, pa.array(texts, pa.binary()).cast(pa.string()))
 
-    return text_bytes(docs).join(drops, "doc_id", "left").mapInArrow(lean(run), "doc_id long, n_lines long, n_dropped long, text string")
+    # Rows without an id lose nothing and stay where they are.
+    whole = text_bytes(docs)
+    told = whole.where("doc_id is not null").join(drops, "doc_id", "left")
+    told = told.unionByName(whole.where("doc_id is null").withColumn("drops", F.lit(None).cast("array<binary>")))
+    return told.mapInArrow(lean(run), "doc_id long, n_lines long, n_dropped long, text string")
 
 
 def report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

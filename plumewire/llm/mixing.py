@@ -123,17 +123,28 @@ def members(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select("doc_id", tokens.alias("tokens"), model.posterior(F.col("text")).alias("posterior"))
 
 
-def rate_after(steps: list[list[float]], posterior: Column) -> Column:
-    """The rate after the projected steps so far, from 1."""
+def membership(posterior: Column, rest: list[float]) -> Column:
+    """The posterior as far as it stands out from ``rest``, that of a document without any marker; what doesn't belong to
+    another domain belongs to the largest one, so that a document without markers is wholly in that one."""
+    main = max(range(len(rest)), key=lambda i: rest[i])
+    out = lambda p, i: F.greatest(F.lit(0.0), p[i] - rest[i]) / max(1e-9, 1 - rest[i])
+    others = lambda p: [out(p, i) for i in range(len(rest)) if i != main]
+    own = lambda p: F.greatest(F.lit(0.0), F.lit(1.0) - sum(others(p), F.lit(0.0)))
+    return _let(posterior, lambda p: F.array(*(own(p) if i == main else out(p, i) for i in range(len(rest)))))
+
+
+def rate_after(steps: list[list[float]], posterior: Column, most: float = math.inf) -> Column:
+    """The rate after the projected steps so far, from 1; between 0 and ``most``."""
     if not steps:
         return F.lit(1.0)
     k = len(steps[0])
     taken = F.array(*(F.array(*map(F.lit, s)) for s in steps))
     move = lambda p, c: sum((p[i] * c[i] for i in range(1, k)), p[0] * c[0])
-    return _let(posterior, lambda p: F.aggregate(taken, F.lit(1.0), lambda r, c: F.greatest(F.lit(0.0), r - move(p, c))))
+    held = (lambda r: r) if math.isinf(most) else (lambda r: F.least(F.lit(float(most)), r))
+    return _let(posterior, lambda p: F.aggregate(taken, F.lit(1.0), lambda r, c: held(F.greatest(F.lit(0.0), r - move(p, c)))))
 
 
-def fit(held: DataFrame, targets: dict[int, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
+def fit(held: DataFrame, targets: dict[int, float], steps: int = STEPS, tolerance: float = TOLERANCE, most: float = math.inf) -> list[list[float]]:
     """Step vectors of the projected gradient descent on ``sum_k (T_k - target_k)**2 / scale_k`` over rates >= 0.
     ``held`` has tokens and posterior; ``targets`` gives tokens for (some) places of the posterior.  A descent that is
     still moving after ``steps`` steps warns, and says by how much the targets are missed."""
@@ -153,7 +164,7 @@ def fit(held: DataFrame, targets: dict[int, float], steps: int = STEPS, toleranc
     last: dict[int, float] = {}
     settled = False
     for _ in range(steps):
-        r = rate_after(taken, F.col("posterior"))
+        r = rate_after(taken, F.col("posterior"), most)
         now = held.select(r.alias("r"), "tokens", "posterior").agg(*(F.sum(F.col("r") * n * p[i]).alias(f"t{i}") for i in targets)).first()
         miss = {i: now[f"t{i}"] - t for i, t in targets.items()}
         if max(abs(m) for m in miss.values()) <= tolerance * gram.n or last and max(abs(miss[i] - last[i]) for i in miss) <= tolerance * gram.n / 10:
@@ -213,6 +224,30 @@ def mix(docs: DataFrame, labels: DataFrame, factors: dict[str, float]) -> DataFr
     return out.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name)))).drop(name)
 
 
+def blend(docs: DataFrame, labels: DataFrame, weights: dict[str, float], whole: str, most: float = 1.0) -> DataFrame:
+    """The input rows, each as often as its fitted rate says, so that the domains come as near to the shares ``weights`` of
+    the expected tokens as rates up to ``most`` allow.  The total is the one at which the domain ``whole`` keeps the tokens
+    that it has.  Memberships are those of ``membership``: a classifier that can tell nothing drops nothing.
+
+    Rows without a doc_id stay as they are; other columns are kept; an empty table stays empty; domains that no label has
+    don't count, and without ``whole`` among the labels every row stays."""
+    model = learn(docs, labels)
+    if whole not in model.domains or not weights.get(whole):
+        return docs
+    rest = model.unmarked()
+    soft = members(docs, model)
+    held = stage(soft.select("doc_id", "tokens", membership(F.col("posterior"), rest).alias("posterior")), "members")
+    total = present(held, model)[whole] / weights[whole]
+    targets = {i: total * weights[d] for i, d in enumerate(model.domains) if d in weights}
+    rate = rate_after(fit(held, targets, most=most), membership(model.posterior(F.col("text")), rest), most)
+    times = F.when(F.col("doc_id").isNull(), F.lit(1).cast("long")).otherwise(draw(F.col("doc_id"), rate))
+    name = "__pw_times"
+    while name in docs.columns:
+        name += "_"
+    out = docs.withColumn(name, times).where(F.col(name) > 0)
+    return out.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name)))).drop(name)
+
+
 def quality_domains(labels: DataFrame) -> DataFrame:
     """The domain of a labelled document: toxic, low or clean."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")

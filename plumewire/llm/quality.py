@@ -37,6 +37,8 @@ BULLETS = (b"-", b"*", "•".encode())
 ELLIPSES = (b"...", "…".encode())
 #: Rows of the cost sample.  Only the order of the rules depends on it.
 SAMPLE_ROWS = 400
+#: Bytes of the cost sample, at most.
+SAMPLE_BYTES = 64 << 20
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -126,9 +128,10 @@ def base_failed(v: View) -> bool:
     return any(rule.test(v) for rule in BASE.values())
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[bytes]:
-    """At most ``rows`` texts, chosen by a hash of the id; small tables are taken whole."""
-    text = docs.select("doc_id", F.col("text").cast("binary").alias("body"))
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> list[bytes]:
+    """At most ``rows`` texts, chosen by a hash of the id; small tables are taken whole.  Texts
+    longer than a row's share of ``most`` bytes are not in it, which bears on the order of the rules only."""
+    text = docs.select("doc_id", F.col("text").cast("binary").alias("body")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most // rows)
     some = text.where(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(8)) == 0).select("body").limit(rows).collect()
     if len(some) < rows // 8:
         some = text.select("body").limit(rows).collect()

@@ -297,6 +297,26 @@ def test_language_without_labels(speech, empty):
     assert langid.identify(empty, none).count() == 0
 
 
+def test_language_of_odd_rows(speech):
+    """Repeated rows, a very long text, columns with clashing names, languages and texts beyond the bounds."""
+    spark = speech.sparkSession
+    first = speech.where("doc_id in (1, 2, 4)")
+    long = " ".join("the and ing er th of to wh".split() * 60_000)
+    extra = spark.createDataFrame([(5000, long, None), (5001, long, "en"), (None, "le que eau", None), (5002, "der und sch " * 30, "only one")], "doc_id long, text string, lang string")
+    rows = speech.unionByName(first).unionByName(extra)
+    odd = rows.selectExpr("*", "'x' AS lang_pred", "1 AS score", "true AS rejected", "doc_id AS bytes", "'b' AS body", "false AS held")
+    models = langid.train(odd, ~langid.held_out(F.col("doc_id")))
+    got = langid.identify(odd, models).collect()
+    assert len(got) == odd.count()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.lang_pred, r.score))
+    assert all(len(by[i]) == 1 for i in (1, 2, 4)) and {p for p, _ in by[5000]} == {"en"} and {p for p, _ in by[None]} == {"fr"}
+    few = langid.train(odd, F.lit(True), max_langs=2)
+    assert "only one" not in few.langs and len(few.langs) == 2
+    assert langid.train(odd, F.lit(True), max_bytes=64) is None or langid.train(odd, F.lit(True), max_bytes=64).langs
+
+
 def test_kneser_ney_sums_to_one():
     """Over the alphabet and one unknown character the probabilities after any context sum to one."""
     m = langid.Models(["x"], [Counter({b"abab": 3, b"abc": 2, b"cab": 1})], order=3)
@@ -522,6 +542,30 @@ def test_mix_meets_the_target_with_copies(spark):
     assert max(got.values()) == 2 and all(got[i] >= 1 for i, _, bad in data if not bad)
 
 
+def test_blend_meets_shares_without_copies(spark):
+    """The whole domain stays as it is, another is thinned to its share, a third goes; nothing comes twice."""
+    r = random.Random(16)
+    own = {"bad": " nasty foul", "low": " cheap offer", "good": ""}
+    kinds = ["bad" if i % 10 == 0 else "low" if i % 10 < 4 else "good" for i in range(2400)]
+    data = [(i, " ".join(f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(40)) + own[k]) for i, k in enumerate(kinds)]
+    docs = spark.createDataFrame([*data, (None, "nasty foul"), (9000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, k in enumerate(kinds) if r.random() < 0.5], "doc_id long, domain string")
+    got = Counter(x.doc_id for x in mixing.blend(docs, labels, {"good": 0.9, "low": 0.1, "bad": 0.0}, "good").collect())
+    n = Counter(kinds[i] for i in got if i is not None and i < 9000)
+    assert max(got.values()) == 1 and n["good"] == kinds.count("good") and n["bad"] == 0
+    assert abs(n["low"] / (n["low"] + n["good"]) - 0.1) < 0.02  # 0.33 before
+    assert None in got and 9000 in got
+
+
+def test_membership_columns(spark):
+    rest = [0.7, 0.2, 0.1]
+    rows = [[0.7, 0.2, 0.1], [0.0, 0.0, 1.0], [0.1, 0.6, 0.3], [0.9, 0.05, 0.05]]
+    got = [x.m for x in spark.createDataFrame([(p,) for p in rows], "p array<double>").select(mixing.membership(F.col("p"), rest).alias("m")).collect()]
+    for p, m in zip(rows, got):
+        out = [max(0.0, p[i] - rest[i]) / (1 - rest[i]) for i in (1, 2)]
+        assert np.allclose(m, [max(0.0, 1 - sum(out)), *out])
+
+
 def brute_posterior(docs, labels, text):
     """Naive Bayes from counts, for a small labelled table: (sorted domains, posterior)."""
     find = lambda t: {w for w in re.findall(r"[^\W\d_]+", (t or "").lower())}
@@ -576,6 +620,9 @@ def test_mixing_odd_tables(spark, docs, empty):
     assert mixing.rates(docs, labels, {"good": 1.0}).count() == docs.count()
     assert mixing.rates(docs, labels.limit(0), {"good": 1.0}).select("domains").first().domains == ["all"]
     assert mixing.rates(empty, labels, {"bad": 1.0}).count() == 0
+    assert mixing.blend(docs, labels, {"good": 0.9, "bad": 0.1}, "good").columns == docs.columns
+    assert mixing.blend(empty, labels, {"good": 0.9, "bad": 0.1}, "good").count() == 0
+    assert collected(mixing.blend(docs, labels.limit(0), {"good": 1.0}, "good").select("doc_id")) == collected(docs.select("doc_id"))
     assert mixing.mix(docs, labels, {"bad": 1.5}).columns == docs.columns
     assert mixing.mix(empty, labels, {"bad": 1.5}).count() == 0
 
@@ -850,15 +897,86 @@ def test_warc_files(spark, tmp_path):
     assert {r.record_id: (r.target_uri, r.warc_date, r.body) for r in source.collect()} == {"<urn:a>": ("http://a/?x:y", "2020-02-02T00:00:00Z", page), "<urn:b>": ("http://b/", "2021-01-01T00:00:00Z", page), "<urn:c>": ("http://c/", "2022-01-01T00:00:00Z", page), "<urn:d>": ("", None, page)}
     made = warc.derive(source.where("warc_date is not null"))
     warc.write_warc(made, f"file://{tmp_path}/out")
-    again = {r.fields["warc-record-id"]: r for r in warc.read_warc(spark, f"file://{tmp_path}/out").collect()}
+    again = {dict(r.fields)["warc-record-id"]: r for r in warc.read_warc(spark, f"file://{tmp_path}/out").collect()}
+    files = list((tmp_path / "out").glob("*.warc.gz"))
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+    assert raw.count(b"WARC/1.0\r\n") == 6
+    for f in files:  # a member for each record, from which a reader can begin
+        data = f.read_bytes()
+        at = [m.start() for m in re.finditer(b"\x1f\x8b\x08", data)]
+        heads = [x for x in (zlib.decompressobj(31).decompress(data[k:]) for k in at) if x]
+        assert heads and all(x.startswith(b"WARC/1.0") for x in heads)
     assert len(again) == 6 and all(r.complete for r in again.values())
     for r in made.collect():
-        fields = again[r.record_id].fields
+        fields = dict(again[r.record_id].fields)
         assert bytes(again[r.record_id].block).decode() == r.block and fields["warc-refers-to"] == r.refers_to and fields["x-source-server"] == "x" and fields["x-source-status"] == "HTTP/1.1 200 OK"
         assert fields["warc-payload-digest"] == "sha256:" + hashlib.sha256(page.encode()).hexdigest() and fields["warc-date"] == r.warc_date
         assert r.warc_type == "metadata" or r.block == "Café é\ntwo"
 
 
+def record_of(fields, body, version="1.0", length=None):
+    head = "".join(f"{k}: {v}\r\n" for k, v in fields)
+    return f"WARC/{version}\r\n{head}Content-Length: {len(body) if length is None else length}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def test_warc_records_of_all_kinds(spark, tmp_path):
+    """Both versions, repeated and folded fields, records inside blocks, lengths that are wrong, bytes that are no record."""
+    inner = record_of([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:inner>")], b"not one of the file's")
+    made = [
+        record_of([("WARC-Type", "metadata"), ("WARC-Concurrent-To", "<urn:1>"), ("WARC-Concurrent-To", "<urn:2>"), ("Empty", "")], b"x"),
+        record_of([("WARC-Type", "resource"), ("Folded", "one\r\n\ttwo"), ("WARC-Target-URI", "http://a/WARC/1.0")], inner + b"WARC/1.1\r\n" + inner, "1.1"),
+        record_of([("WARC-Type", "metadata")], b"", "1.1"),
+        record_of([("WARC-Type", "short")], b"longer than it says", length=4),
+        record_of([("WARC-Type", "long")], b"shorter", length=40),
+        record_of([("WARC-Type", "none")], b"no length", length="what"),
+        record_of([("WARC-Type", "last")], b"end WARC/1."),
+    ]
+    for name, data in (("a.warc", b"".join(made)), ("b.warc.gz", gzip_members(made)), ("c.warc", b""), ("d.warc", b"\r\n" + made[0] + made[6][:-9])):
+        (tmp_path / name).write_bytes(data)
+    read = lambda name: [(dict(r.fields).get("warc-type"), bytes(r.block), r.complete) for r in warc.read_warc(spark, f"file://{tmp_path}/{name}").collect()]
+    want = [("metadata", b"x", True), ("resource", inner + b"WARC/1.1\r\n" + inner, True), ("metadata", b"", True), ("short", b"longer than it says", False), ("long", b"shorter", False), ("none", b"no length", False), ("last", b"end WARC/1.", True)]
+    assert read("a.warc") == want and read("b.warc.gz") == want and read("c.warc") == []
+    assert read("d.warc") == [want[0], ("last", b"end WA", False)]
+    first = warc.read_warc(spark, f"file://{tmp_path}/b.warc.gz").collect()
+    assert [tuple(f) for f in first[0].fields][:4] == [("warc-type", "metadata"), ("warc-concurrent-to", "<urn:1>"), ("warc-concurrent-to", "<urn:2>"), ("empty", "")]
+    assert dict(first[1].fields)["folded"] == "one two"
+
+
+def gzip_members(records):
+    import gzip
+
+    return b"".join(map(gzip.compress, records))
+
+
+def test_warc_reads_over_batches():
+    """However the pieces come, the records are the same."""
+    data = b"".join(record_of([("WARC-Type", str(k))], b"WARC/1." * (k % 4) + b"z" * k) for k in range(12))
+    pieces = data.split(b"WARC/1.")[1:]
+    whole = warc.records(pieces, True)
+    for step in (1, 2, 5):
+        held, out = [], []
+        for i in range(0, len(pieces), step):
+            done, held = warc.records(held + pieces[i : i + step], False)
+            out += done
+        assert out + warc.records(held, True)[0] == whole[0]
+    assert [c for _, _, c in whole[0]] == [True] * 12
+
+
+@pytest.mark.parametrize("part", ["<!--", "<title>", "<script>", "<a ", "<script ", "</p ", "<style>x", "&amp", "<a href=1>"])
+def test_malformed_pages_take_linear_time(spark, part):
+    pages = spark.createDataFrame([(1, "u", part * (1_000_000 // len(part))), (2, "v", "<p>x</p>" + part * 9)], "page_id long, url string, html string")
+    warc.derive(warc.responses(pages.where("page_id = 2"))).collect()
+    began = time.perf_counter()
+    rows = warc.derive(warc.responses(pages)).collect()
+    assert time.perf_counter() - began < 6 and len(rows) == 4
+    assert next(r.block for r in rows if r.target_uri == "v" and r.warc_type == "conversion").startswith("x")
+
+
+def test_unclosed_code_is_no_text(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>kept</p><script>var leaked = 1;"), (2, "v", "<p>kept</p><!-- gone <p>gone</p>")], "page_id long, url string, html string")
+    assert {r.block for r in warc.derive(warc.responses(pages)).where("warc_type = 'conversion'").collect()} == {"kept"}
+
+
 def test_warc_empty_and_repeated(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "y"), (2, "v", "<p>" + "long text " * 100_000, "z")], "page_id long, url string, html string, body string")
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
