@@ -111,7 +111,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -127,7 +127,14 @@ def drop_stages(spark: SparkSession) -> None:
     """Remove the stage tables so far, whose results must have been read by now; a long session calls this between
     queries, and the driver's end does."""
     while _staged:
-        _remove(spark, _staged.pop())
+        remove(spark, _staged.pop())
+
+
+def at_the_end(spark: SparkSession, path: str) -> None:
+    """The table at ``path`` goes when stage tables go."""
+    _staged.append(path)
+    if len(_staged) == 1:
+        atexit.register(drop_stages, spark)
 
 
 @contextlib.contextmanager
@@ -136,7 +143,7 @@ def dropping_stages(spark: SparkSession) -> Iterator[None]:
     before = len(_staged)
     yield
     while len(_staged) > before:
-        _remove(spark, _staged.pop())
+        remove(spark, _staged.pop())
 
 
 def stage(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
@@ -147,9 +154,7 @@ def stage(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     if not out:
-        _staged.append(path)
-        if len(_staged) == 1:
-            atexit.register(drop_stages, spark)
+        at_the_end(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
