@@ -30,7 +30,7 @@ def test_pipeline(spark, small):
     got = out.collect()
     assert 0 < len(got) < n
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
-    assert len({r.doc_id for r in got}) > 0.9 * len(got)  # rates a little above one: few copies
+    assert len({r.doc_id for r in got}) == len(got)  # nothing comes twice
     ordered = sorted(got, key=lambda r: r.start)
     assert [r.doc_id for r in ordered] == sorted(r.doc_id for r in got)
     assert all(b.start == a.start + a.n_tokens for a, b in zip(ordered, ordered[1:]))
