@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from plumewire.llm import decontam, minhash, mixing, quality, tokenfile
-from plumewire.llm.common import read_table, shared_dir
+from plumewire.llm.common import at_the_end, dropping_stages, read_table, remove, shared_dir, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each domain gets its target of expected tokens (``EPOCHS`` of what it has): toxic documents go, clean ones come a
-    little more than once, so a few have a copy.  No labels: all stay.  A text of null is a document without tokens."""
-    return mixing.mix(docs, mixing.quality_domains(read_table(spark, sf_dir, "labels")), EPOCHS)
+    """The domains come as near to the shares ``WEIGHTS`` of the expected tokens as rates up to one allow, with clean text
+    whole: toxic documents go, low ones are thinned by chance, none comes twice.  No labels: all stay.  A text of null is a
+    document without tokens."""
+    return mixing.blend(docs, mixing.quality_domains(read_table(spark, sf_dir, "labels")), WEIGHTS, "clean")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +42,8 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return tokenfile.round_trip(docs)
 
 
-#: Expected tokens of the domains after mixing, as a multiple of those before.  Clean stays a little above one, so that
-#: the fitted rate of a clean document is not below one.
-EPOCHS = {"clean": 1.02, "toxic": 0.0}
+#: Target shares of the domains' expected tokens.
+WEIGHTS = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
 
 STAGES = [
     ("quality rules", quality_rules),
@@ -58,9 +58,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/plumewire/pipeline-{uuid.uuid4().hex}/{name.replace(' ', '-')}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """The last stage's rows, read from its table, which goes with the session; the tables before it go as soon as the next
+    one is written."""
+    docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/plumewire/pipeline-{uuid.uuid4().hex}"
+    path = None
+    for name, made in STAGES:
+        before, path = path, f"{folder}/{name.replace(' ', '-')}"
+        with dropping_stages(spark):
+            docs = stage(made(spark, docs, sf_dir), name, path)
+        if before:
+            remove(spark, before)
+    at_the_end(spark, path)
     return docs
