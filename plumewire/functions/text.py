@@ -225,8 +225,8 @@ def truncate(c: Column, limit: int) -> Column:
 
 def strip_html(c: Column) -> Column:
     """Text without tags; links, scripts and styles go with their text."""
-    out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(a|script|style)\b.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
+    out = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(a|script|style)(?=[\s/>]).*?(?:</\1\s*+>|\z)", " ")
+    out = F.regexp_replace(out, r"<[^>]*+(?:>|\z)", " ")
     for name, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(to))
     return clean_space(out)

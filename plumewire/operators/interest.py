@@ -9,14 +9,14 @@ MIN_EXAMPLES, TOP = 10, 2000
 
 
 def train(examples: DataFrame, top: int = TOP, least: int = MIN_EXAMPLES) -> DataFrame:
-    """(term, weight): the ``top`` words by size of the log-odds between liked and passed articles, with one added to
-    each count and two to each class; none with fewer than ``least`` examples of a class.
+    """(term, weight): the ``top`` words by size of the log-odds between liked and passed articles (to nine digits, ties by
+    word), with one added to each count and two to each class; none with fewer than ``least`` examples of a class.
     examples: id, liked, terms (distinct words)."""
     size = examples.agg(F.count_if("liked").alias("pos"), F.count_if(~F.col("liked")).alias("neg"))
     df = examples.select("liked", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count_if("liked").alias("p"), F.count_if(~F.col("liked")).alias("n"))
     x = df.crossJoin(F.broadcast(size)).where((F.col("pos") >= least) & (F.col("neg") >= least))  # one row
     weight = F.log((F.col("p") + 1) / (F.col("pos") + 2)) - F.log((F.col("n") + 1) / (F.col("neg") + 2))
-    return x.select("term", weight.alias("weight")).orderBy(F.desc(F.abs("weight")), "term").limit(top)
+    return x.select("term", weight.alias("weight")).orderBy(F.desc(F.round(F.abs("weight"), 9)), "term").limit(top)
 
 
 def score(articles: DataFrame, weights: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import stats, time
 from ..functions.text import has_term, search_tokens
+from .shared import kept
 
 
 #: Keywords that are tested in one pass over each text; a larger dictionary is joined by its words instead.
@@ -66,17 +67,22 @@ def agenda(articles: DataFrame, members: DataFrame, tz: str = "UTC") -> DataFram
     articles: id, media_id, first_seen_at, is_syndicated; members: id, group_id."""
     one = members.groupBy("id").agg(F.max("group_id").alias("group_id"))
     story = F.coalesce(F.concat(F.lit("g"), F.col("group_id").cast("string")), F.concat(F.lit("a"), F.col("id").cast("string")))
-    s = articles.where("not is_syndicated").join(one, "id", "left").select(time.week_start(F.col("first_seen_at"), tz).alias("week"), "media_id", story.alias("story")).distinct().persist()
+    s = kept(articles.where("not is_syndicated").join(one, "id", "left").select(time.week_start(F.col("first_seen_at"), tz).alias("week"), "media_id", story.alias("story")).distinct())
     present = s.select("week", "media_id").distinct()
     grid = present.select("week", F.col("media_id").alias("media_a")).join(present.select("week", F.col("media_id").alias("media_b")), "week").where("media_a < media_b")
-    each = grid.select("week", "media_a", "media_b", F.explode(F.array("media_a", "media_b")).alias("media_id")).join(s, ["week", "media_id"])
-    held = each.groupBy("media_a", "media_b", "story").agg(F.bool_or(F.col("media_id") == F.col("media_a")).alias("in_a"), F.bool_or(F.col("media_id") == F.col("media_b")).alias("in_b"))
-    pairs = held.groupBy("media_a", "media_b").agg(F.count_if(F.col("in_a") & F.col("in_b")).alias("shared"), F.count("*").alias("all_stories"), F.count_if("in_a").alias("stories_a"), F.count_if("in_b").alias("stories_b"))
-    # Stories of any outlet in the pair's weeks; pairs with the same weeks share one count.
     weeks = grid.groupBy("media_a", "media_b").agg(F.array_sort(F.collect_set("week")).alias("weeks"))
+    # Stories of an outlet, and of any, in a set of weeks: pairs with the same weeks share one count.
+    sides = weeks.select(F.explode(F.array("media_a", "media_b")).alias("media_id"), "weeks").distinct().withColumn("week", F.explode("weeks"))
+    each = sides.join(s, ["week", "media_id"]).groupBy("media_id", "weeks").agg(F.count_distinct("story").alias("stories"))
     kinds = weeks.select("weeks").distinct().withColumn("week", F.explode("weeks"))
     universe = kinds.join(s.select("week", "story").distinct(), "week").groupBy("weeks").agg(F.count_distinct("story").alias("universe"))
-    out = pairs.join(weeks, ["media_a", "media_b"]).join(universe, "weeks").drop("weeks")
+    # Stories that both have come from the pairs inside each story.
+    inside = s.groupBy("story", "media_id").agg(F.collect_set("week").alias("in"))
+    both = inside.select("story", F.col("media_id").alias("media_a"), F.col("in").alias("in_a")).join(inside.select("story", F.col("media_id").alias("media_b"), F.col("in").alias("in_b")), "story").where("media_a < media_b")
+    common = both.join(weeks, ["media_a", "media_b"]).where(F.arrays_overlap("in_a", "weeks") & F.arrays_overlap("in_b", "weeks")).groupBy("media_a", "media_b").agg(F.count("*").alias("shared"))
+    side = lambda x: each.select(F.col("media_id").alias(f"media_{x}"), "weeks", F.col("stories").alias(f"stories_{x}"))
+    out = weeks.join(side("a"), ["media_a", "weeks"]).join(side("b"), ["media_b", "weeks"]).join(universe, "weeks").join(common, ["media_a", "media_b"], "left")
+    out = out.withColumn("shared", F.coalesce("shared", F.lit(0).cast("long"))).withColumn("all_stories", F.col("stories_a") + F.col("stories_b") - F.col("shared")).drop("weeks")
     expected = F.col("stories_a") * F.col("stories_b") / F.col("universe")
     return out.select(
         "media_a", "media_b", "shared", "all_stories", "stories_a", "stories_b", "universe", (F.col("shared") / F.col("all_stories")).alias("jaccard"), (F.col("shared") / F.col("stories_a")).alias("containment_a"), (F.col("shared") / F.col("stories_b")).alias("containment_b"),
@@ -141,7 +147,7 @@ def rising_topics(hits: DataFrame, articles: DataFrame, now: Column) -> DataFram
     active = totals.join(usual, F.col("win") % per_day == F.col("slot"), "left").where(F.col("n") >= MIN_COVERAGE * F.coalesce("usual", F.lit(0.0))).select("win")
     state = active.agg(F.count_if(F.col("win") == 0).alias("fresh"), F.count_if(F.col("win") > 0).alias("base"))
     base = active.where((F.col("win") > 0) & (F.col("win") % per_day == 0))
-    own = hits.join(a.where("not is_syndicated"), "id").groupBy("slug", "win").agg(F.count("*").alias("n"), F.collect_set("media_id").alias("outlets")).persist()
+    own = kept(hits.join(a.where("not is_syndicated"), "id").groupBy("slug", "win").agg(F.count("*").alias("n"), F.collect_set("media_id").alias("outlets")))
     grid = own.select("slug").distinct().crossJoin(F.broadcast(base))  # at most BASELINE_DAYS windows
     usual_n = grid.join(own.select("slug", "win", "n"), ["slug", "win"], "left").fillna(0, ["n"]).groupBy("slug").agg(F.collect_list(F.col("n").cast("double")).alias("ns"))
     level = usual_n.where(F.size("ns") >= MIN_DAYS).withColumn("usual", stats.median_of(F.col("ns"))).withColumn("mad", stats.mad(F.col("ns"), F.col("usual")))
@@ -252,3 +258,41 @@ def entity_report(articles: DataFrame, entity: str, least: int = 2, top: int = 2
     mine = articles.where(has_term(search_tokens(F.concat_ws(" ", "title", "subtitle")), F.lit(entity)))
     beside = mine.select(F.explode("ents").alias("name")).where(F.col("name") != name).groupBy("name").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "name").limit(top)
     return {"media": mine.groupBy("media_id").agg(F.count("*").alias("n")), "days": mine.groupBy(time.local_day(F.col("first_seen_at")).alias("day")).agg(F.count("*").alias("n")), "names": beside}
+
+
+def repeated(rows: DataFrame, key: str, id_: str = "id", least: int = 2) -> DataFrame:
+    """Values of ``key`` that ``least`` rows or more have: key, n, first_id.  Null is no value."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(id_).alias("first_id")).where(F.col("n") >= least)
+
+
+def usage(calls: DataFrame, tz: str = "UTC") -> DataFrame:
+    """model, day (local), calls, tokens, cost; without any token or cost known the sums are 0.
+    calls: model, at, tokens, cost."""
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return calls.groupBy("model", time.local_day(F.col("at"), tz).alias("day")).agg(F.count("*").alias("calls"), zero("tokens"), zero("cost"))
+
+
+def account_counts(posts: DataFrame) -> DataFrame:
+    """account_id, posts, own, last, with_links.  posts: account_id, is_own, at, links (array)."""
+    return posts.groupBy("account_id").agg(F.count("*").alias("posts"), F.count_if(F.coalesce("is_own", F.lit(False))).alias("own"), F.max("at").alias("last"), F.count_if(F.size(F.coalesce("links", F.array().cast("array<string>"))) > 0).alias("with_links"))
+
+
+def frequent_sections(articles: DataFrame, top: int = 40) -> DataFrame:
+    """media_id, section, n, place: the ``top`` sections that each outlet has most of (ties: by name)."""
+    n = articles.where("section is not null").groupBy("media_id", "section").agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("n"), "section"))).where(F.col("place") <= top)
+
+
+def freshness(items: DataFrame, now: Column, stale_hours: float = 6) -> DataFrame:
+    """scope, last_at, hours since then, state (vieja beyond ``stale_hours``), last_day (items of the last 24 hours).
+    items: scope, at."""
+    out = items.groupBy("scope").agg(F.max("at").alias("last_at"), F.count_if(time.seconds(F.col("at")) >= time.seconds(now) - 86400).alias("last_day"))
+    hours = (time.seconds(now) - time.seconds(F.col("last_at"))) / 3600
+    return out.select("scope", "last_at", hours.alias("hours"), F.when(hours > stale_hours, "vieja").otherwise("fresca").alias("state"), "last_day")
+
+
+def due(sources: DataFrame, now: Column) -> DataFrame:
+    """The enabled sources that were never fetched, or whose interval is over.  sources: id, enabled, last_fetch_at,
+    min_interval_seconds, and others, which stay."""
+    over = time.seconds(F.col("last_fetch_at")) + F.col("min_interval_seconds") <= time.seconds(now)
+    return sources.where(F.col("enabled") & F.coalesce(over, F.lit(True)))

@@ -3,8 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_shipped: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """The package is sent to the executors once, so that their Python workers can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="plumewire-")) / f"{root.name}-operators.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for part in ("__init__.py", "functions", "operators"):
+            for f in sorted([root / part] if part.endswith(".py") else (root / part).rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
 
 
 def kept(df: DataFrame) -> DataFrame:

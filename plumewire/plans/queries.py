@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats, text, time
-from ..operators import evaluation, groups, headlines, interest, merges, metrics, relations, shared
+from ..operators import evaluation, groups, headlines, highlight, interest, mentions, merges, metrics, relations, reports, shared
 from ..sources import pages as page_source
 from . import sql as S
 from . import views as V
@@ -235,17 +235,20 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _terms = lambda c: f"""WITH {S.ARTICLES}, t AS (SELECT id, unnest({S.TOKENS.format(c)}) AS term FROM articles), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL
 ), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM articles), w AS (SELECT id, term, df, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term) CROSS JOIN n
 ), v AS (SELECT id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w)"""
-_TERMS = _terms("title")
+_TERMS = _terms("body")
 
 
-def _title_vectors(spark: SparkSession, sf_dir: str, of: str = "title") -> DataFrame:
-    a = V.articles(spark, sf_dir)
-    return relations.tf_idf(a.select("id", F.explode(text.raw_tokens(F.col(of))).alias("term")), a.count(), vocabulary=None)
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.articles(spark, sf_dir).select("id", F.explode(text.raw_tokens(F.col("body"))).alias("term"))
+
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.tf_idf(_tokens(spark, sf_dir), V.articles(spark, sf_dir).count(), vocabulary=None)
 
-@query(f"{_terms('body')} SELECT id, term, df, round(weight, 6) AS weight FROM v")
+
+@query(f"{_TERMS} SELECT id, term, df, round(weight, 6) AS weight FROM v")
 def title_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_title_vectors(spark, sf_dir, "body"), "weight")
+    return rounded(_vectors(spark, sf_dir), "weight")
 
 
 def _longest(n: int) -> int:
@@ -260,22 +263,27 @@ _PAIRS = f"""{_TERMS}, f AS (SELECT id, term FROM v, n WHERE df BETWEEN 2 AND gr
 
 @query(f"{_PAIRS} SELECT a, b, round(coalesce(sum(x.weight * y.weight), 0.0), 6) AS similarity FROM p JOIN v x ON x.id = a JOIN v y ON y.id = b AND x.term = y.term GROUP BY ALL")
 def title_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of the candidate pairs: what relations are looked for among."""
-    v = shared.kept(_title_vectors(spark, sf_dir))
+    """Similarity of the candidate pairs of the whole texts: what relations are looked for among."""
     docs = V.articles(spark, sf_dir).withColumn("recent", F.lit(True))
-    return rounded(relations.cosines(relations.candidate_pairs(v.select("id", F.col("term").alias("feature")), docs, _longest(docs.count())), v), "similarity")
+    return rounded(relations.similar_pairs(_vectors(spark, sf_dir), docs, _longest(docs.count())), "similarity")
 
 
 @query(f"{_PAIRS} SELECT a, b FROM p")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = V.articles(spark, sf_dir).withColumn("recent", F.lit(True))
-    return relations.candidate_pairs(_title_vectors(spark, sf_dir).select("id", F.col("term").alias("feature")), docs, _longest(docs.count()))
+    postings = docs.select("id", F.explode(F.array_distinct(text.raw_tokens(F.col("body")))).alias("feature"))
+    return relations.candidate_pairs(postings, docs, _longest(docs.count()))
 
 
 @query()
 def article_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole rule cascade over the articles' whole texts: the first sentence is the title, the rest the subtitle.
-    Links are the addresses in the text, mentioned outlets the names of outlets among its words."""
+    """The whole rule cascade over the articles' whole texts, as analyses at all times would find them."""
+    return relations.find_relations(_as_articles(spark, sf_dir).drop("body"), vocabulary=None, recent_hours=relations.RECENT_HOURS)
+
+
+def _as_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with what relations are looked for by: the first sentence is the title, the rest the subtitle.  Links are
+    the addresses in the text, mentioned outlets the names of outlets among its words."""
     whole = F.trim(F.regexp_replace("body", r"^\s+|\s+$", ""))
     title = F.regexp_extract(whole, r"^[^\n]*?(?:[.!?](?=\s)|(?=\n)|$)", 0)
     urls = F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?i)\bhttps?://[^\s<>\"'()\[\]]+"), F.lit(0))
@@ -283,16 +291,69 @@ def article_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = V.articles(spark, sf_dir)
     words = a.select("id", F.explode(F.array_distinct(F.split(F.lower("body"), r"[^\p{L}\p{N}_]+"))).alias("word"))
     outlets = a.select(F.lower("media_id").alias("word"), F.col("media_id").alias("name")).distinct()
-    mentions = words.join(outlets, "word").groupBy("id").agg(F.collect_set("name").alias("mentioned_media"))
-    docs = a.join(mentions, "id", "left").withColumns({
+    named = words.join(outlets, "word").groupBy("id").agg(F.collect_set("name").alias("mentioned_media"))
+    return a.join(named, "id", "left").withColumns({
         "title": title, "subtitle": F.nullif(F.trim(F.substring(whole, F.length(title) + 1, F.length(whole))), F.lit("")), "canonical_url": F.concat(F.lit("https://x/"), F.col("id").cast("string")), "recent": F.lit(True), "published_at": F.col("first_seen_at"), "published_precision": F.lit("datetime"),
         "topic_ids": F.array((F.col("id") % 5)), "linked_urls": links, "mentioned_media": F.coalesce("mentioned_media", F.array().cast("array<string>")), "media_name": F.col("media_id"),
     })
-    return relations.find_relations(docs.drop("body"), vocabulary=None, recent_hours=relations.RECENT_HOURS)
 
 
-@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>')) AS tag, generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a\\s*>'), 1) - 1 AS place FROM pages)
-SELECT page_id, place::INT AS place, replace(replace(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*"([^"]*)"', 1), '&quot;', '"'), '&amp;', '&') AS href FROM l""")
+@query()
+def window_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an analysis at the end of the month finds: the articles of its last days against each other and against older
+    ones that tell about the same names."""
+    a = _as_articles(spark, sf_dir)
+    held = relations.window_corpus(a.withColumn("search_text", text.search_text(F.col("body"))), ts("2024-01-31"))
+    return relations.find_relations(held.drop("body", "search_text"), vocabulary=None)
+
+
+@query()
+def story_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories of the whole collection: candidate pairs that are similar enough are merged, the most similar first, and
+    each group is told by its most central article, its outlets and its coherence."""
+    docs = V.articles(spark, sf_dir).withColumn("recent", F.lit(True))
+    pairs = shared.kept(rounded(relations.similar_pairs(_vectors(spark, sf_dir), docs, _longest(docs.count())), "similarity"))
+    edges = pairs.where(F.col("similarity") >= relations.WORD_SAME_EVENT).select("a", "b", F.col("similarity").alias("score"))
+    found = shared.kept(groups.cluster(edges, pairs, docs, edges.limit(0).select("a", "b")))
+    return groups.describe(found, pairs, docs).drop("title")
+
+
+_PHRASES = "SELECT item_id AS media, array_to_string(string_split_regex(trim(regexp_replace(text, '[\\s\\x{A0}]+', ' ', 'g')), ' ')[1:4], ' ') AS phrase FROM benchmark"
+
+
+@query(f"""WITH p AS (SELECT phrase, media FROM ({_PHRASES}) WHERE phrase <> ''), d AS (SELECT doc_id AS id, trim(regexp_replace(text, '[\\s\\x{{A0}}]+', ' ', 'g')) AS body FROM documents
+), h AS (SELECT id, media, phrase, body, length(string_split_regex(body, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape(phrase) || '($|[^\\p{{L}}\\p{{N}}])')[1]) AS before FROM d JOIN p ON contains(body, phrase) WHERE regexp_matches(body, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape(phrase) || '($|[^\\p{{L}}\\p{{N}}])')
+), b AS (SELECT *, CASE WHEN starts_with(body, phrase) THEN 0 ELSE before + 1 END AS begin FROM h
+), e AS (SELECT id, media, body, greatest(0, begin - 60) AS x, least(length(body), begin + length(phrase) + 60) AS y FROM b QUALIFY row_number() OVER (PARTITION BY id, media ORDER BY begin, phrase) = 1)
+SELECT id, media, 'mencion' AS kind, CASE WHEN x > 0 THEN '…' ELSE '' END || trim(substr(body, x + 1, y - x)) || CASE WHEN y < length(body) THEN '…' ELSE '' END AS evidence FROM e""")
+def text_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents have the beginning of a benchmark item, as a dictionary of phrases."""
+    first = F.array_join(F.slice(F.split(text.clean_space(F.col("text")), " "), 1, 4), " ")
+    known = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("media"), first.alias("phrase"))
+    d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("long").alias("own"))
+    return mentions.text_references(d, known)
+
+
+_WORD_SQL = "'[0-9]+(?:[.,][0-9]+)*%?|\\p{L}+(?:[-'']\\p{L}+)*'"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, regexp_extract_all(text, {_WORD_SQL}) AS w, string_split_regex(text, {_WORD_SQL}) AS g FROM documents
+), t AS (SELECT id, k, {S.FOLD.format('w[k]')} AS f, length(w[k]) AS n, sum(length(g[k]) + length(w[k])) OVER (PARTITION BY id ORDER BY k) AS finish FROM (SELECT id, w, g, unnest(range(1, len(w) + 1)) AS k FROM d WHERE len(w) > 0)
+), m AS (SELECT *, (f = 'de' AND lead(f) OVER o = 'la') OR (f = 'la' AND lag(f) OVER o = 'de') OR (f = 'of' AND lead(f) OVER o = 'the') OR (f = 'the' AND lag(f) OVER o = 'of') AS p, f IN ('und', 'los') AS q FROM t WINDOW o AS (PARTITION BY id ORDER BY k)
+), r AS (SELECT *, k - row_number() OVER (PARTITION BY id ORDER BY k) AS run FROM m WHERE coalesce(p, false) OR q
+), s AS (SELECT id, min(finish - n) AS begin, max(finish) AS finish, bool_or(coalesce(p, false)) AS p, bool_or(q) AS q FROM r GROUP BY id, run)
+SELECT doc_id AS id, count(s.id) AS n_spans, coalesce(sum(finish - begin), 0)::BIGINT AS marked, min(begin)::INT AS first_at, count(*) FILTER (WHERE p AND q) AS both_kinds FROM documents LEFT JOIN s ON s.id = doc_id GROUP BY doc_id""")
+def marked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document phrases and terms mark."""
+    d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.array(F.lit("de la"), F.lit("of the")).alias("phrases"), F.array(F.lit("und"), F.lit("los")).alias("terms"))
+    spans = highlight.highlights(d)
+    total = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return spans.select("id", F.size("spans").cast("long").alias("n_spans"), total.alias("marked"), F.get("spans", 0)["begin"].alias("first_at"), F.size(F.filter("spans", lambda s: s["kind"] == "ambos")).cast("long").alias("both_kinds"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script[\\s/>].*?</script\\s*>|<style[\\s/>].*?</style\\s*>', ' ', 'g') AS html FROM pages
+), l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a(?:>|[\\s/][^>]*>)')) AS tag, generate_subscripts(regexp_extract_all(html, '(?i)<a(?:>|[\\s/][^>]*>)'), 1) - 1 AS place FROM p)
+SELECT page_id, place::INT AS place, replace(replace(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*"([^"]*)"', 1), '&quot;', '"'), '&amp;', '&') AS href FROM l WHERE href <> ''""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_source.links(V.table(spark, sf_dir, "pages")).drop("text")
 
@@ -306,7 +367,7 @@ def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_source.metadata(V.table(spark, sf_dir, "pages")).select("page_id", "title")
+    return page_source.page_tags(V.table(spark, sf_dir, "pages")).select("page_id", "title")
 
 
 # Interest, alerts, merges
@@ -319,8 +380,7 @@ SELECT doc_id AS id, round(coalesce(avg(weight), 0.0), 6) AS score FROM (SELECT
 def interest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 3)).alias("terms"))
     examples = d.join(V.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("liked")), "id")
-    weights = interest.train(examples, top=10_000_000).orderBy(F.desc(F.round(F.abs("weight"), 9)), "term").limit(interest.TOP)
-    return rounded(interest.score(d, weights), "score")
+    return rounded(interest.score(d, interest.train(examples)), "score")
 
 
 @query(f"""WITH {S.MEMBERS}, g AS (SELECT group_id, count(DISTINCT CASE WHEN NOT is_syndicated THEN media_id END) AS independent, count(*) AS notes FROM members GROUP BY 1) SELECT group_id, independent, notes, (group_id % 3 + 1)::INT AS priority FROM g WHERE independent >= 3""")
@@ -360,11 +420,11 @@ def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.*")
 
 
-@query(f"""WITH {S.ARTICLES} SELECT id, media_id FROM articles WHERE contains({S.FOLD.format('title')}, 'the') AND contains({S.FOLD.format('title')}, 'er') AND NOT is_syndicated AND id IN (SELECT doc_id FROM labels) AND id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY first_seen_at DESC, id LIMIT 25 OFFSET 25""")
+@query(f"""WITH {S.ARTICLES} SELECT id, media_id FROM articles WHERE contains({S.FOLD.format('body')}, 'the') AND contains({S.FOLD.format('body')}, 'er') AND NOT is_syndicated AND id IN (SELECT doc_id FROM labels) AND id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY first_seen_at DESC, id LIMIT 25 OFFSET 25""")
 def article_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a filtered list."""
     l = V.table(spark, sf_dir, "labels")  # noqa: E741
-    a = V.articles(spark, sf_dir).where(text.has_words(F.col("title"), "the er") & ~F.col("is_syndicated"))
+    a = V.articles(spark, sf_dir).where(text.has_words(F.col("body"), "the er") & ~F.col("is_syndicated"))
     a = a.join(l.select(F.col("doc_id").alias("id")), "id", "left_semi").join(l.where("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_anti")
     return a.orderBy(F.desc("first_seen_at"), "id").offset(25).limit(25).select("id", "media_id")
 
@@ -486,46 +546,71 @@ def names_beside(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT text, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
 def repeated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").where("text is not null").groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return metrics.repeated(V.table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 @query("SELECT event_type AS model, ts::DATE AS day, count(*) AS calls, sum((props->>'$.k')::BIGINT)::BIGINT AS tokens, round(sum(value), 4) AS cost FROM events GROUP BY ALL")
 def usage_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls, tokens and cost by model and day."""
     e = V.table(spark, sf_dir, "events")
-    out = e.groupBy(F.col("event_type").alias("model"), F.to_date("ts").alias("day")).agg(F.count("*").alias("calls"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("tokens"), F.sum("value").alias("cost"))
-    return rounded(out, "cost", digits=4)
+    return rounded(metrics.usage(e.select(F.col("event_type").alias("model"), F.col("ts").alias("at"), F.get_json_object("props", "$.k").cast("long").alias("tokens"), F.col("value").alias("cost"))), "cost", digits=4)
 
 
 @query("WITH c AS (SELECT c_nationkey AS media_id, c_mktsegment AS section, count(*) AS n FROM customer GROUP BY ALL) SELECT media_id, section, n, (row_number() OVER (PARTITION BY media_id ORDER BY n DESC, section))::INT AS place FROM c QUALIFY place <= 3")
 def frequent_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three sections that each outlet has most of (ties: by name)."""
-    n = V.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("media_id"), F.col("c_mktsegment").alias("section")).agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.partitionBy("media_id").orderBy(F.desc("n"), "section"))).where("place <= 3")
+    """The three sections that each outlet has most of."""
+    return metrics.frequent_sections(V.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("media_id"), F.col("c_mktsegment").alias("section")), 3)
 
 
-@query("""SELECT user_id AS scope, max(ts) AS last_at, round((epoch(TIMESTAMP '2024-02-01') - epoch(max(ts))) / 3600.0, 6)::DOUBLE AS hours, CASE WHEN epoch(TIMESTAMP '2024-02-01') - epoch(max(ts)) > 86400 THEN 'vieja' ELSE 'fresca' END AS state, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-31') AS last_day FROM events GROUP BY 1""")
+@query("""SELECT user_id AS scope, max(ts) AS last_at, round((epoch(TIMESTAMP '2024-01-30')::BIGINT - epoch(date_trunc('second', max(ts)))::BIGINT) / 3600.0, 6)::DOUBLE AS hours,
+  CASE WHEN epoch(TIMESTAMP '2024-01-30')::BIGINT - epoch(date_trunc('second', max(ts)))::BIGINT > 21600 THEN 'vieja' ELSE 'fresca' END AS state, count(*) FILTER (WHERE date_trunc('second', ts) >= TIMESTAMP '2024-01-29') AS last_day FROM events WHERE ts < TIMESTAMP '2024-01-30' GROUP BY 1""")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How old each source's newest item is, and how many came on the last day."""
-    out = V.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("scope")).agg(F.max("ts").alias("last_at"), F.count_if(F.col("ts") >= ts("2024-01-31")).alias("last_day"))
-    age = (F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(F.col("last_at").cast("timestamp"))) / 1e6
-    return out.select("scope", "last_at", F.round(age / 3600, 6).alias("hours"), F.when(age > 86400, "vieja").otherwise("fresca").alias("state"), "last_day")
+    """How old each source's newest item is, beyond six hours or not, and how many came on the last day."""
+    e = V.table(spark, sf_dir, "events").where(F.col("ts") < ts("2024-01-30")).select(F.col("user_id").alias("scope"), F.col("ts").alias("at"))
+    return rounded(metrics.freshness(e, ts("2024-01-30")), "hours")
 
 
-@query("""WITH s AS (SELECT s_suppkey AS id, s_suppkey % 9 <> 0 AS enabled, 15 * (1 + s_suppkey % 4) AS every_minutes, CASE WHEN s_suppkey % 5 > 0 THEN TIMESTAMP '2024-01-30' - to_minutes((s_suppkey * 7 % 180)::INT) END AS last_run_at, s_suppkey % 4 AS failures FROM supplier)
-SELECT id, row_number() OVER (ORDER BY last_run_at NULLS FIRST, id) AS place FROM s WHERE enabled AND (last_run_at IS NULL OR last_run_at + to_minutes((every_minutes * pow(2, failures))::INT) <= TIMESTAMP '2024-01-30')""")
+@query("""WITH s AS (SELECT s_suppkey AS id, s_suppkey % 9 <> 0 AS enabled, 900 * (1 + s_suppkey % 4) AS wait, CASE WHEN s_suppkey % 5 > 0 THEN TIMESTAMP '2024-01-30' - to_minutes((s_suppkey * 7 % 180)::INT) END AS last_fetch_at FROM supplier)
+SELECT id, last_fetch_at FROM s WHERE enabled AND (last_fetch_at IS NULL OR last_fetch_at + to_seconds(wait) <= TIMESTAMP '2024-01-30')""")
 def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources whose turn has come, oldest first; each failure in a row doubles the wait."""
+    """Sources whose interval is over, or which were never fetched."""
     k = F.col("s_suppkey")
-    wait = (15 * (1 + k % 4) * F.pow(F.lit(2), k % 4)).cast("int")
     last = F.when(k % 5 > 0, ts("2024-01-30") - F.make_dt_interval(F.lit(0), F.lit(0), (k * 7 % 180).cast("int")))
-    due = V.table(spark, sf_dir, "supplier").where(k % 9 != 0).select(k.alias("id"), last.alias("last_run_at"), wait.alias("wait"))
-    due = due.where(F.col("last_run_at").isNull() | (F.col("last_run_at") + F.make_dt_interval(F.lit(0), F.lit(0), "wait") <= ts("2024-01-30")))
-    return due.select("id", F.row_number().over(Window.orderBy(F.asc_nulls_first("last_run_at"), "id")).cast("long").alias("place"))  # the sources, a small dimension
+    s = V.table(spark, sf_dir, "supplier").select(k.alias("id"), (k % 9 != 0).alias("enabled"), last.alias("last_fetch_at"), (900 * (1 + k % 4)).alias("min_interval_seconds"))
+    return metrics.due(s, ts("2024-01-30")).select("id", "last_fetch_at")
 
 
-@query("""SELECT conv_id AS account_id, count(*) AS posts, count(*) FILTER (WHERE role = 'user') AS own, max(turn) AS last_turn, sum(CASE WHEN regexp_matches(text, 'https?://') THEN 1 ELSE 0 END)::BIGINT AS with_links FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id AS account_id, count(*) AS posts, count(*) FILTER (WHERE role = 'user') AS own, max(turn) AS last, sum(CASE WHEN regexp_matches(text, 'https?://') THEN 1 ELSE 0 END)::BIGINT AS with_links FROM conversations GROUP BY 1""")
 def account_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of each account, its own ones, the last, and those with links."""
     c = V.table(spark, sf_dir, "conversations")
-    return c.groupBy(F.col("conv_id").alias("account_id")).agg(F.count("*").alias("posts"), F.count_if(F.col("role") == "user").alias("own"), F.max("turn").alias("last_turn"), F.count_if(F.coalesce(F.col("text").rlike("https?://"), F.lit(False))).alias("with_links"))
+    return metrics.account_counts(c.select(F.col("conv_id").alias("account_id"), (F.col("role") == "user").alias("is_own"), F.col("turn").alias("at"), F.regexp_extract_all("text", F.lit("https?://[^ ]+"), F.lit(0)).alias("links")))
+
+
+@query(f"""WITH {S.ARTICLES}, a AS (SELECT media_id, first_seen_at, is_syndicated, CASE id % 3 WHEN 0 THEN 'datetime' WHEN 1 THEN 'date' ELSE 'none' END AS precision, id % 4 <> 0 AS signed, first_seen_at >= TIMESTAMP '2024-01-16' AS now,
+  CASE WHEN first_seen_at >= TIMESTAMP '2024-01-16' THEN first_seen_at::DATE END AS day FROM articles WHERE first_seen_at >= TIMESTAMP '2024-01-02' AND first_seen_at < TIMESTAMP '2024-01-30'
+), f AS (SELECT media_id, day, CASE WHEN now THEN precision END AS precision, count(*) FILTER (WHERE now) AS n, count(*) FILTER (WHERE now AND NOT is_syndicated) AS own, count(*) FILTER (WHERE now AND is_syndicated) AS syndicated, count(*) FILTER (WHERE now AND signed) AS signed, count(*) FILTER (WHERE NOT now) AS before,
+  CASE GROUPING(media_id, day, CASE WHEN now THEN precision END) WHEN 7 THEN 'total' WHEN 3 THEN 'media' WHEN 5 THEN 'days' WHEN 1 THEN 'day_media' ELSE 'precision' END AS section FROM a GROUP BY GROUPING SETS ((), (media_id), (day), (media_id, day), (media_id, CASE WHEN now THEN precision END)))
+SELECT section, media_id, day, precision, n, own, syndicated, signed, before FROM f WHERE NOT (section IN ('days', 'day_media') AND day IS NULL) AND NOT (section = 'precision' AND precision IS NULL)""")
+def period_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every figure of a fortnight's report that comes from the articles, in one pass."""
+    kind = F.when(F.col("id") % 3 == 0, "datetime").when(F.col("id") % 3 == 1, "date").otherwise("none")
+    a = V.articles(spark, sf_dir).withColumns({"published_precision": kind, "author": F.when(F.col("id") % 4 != 0, "Ana")})
+    return reports.period_figures(a, ts("2024-01-16"), ts("2024-01-30"))
+
+
+@query(f"""WITH {S.MEMBERS}, w AS (SELECT group_id FROM members WHERE NOT is_syndicated GROUP BY 1 HAVING count(DISTINCT media_id) > 1), a AS (SELECT media_id, id, first_seen_at FROM members WHERE NOT is_syndicated AND first_seen_at >= TIMESTAMP '1995-01-01' AND first_seen_at < TIMESTAMP '1996-01-01' AND group_id NOT IN (SELECT group_id FROM w))
+SELECT media_id, count(*) OVER (PARTITION BY media_id) AS own_total, id, row_number() OVER (PARTITION BY media_id ORDER BY first_seen_at DESC, id DESC)::INT AS place FROM a QUALIFY place <= 40""")
+def own_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each outlet's newest articles of a year that no other outlet's go with (a list of 40)."""
+    m = V.members(spark, sf_dir)
+    return reports.own_notes(m.select("id", "media_id", "first_seen_at", "is_syndicated"), m.select("id", "group_id"), ts("1995-01-01"), ts("1996-01-01"))
+
+
+@query(f"""WITH {S.ARTICLES}, a AS (SELECT id, media_id, epoch(first_seen_at)::BIGINT AS at, list_distinct({S.TOKENS.format('body')}) AS w FROM articles WHERE NOT is_syndicated
+), s AS (SELECT len(list_intersect(x.w, y.w))::DOUBLE / len(list_distinct(list_concat(x.w, y.w))) AS v FROM a x JOIN a y ON x.id < y.id AND x.media_id <> y.media_id AND abs(x.at - y.at) <= 86400 WHERE NOT (x.id % 7 = 0 AND y.id = x.id + 1)
+), c AS (SELECT CASE WHEN v >= 0.3 THEN 'alta' WHEN v >= 0.12 THEN 'media' ELSE 'baja' END AS bucket, count(*) AS n FROM s GROUP BY 1) SELECT b.bucket, coalesce(n, 0)::BIGINT AS population FROM (VALUES ('alta'), ('media'), ('baja')) b(bucket) LEFT JOIN c USING (bucket)""")
+def omission_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many unrelated pairs of a day there are, by how similar they are; the dissimilar ones are counted and not made."""
+    a = V.articles(spark, sf_dir).where("not is_syndicated").select("id", "media_id", time.seconds(F.col("first_seen_at")).alias("at"), F.array_distinct(text.raw_tokens(F.col("body"))).alias("tokens"))
+    return evaluation.omission_frame(a, a.where("id % 7 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))[0]
