@@ -63,18 +63,17 @@ def _plain(c: Column) -> Column:
 def quote_errors(v: Column, sources: Column, quotes: list[tuple[str, str, str]]) -> Column:
     """Quoted pieces that are too short or not in their source.  quotes: (list, field that names the source, field with the
     piece); sources: map of names to texts."""
-    out = []
-    for place, of, piece in quotes:
-        items = F.coalesce(F.try_variant_get(v, f"$['{place}']", "array<variant>"), F.array().cast("array<variant>"))
-
-        def wrong(x: Column, i: Column, place=place, of=of, piece=piece) -> Column:
+    def told(place: str, of: str, piece: str) -> Column:
+        def wrong(x: Column, i: Column) -> Column:
             said = F.coalesce(_get(x, piece, "string"), F.lit(""))
             text = F.coalesce(F.try_element_at(sources, _get(x, of, "string")), F.lit(""))
             at = F.concat(F.lit(f"{place}["), i.cast("string"), F.lit("]: "))
             return F.when(F.length(_plain(said)) < LEAST_QUOTE, F.concat(at, F.lit("piece empty or too short"))).when(~F.contains(_plain(text), _plain(said)), F.concat(at, F.lit("piece not in its source: "), F.substring(said, 1, 80)))
 
-        out.append(F.filter(F.transform(items, wrong), lambda e: e.isNotNull()))
-    return F.concat(*out) if out else F.array().cast("array<string>")
+        items = F.coalesce(F.try_variant_get(v, f"$['{place}']", "array<variant>"), F.array().cast("array<variant>"))
+        return F.filter(F.transform(items, wrong), lambda e: e.isNotNull())
+
+    return F.concat(*(told(*q) for q in quotes)) if quotes else F.array().cast("array<string>")
 
 
 def validated(answers: DataFrame, shape: dict, quotes: list[tuple[str, str, str]], schema: str) -> DataFrame:

@@ -50,7 +50,7 @@ def adapted(items: DataFrame, rules: DataFrame, agencies: DataFrame | None = Non
 
     def first(field: str, text: Column) -> Column:
         hit = F.get(F.filter(own(field), lambda r: F.coalesce(F.regexp_like(text, r["pattern"]), F.lit(False))), 0)
-        return F.coalesce(hit["value"], F.nullif(F.regexp_extract(text, F.coalesce(hit["pattern"], F.lit("$^()")), F.lit(1)), F.lit("")))
+        return F.coalesce(hit["value"], F.nullif(F.call_function("regexp_extract", text, F.coalesce(hit["pattern"], F.lit("$^()")), F.when(F.contains(F.coalesce(hit["pattern"], F.lit("()")), F.lit("(")), 1).otherwise(0)), F.lit("")))
 
     cut = F.aggregate(own("author"), F.col("_author"), lambda text, r: F.regexp_replace(text, r["pattern"], F.lit("")))
     section = F.coalesce(first("section", F.col("_path")), F.nullif(F.lower(F.regexp_extract("_path", DEFAULTS[0][1], 1)), F.lit("")), F.col("section"))
