@@ -41,3 +41,17 @@ ENTITY = rf"(?<![\p{{L}}\d_])([{_UPPER}][{_LOWER}]+(?:\s+(?:de|del|da|do|dos|la|
 
 #: Query parameters that only track; those that begin with utm_ do too.
 TRACKING = ["fbclid", "gclid", "dclid", "gbraid", "wbraid", "msclkid", "yclid", "igshid", "twclid", "mc_cid", "mc_eid", "_ga", "_gl", "ocid", "cmpid", "s_cid", "__twitter_impression"]
+
+#: Kinds of relation that are worth a language model's look.
+CANDIDATE_TYPES = ["mismo_hecho", "expresion_compartida", "titular_casi_identico", "afirmaciones_distintas"]
+
+#: What reveals a common source, in lower case without accents; the first pattern that is found counts.
+COMMON_SOURCES = {
+    "informe": [r"\binforme\b", r"\brelevamiento\b", r"\bencuesta\b", r"\bestudio\b", r"\breporte\b", r"\bsegun datos de\b", r"\bdatos del indec\b", r"\bindec\b", r"\bindice\b", r"\bboletin oficial\b"],
+    "conferencia": [r"\bconferencia de prensa\b", r"\bconferencia\b", r"\bcadena nacional\b", r"\bcomunicado\b", r"\bdiscurso\b", r"\banuncio oficial\b", r"\bvocero\b"],
+    "agencia": [r"\(na\)", r"\bnoticias argentinas\b", r"\bagencia\b", r"\befe\b", r"\bafp\b", r"\breuters\b", r"\btelam\b", r"\beuropa press\b", r"\bbloomberg\b"],
+    "entrevista": [r"\ben (?:una )?entrevista con\b", r"\bentrevistado por\b", r"\ben dialogo con\b", r"\ben declaraciones a\b", r"\bdijo a\b", r"\ben una charla con\b"],
+}
+
+#: Events of a reader that are recorded.
+EVENTS = ["impresion", "detalle", "original", "ocultar"]

@@ -200,6 +200,14 @@ def has_term(tokens: Column, term: Column) -> Column:
     return (F.length(F.trim(t)) > 0) & F.contains(tokens, t)
 
 
+def term_pattern(terms: list[str]) -> str | None:
+    """A pattern for ``search_text`` that finds any of the terms as whole words; None without terms."""
+    plain = (unicodedata.normalize("NFKD", t.lower()) for t in terms)
+    folded = [" ".join("".join(c for c in t if not unicodedata.combining(c)).split()) for t in plain]
+    quoted = [r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in folded if t]
+    return rf"(?U)\b(?:{'|'.join(quoted)})\b" if quoted else None
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of the words of more than two characters."""
     words = lambda c: F.array_distinct(F.filter(F.regexp_extract_all(norm(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) > 2))
@@ -265,8 +273,9 @@ def status_refs(urls: Column) -> Column:
 
 
 def own_words(text: Column, preview: Column, least: int = 5) -> Column:
-    """A post's own words where there are enough of them, else with its preview."""
-    return F.when(F.size(F.split(clean_space(F.coalesce(text, F.lit(""))), " ")) >= least, text).otherwise(clean_space(F.concat_ws(" ", text, preview)))
+    """A post's own words without addresses where there are enough of them, else with its preview."""
+    own = clean_space(F.regexp_replace(F.coalesce(text, F.lit("")), r"https?://\S+", " "))
+    return F.when(F.size(F.split(own, " ")) >= least, own).otherwise(clean_space(F.concat_ws(" ", own, preview)))
 
 
 def safe_for_prompt(c: Column) -> Column:

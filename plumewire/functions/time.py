@@ -25,6 +25,10 @@ def week_start(ts: Column, tz: str = LOCAL) -> Column:
     return F.date_trunc("week", to_local(ts, tz)).cast("date")
 
 
+def hours_before(ts: Column, hours: int) -> Column:
+    return ts - F.make_dt_interval(F.lit(0), F.lit(hours))
+
+
 def seconds(ts: Column) -> Column:
     """Whole seconds since 1970 of a naive timestamp."""
     return F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))

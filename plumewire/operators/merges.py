@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import content_hash, title_similarity
+from ..functions.lexicon import EVENTS
+from ..functions.text import content_hash, own_words, search_text, title_similarity
+from ..functions.time import local_day
 
 MIN_TITLE = 0.3
+NEW_ACCOUNTS, ALL_ACCOUNTS = 100, 300
+POST = ["url", "text", "preview_title", "preview_text", "links", "posted_at", "is_repost", "forwarded_from"]
 
 
 def upsert_articles(current: DataFrame, items: DataFrame) -> DataFrame:
@@ -76,6 +80,64 @@ def enrich(articles: DataFrame, pages: DataFrame) -> DataFrame:
     }).drop("p_sub", "p_author", "p_section", "p_at")
 
 
+def admitted_posts(posts: DataFrame, accounts: DataFrame, now: Column, retention_days: int | None = None, new: int = NEW_ACCOUNTS, most: int = ALL_ACCOUNTS) -> tuple[DataFrame, DataFrame]:
+    """(posts, new accounts) of an import: posts that retention would delete at once stay out; authors that are not known
+    yet become accounts in the order in which they come (``place``), at most ``new`` in an import and ``most`` in all, and
+    the other authors' posts stay out.
+
+    posts: handle, place, posted_at and more; accounts: handle.  Handles are compared in lower case; a post without a
+    handle or date stays out.  The account takes the spelling of its first post."""
+    dated = posts.where(F.col("handle").isNotNull() & F.col("posted_at").isNotNull()).withColumn("handle_key", F.lower("handle"))
+    if retention_days:
+        dated = dated.where(F.col("posted_at") >= now - F.make_dt_interval(F.lit(retention_days)))
+    known = accounts.where("handle is not null").select(F.lower("handle").alias("handle_key")).distinct()
+    room = max(0, min(new, most - known.count()))
+    first = dated.join(known, "handle_key", "left_anti").groupBy("handle_key").agg(F.min(F.struct("place", "handle")).alias("first"))
+    opened = first.orderBy("first").limit(room).select("handle_key", F.col("first.handle").alias("handle"))
+    return dated.join(known.unionByName(opened.select("handle_key")), "handle_key", "left_semi"), opened
+
+
+def upsert_posts(current: DataFrame, posts: DataFrame, now: Column) -> DataFrame:
+    """The posts after a batch, with ``outcome`` (new, updated, seen, kept).  A post is known by account and its id there.
+    Views are renewed where the batch has them; an edited text replaces the old one with its links and preview and sets
+    ``edited_at``, no version is kept.  Running a batch twice changes no text.
+
+    Both: account_id, external_id, url, text, preview_title, preview_text, links, posted_at, is_repost, forwarded_from,
+    views; posts: edited; current: search_text, hash, first_seen_at, last_seen_at, edited_at.  A batch's repeated post counts
+    once, as its latest by date, views and text; rows without account or id are left out."""
+    key = ["account_id", "external_id"]
+    latest = F.max(F.struct("posted_at", F.coalesce("views", F.lit(-1)).alias("seen_by"), F.coalesce("text", F.lit("")).alias("words"), F.struct("views", "edited", *POST).alias("post")))
+    batch = posts.where("account_id is not null and external_id is not null").groupBy(*key).agg(latest.alias("x")).select(*key, "x.post.*")
+    said = own_words(F.col("text"), F.concat_ws(" ", F.nullif("preview_title", F.lit("")), F.nullif("preview_text", F.lit(""))))
+    batch = batch.withColumn("said", said).withColumns({"search_text": search_text(F.col("said")), "hash": content_hash(F.col("said"), F.col("text"))}).drop("said")
+    n, o = batch.withColumn("found", F.lit(True)).alias("n"), current.withColumn("held", F.lit(True)).alias("o")
+    both = o.join(n, [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key], "full")
+    old, found = F.col("held").isNotNull(), F.col("found").isNotNull()
+    edited = old & found & ~F.col("o.hash").eqNullSafe(F.col("n.hash"))
+    fresh = ~old | edited
+    pick = lambda c: F.when(fresh, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+    fixed = lambda c: F.when(old, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
+    return both.select(
+        *(fixed(k) for k in key), *(fixed(c) if c in ("url", "posted_at", "is_repost", "forwarded_from") else pick(c) for c in POST), F.coalesce("n.views", "o.views").alias("views"), pick("search_text"), pick("hash"),
+        F.when(old, F.col("o.first_seen_at")).otherwise(now).alias("first_seen_at"), F.when(found, now).otherwise(F.col("o.last_seen_at")).alias("last_seen_at"),
+        F.when(edited | (~old & F.coalesce("n.edited", F.lit(False))), now).otherwise(F.col("o.edited_at")).alias("edited_at"),
+        F.when(~old, "new").when(edited, "updated").when(found, "seen").otherwise("kept").alias("outcome"),
+    )
+
+
+def record_interactions(current: DataFrame, events: DataFrame, tz: str = "UTC") -> DataFrame:
+    """The events to add: the first of each article, reader, kind, local day and context (64 characters of it) that is
+    not there yet.  events: article_id, user_id, event, context, rank, created_at; current: the first five keys with ``day``.
+    Kinds that are not recorded, and rows without a reader or article, are left out; a null context is the empty one.
+    Ties in time go to the smallest rank, none last."""
+    key = ["article_id", "user_id", "event", "day", "context"]
+    known = events.where(F.col("event").isin(*EVENTS) & F.col("user_id").isNotNull() & F.col("article_id").isNotNull())
+    known = known.withColumns({"context": F.substring(F.coalesce("context", F.lit("")), 1, 64), "day": local_day(F.col("created_at"), tz)})
+    earliest = F.struct("created_at", F.col("rank").isNull().alias("unranked"), "rank")
+    first = known.groupBy(*key).agg(F.min(earliest).alias("x")).select(*key, "x.rank", "x.created_at")
+    return first.join(current.select(*key).distinct(), key, "left_anti")
+
+
 def merge_relations(old: DataFrame, new: DataFrame, loaded: DataFrame) -> DataFrame:
     """Stored relations after an analysis: reviewed rows stay as they are, pending ones take the new values, pending
     ones that were not found again go if both ends were loaded, new ones come in as pending.

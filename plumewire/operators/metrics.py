@@ -157,17 +157,38 @@ def rising_topics(hits: DataFrame, articles: DataFrame, now: Column) -> DataFram
     return current.join(level, "slug").crossJoin(F.broadcast(state)).where(ok).select("slug", "n", F.bround("usual", 1).alias("usual"), F.bround("threshold", 1).alias("threshold"), "media")
 
 
-def interest_funnel(events: DataFrame) -> DataFrame:
-    """Readers' actions by the rank of an article's first impression (1-5, 6-15, 16 and on): articles shown, those with
-    an action, share and its interval.  events: article_id, user_id, event, rank, created_at, id."""
-    shown = events.where((F.col("event") == "impresion") & F.col("rank").isNotNull()).groupBy("article_id", "user_id").agg(F.min_by("rank", F.struct("created_at", "id")).alias("rank"))
-    acted = events.where(F.col("event").isin("detalle", "original")).select("article_id", "user_id").distinct().withColumn("acted", F.lit(1))
+def _exposures(events: DataFrame, tz: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(first impressions with their rank, acted) by article, reader and local day."""
+    key = ["article_id", "user_id", "day"]
+    dated = events.withColumn("day", time.local_day(F.col("created_at"), tz))
+    at = F.when(F.col("rank").isNotNull(), F.struct("created_at", "id"))
+    shown = dated.where(F.col("event") == "impresion").groupBy(*key).agg(F.min_by("rank", at).alias("rank"))
+    acted = dated.where(F.col("event").isin("detalle", "original")).select(*key).distinct().withColumn("acted", F.lit(1))
+    return shown, acted, key
+
+
+def interest_funnel(events: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Readers' actions by the rank of an article's first impression of the day (1-5, 6-15, 16 to 10,000): articles shown,
+    those with an action that day, share and its interval.  Impressions without a rank are in no bucket.
+    events: article_id, user_id, event, rank, created_at, id."""
+    shown, acted, key = _exposures(events, tz)
     bucket = F.when(F.col("rank") <= 5, "1-5").when(F.col("rank") <= 15, "6-15").otherwise("16+")
-    out = shown.join(acted, ["article_id", "user_id"], "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("shown"), F.count("acted").alias("acted"))
+    both = shown.where(F.col("rank").between(1, 10_000)).join(acted, key, "left")
+    out = both.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("shown"), F.count("acted").alias("acted"))
     w = stats.wilson(F.col("acted"), F.col("shown"))
     return out.select("bucket", "shown", "acted", (F.col("acted") / F.col("shown")).alias("share"), w["lo"].alias("lo"), w["hi"].alias("hi"))
 
 
+def interest_totals(events: DataFrame, tz: str = "UTC") -> DataFrame:
+    """One row: articles shown and acted on by reader and day, those that were both, and their share of the shown ones with
+    its interval (null if nothing was shown).  A repeated event counts once."""
+    shown, acted, key = _exposures(events, tz)
+    both = shown.withColumn("shown", F.lit(1)).join(acted, key, "full")
+    out = both.agg(F.count("shown").alias("impressions"), F.count("acted").alias("actions"), F.count(F.col("shown") + F.col("acted")).alias("exposed_actions"))
+    w = stats.wilson(F.col("exposed_actions"), F.col("impressions"))
+    return out.select("*", F.when(F.col("impressions") > 0, F.col("exposed_actions") / F.col("impressions")).alias("share"), w["lo"].alias("lo"), w["hi"].alias("hi"))
+
+
 def daily_rollup(runs: DataFrame, tz: str = "UTC") -> DataFrame:
     """day, run_type, scope, runs, ok, items, last_run_id.  Runs count once, however often they are given."""
     once = runs.dropDuplicates(["id"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats, text, time
-from ..operators import evaluation, groups, headlines, highlight, interest, mentions, merges, metrics, relations, reports, shared
+from ..operators import common_source, evaluation, groups, headlines, highlight, interest, mentions, merges, metrics, relations, reports, selection, shared
 from ..sources import pages as page_source
 from . import sql as S
 from . import views as V
@@ -131,13 +131,24 @@ _EVENTS = """i AS (SELECT event_id % 40 AS article_id, user_id % 20 AS user_id,
   (props->>'$.k')::BIGINT AS rank, ts AS created_at, event_id AS id FROM events)"""
 
 
-@query(f"""WITH {_EVENTS}, s AS (SELECT article_id, user_id, arg_min(rank, (created_at, id)) AS rank FROM i WHERE event = 'impresion' AND rank IS NOT NULL GROUP BY ALL
-), f AS (SELECT CASE WHEN rank <= 5 THEN '1-5' WHEN rank <= 15 THEN '6-15' ELSE '16+' END AS bucket, count(*) AS shown, count(x.article_id) AS acted FROM s LEFT JOIN (SELECT DISTINCT article_id, user_id FROM i WHERE event IN ('detalle', 'original')) x USING (article_id, user_id) GROUP BY 1)
+@query(f"""WITH {_EVENTS}, s AS (SELECT article_id, user_id, created_at::DATE AS day, arg_min(rank, (created_at, id)) AS rank FROM i WHERE event = 'impresion' AND rank IS NOT NULL GROUP BY ALL
+), f AS (SELECT CASE WHEN rank <= 5 THEN '1-5' WHEN rank <= 15 THEN '6-15' ELSE '16+' END AS bucket, count(*) AS shown, count(x.article_id) AS acted FROM s LEFT JOIN (SELECT DISTINCT article_id, user_id, created_at::DATE AS day FROM i WHERE event IN ('detalle', 'original')) x USING (article_id, user_id, day)
+  WHERE rank BETWEEN 1 AND 10000 GROUP BY 1)
 SELECT bucket, shown, acted, round(acted::DOUBLE / shown, 6) AS share, round({_FLO}, 6) AS lo, round({_FHI}, 6) AS hi FROM f""")
 def interest_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.interest_funnel(V.interactions(spark, sf_dir)), "share", "lo", "hi")
 
 
+_TLO, _THI = S.wilson("exposed_actions", "impressions")
+
+
+@query(f"""WITH {_EVENTS}, s AS (SELECT DISTINCT article_id, user_id, created_at::DATE AS day FROM i WHERE event = 'impresion'), x AS (SELECT DISTINCT article_id, user_id, created_at::DATE AS day FROM i WHERE event IN ('detalle', 'original')
+), t AS (SELECT (SELECT count(*) FROM s) AS impressions, (SELECT count(*) FROM x) AS actions, (SELECT count(*) FROM s JOIN x USING (article_id, user_id, day)) AS exposed_actions)
+SELECT impressions, actions, exposed_actions, round(exposed_actions::DOUBLE / impressions, 6) AS share, round({_TLO}, 6) AS lo, round({_THI}, 6) AS hi FROM t""")
+def interest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.interest_totals(V.interactions(spark, sf_dir)), "share", "lo", "hi")
+
+
 _RUNS = "SELECT event_id AS id, ts::DATE AS day, event_type AS run_type, user_id % 7 AS scope, event_type <> 'error' AS ok, (props->>'$.k')::BIGINT AS items FROM events"
 
 
@@ -614,3 +625,123 @@ def omission_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many unrelated pairs of a day there are, by how similar they are; the dissimilar ones are counted and not made."""
     a = V.articles(spark, sf_dir).where("not is_syndicated").select("id", "media_id", time.seconds(F.col("first_seen_at")).alias("at"), F.array_distinct(text.raw_tokens(F.col("body"))).alias("tokens"))
     return evaluation.omission_frame(a, a.where("id % 7 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))[0]
+
+
+# Selections: lists, pages, targets, candidates
+
+
+@query(f"""WITH {_EVENTS}, k AS (SELECT article_id, user_id, event, created_at::DATE AS day, CASE user_id % 3 WHEN 0 THEN 'noticias:recientes' WHEN 1 THEN 'resumen:medios' ELSE '' END AS context, rank, created_at FROM i)
+SELECT article_id, user_id, event, day, context, arg_min(rank, (created_at, rank IS NULL, coalesce(rank, 0))) AS rank, min(created_at) AS created_at FROM (SELECT * FROM k WHERE created_at >= TIMESTAMP '2024-01-08') WHERE (article_id, user_id, event, day, context) NOT IN (SELECT article_id, user_id, event, day - 7, context FROM k WHERE created_at >= TIMESTAMP '2024-01-15') GROUP BY ALL"""
+  .replace("arg_min(rank, (created_at, rank IS NULL, coalesce(rank, 0)))", "(min({'a': created_at, 'b': rank IS NULL, 'c': rank}))['c']"))
+def new_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a day's events add to those stored: the stored ones are those of the week after, seven days back."""
+    context = F.when(F.col("user_id") % 3 == 0, "noticias:recientes").when(F.col("user_id") % 3 == 1, "resumen:medios")
+    e = V.interactions(spark, sf_dir).withColumn("context", context)
+    stored = e.where(F.col("created_at") >= ts("2024-01-15")).withColumns({"context": F.coalesce("context", F.lit("")), "day": F.date_sub(F.col("created_at").cast("date"), 7)})
+    return merges.record_interactions(stored, e.where(F.col("created_at") >= ts("2024-01-08")))
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(text, '') AS text FROM conversations), k AS (SELECT conv_id AS account_id, turn || ':' || md5(text) AS external_id, text, (conv_id + turn) % 3 AS b, (conv_id * 7 + turn) % 5 = 0 AS absent, length(text)::BIGINT AS views FROM c
+) SELECT account_id, external_id, CASE WHEN b = 0 THEN text || ' (editado)' ELSE text END AS text, CASE WHEN b = 1 THEN CASE WHEN absent THEN NULL ELSE 1 END WHEN b = 2 THEN 1 ELSE views END AS views, b = 0 AS edited, CASE WHEN b = 2 THEN 'kept' WHEN absent THEN 'new' WHEN b = 0 THEN 'updated' ELSE 'seen' END AS outcome FROM k WHERE NOT (b = 2 AND absent)""")
+def merged_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as posts, after a batch that has two thirds of them again and changed the text of one."""
+    c = V.table(spark, sf_dir, "conversations").select("conv_id", F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    none, when = F.lit(None).cast("string"), ts("2024-01-01")
+    third, absent = (F.col("conv_id") + F.col("turn")) % 3, (F.col("conv_id") * 7 + F.col("turn")) % 5 == 0
+    posts = c.select(
+        F.col("conv_id").alias("account_id"), F.concat_ws(":", F.col("turn").cast("string"), F.md5("text")).alias("external_id"), none.alias("url"), "text", none.alias("preview_title"), none.alias("preview_text"), F.array().cast("array<string>").alias("links"), when.alias("posted_at"), F.lit(False).alias("is_repost"),
+        none.alias("forwarded_from"), F.lit(1).cast("long").alias("views"), F.lit(False).alias("edited"), third.alias("third"), absent.alias("absent"),
+    )
+    empty = spark.createDataFrame([], "account_id long, external_id string, url string, text string, preview_title string, preview_text string, links array<string>, posted_at timestamp_ntz, is_repost boolean, forwarded_from string, views long, search_text string, hash string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, edited_at timestamp_ntz")
+    stored = merges.upsert_posts(empty, posts.where(~F.col("absent")), when).drop("outcome")
+    changed = F.col("third") == 0
+    batch = posts.where("third <> 2").withColumns({"views": F.when(changed, F.length("text").cast("long")), "edited": changed, "text": F.when(changed, F.concat("text", F.lit(" (editado)"))).otherwise(F.col("text"))})
+    return merges.upsert_posts(stored, batch, ts("2024-01-02")).select("account_id", "external_id", "text", "views", F.col("edited_at").isNotNull().alias("edited"), "outcome")
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("id")
+    return V.articles(spark, sf_dir).withColumns({
+        "hidden_at": F.when(i % 11 == 0, ts("2024-02-01")), "is_demo": i % 13 == 0, "author": F.when(i % 4 == 0, "").when(i % 4 > 1, "Ana"), "section": F.concat(F.lit("s"), (i % 3).cast("string")), "clicks": i * 31 % 50,
+        "subtitle": F.when(i % 2 == 0, "x"), "extraction_status": F.when(i % 5 > 0, "feed_only").otherwise("ok"), "enrich_attempts": i % 7 % 4,
+    })
+
+
+_LISTED = f"""{S.ARTICLES}, listed AS (SELECT *, id % 11 = 0 AS hidden, id % 13 = 0 AS demo, id % 4 > 1 AS signed, 's' || (id % 3) AS section, id * 31 % 50 AS clicks FROM articles)"""
+
+
+@query(f"""WITH {_LISTED} SELECT id, media_id, clicks FROM listed l WHERE NOT hidden AND NOT demo AND signed AND section = 's1' AND clicks >= 5 AND first_seen_at >= TIMESTAMP '2024-01-24' AND contains({S.FOLD.format('body')}, 'er') AND (id % 7 = 0 OR (id - 1) % 7 = 0)""")
+def filtered_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed, related and clicked articles of a section's last week with a word; every seventh is related to the next."""
+    a = _listed(spark, sf_dir)
+    related = a.where("id % 7 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = selection.filtered(selection.visible(a), ts("2024-01-31"), section="s1", signed=True, period="7d", related=related, least_clicks=5, words="er", text="body")
+    return found.select("id", "media_id", "clicks")
+
+
+@query(f"""WITH {_LISTED} SELECT id AS article_id, 7::BIGINT AS user_id, 'impresion' AS event, 'noticias:clicks' AS context, row_number() OVER (ORDER BY clicks DESC, first_seen_at DESC, id DESC) AS rank, TIMESTAMP '2024-01-31' AS created_at FROM listed WHERE NOT hidden AND NOT demo QUALIFY rank BETWEEN 51 AND 100""")
+def page_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is recorded of the second page of a list of 50 a page, with places in the whole list."""
+    shown = selection.page(selection.visible(_listed(spark, sf_dir)), [F.desc("clicks"), F.desc("first_seen_at"), F.desc("id")], 2)
+    return selection.impressions(shown, 7, "noticias:clicks", ts("2024-01-31"))
+
+
+@query(f"""WITH {_LISTED}, {S.topic_hits(V.TOPICS[:2])}, t AS (SELECT id, media_id, first_seen_at FROM listed WHERE NOT demo AND id % 5 > 0 AND id % 7 % 4 < 3 AND first_seen_at >= TIMESTAMP '2024-01-29' AND (id % 2 = 1 OR section = 's2' OR id IN (SELECT id FROM topic_hits)))
+SELECT id, media_id, row_number() OVER (PARTITION BY media_id ORDER BY first_seen_at DESC, id DESC)::INT AS place FROM t QUALIFY place <= 5""")
+def enrich_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages to fetch next: at most five of an outlet."""
+    a = _listed(spark, sf_dir)
+    hits = metrics.matching_topics(a, V.topics(spark).where(F.col("slug").isin("agua", "tierra")), "body")
+    return selection.enrich_targets(a, hits, ts("2024-01-31"), 5, ["s2"]).select("id", "media_id", "place")
+
+
+_KIND = "CASE l_linenumber % 4 WHEN 0 THEN 'mismo_hecho' WHEN 1 THEN 'expresion_compartida' WHEN 2 THEN 'mismo_tema' ELSE 'afirmaciones_distintas' END"
+
+
+@query(f"""WITH r AS (SELECT l_orderkey AS a, l_orderkey + l_linenumber AS b, {_KIND} AS relation_type, l_extendedprice AS score FROM lineitem WHERE l_linenumber % 4 <> 2 AND {_STATUS} <> 'rechazada' AND l_shipdate + to_days(CASE WHEN l_returnflag = 'R' THEN l_linenumber::INT ELSE 0 END) >= TIMESTAMP '1999-12-29'
+), best AS (SELECT * FROM r ORDER BY score DESC, a, b, relation_type LIMIT 1000), h AS (SELECT id, max(p) AS held FROM (SELECT o_orderkey + n AS id, o_orderkey % 3 AS p FROM orders, (VALUES (0), (1), (2), (3)) v(n) WHERE o_orderkey % 2 = 0) GROUP BY 1
+) SELECT row_number() OVER (ORDER BY alerted DESC, score DESC, a, b, relation_type)::INT AS place, a, b, relation_type, score, alerted FROM (SELECT best.*, x.held IS NOT NULL AND y.held IS NOT NULL AS alerted FROM best LEFT JOIN h x ON x.id = a LEFT JOIN h y ON y.id = b WHERE a % 10 <> 0 AND b % 10 <> 0)""")
+def analysis_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs to send to a language model, those of pending alerts first."""
+    x, n = V.table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    kind = F.when(n % 4 == 0, "mismo_hecho").when(n % 4 == 1, "expresion_compartida").when(n % 4 == 2, "mismo_tema").otherwise("afirmaciones_distintas")
+    status = F.when(n % 3 == 0, "confirmada").when(n % 3 == 1, "pendiente").otherwise("rechazada")
+    r = x.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + n).alias("b"), kind.alias("relation_type"), F.col("l_extendedprice").alias("score"), status.alias("review_status"), F.col("l_shipdate").cast("timestamp_ntz").alias("created_at"), F.when(F.col("l_returnflag") == "R", F.date_add(F.col("l_shipdate").cast("date"), n.cast("int")).cast("timestamp_ntz")).alias("updated_at"))
+    o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("group_id"))
+    m = o.select("group_id", F.explode(F.sequence(F.col("group_id"), F.col("group_id") + 3)).alias("id"), F.lit(True).alias("active"))
+    ends = r.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    alerts = o.select("group_id", F.when(F.col("group_id") % 2 == 0, "pendiente").otherwise("cerrada").alias("status"), (F.col("group_id") % 3).cast("int").alias("priority"))
+    return selection.analysis_candidates(r, ends.withColumn("is_demo", F.col("id") % 10 == 0), m, alerts, ts("2000-01-01"), 100)
+
+
+@query("""WITH n AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE l_suppkey END AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey ELSE l_partkey END AS b, l_returnflag <> 'R' AS ok, l_shipdate AS done FROM lineitem
+), g AS (SELECT least(a, b) AS low, greatest(a, b) AS high, arg_max(id, (done, id)) AS analysis_id FROM n WHERE ok GROUP BY ALL) SELECT a, b, analysis_id FROM (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem) p LEFT JOIN g ON low = least(a, b) AND high = greatest(a, b)""")
+def pair_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest good analysis of each pair, whichever end it names first."""
+    x, even = V.table(spark, sf_dir, "lineitem"), F.col("l_linenumber") % 2 == 0
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    done = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.when(even, p).otherwise(s).alias("a"), F.when(even, s).otherwise(p).alias("b"), F.when(F.col("l_returnflag") != "R", "ok").otherwise("error").alias("status"), F.col("l_shipdate").alias("created_at"))
+    return selection.latest_of_pairs(x.select(s.alias("a"), p.alias("b")), done)
+
+
+_SIGNS = {"informe": ["the water", "tion", "la"], "agencia": ["erin", "und"], "entrevista": ["de la", "that"]}
+_FIRST = {k: "CASE " + " ".join(f"WHEN regexp_matches(told, '(^|[^\\p{{L}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{N}}_])') THEN '{w}'" for w in v) + " END" for k, v in _SIGNS.items()}
+
+
+@query(f"""WITH {S.ARTICLES}, t AS (SELECT id // 5 AS group_id, id, media_id, is_syndicated, {S.FOLD.format('body')} AS told FROM articles), s AS (SELECT group_id, id, 'informe' AS kind, {_FIRST['informe']} AS sign FROM t UNION ALL SELECT group_id, id, 'entrevista', {_FIRST['entrevista']} FROM t
+  UNION ALL SELECT group_id, id, 'agencia', coalesce({_FIRST['agencia']}, CASE WHEN is_syndicated THEN 'republicación (' || media_id || ')' END) FROM t)
+SELECT group_id, kind, count(DISTINCT id) AS n, list_sort(list(DISTINCT id)) AS ids, list_sort(list(DISTINCT sign)) AS evidence FROM s WHERE sign IS NOT NULL GROUP BY ALL HAVING count(DISTINCT id) >= 2 OR kind = 'agencia'""")
+def common_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What groups of five documents have in common by words of theirs; every tenth is an agency's."""
+    a = V.articles(spark, sf_dir).select(F.floor(F.col("id") / 5).alias("group_id"), "id", F.col("body").alias("title"), "subtitle", F.lit(None).cast("string").alias("author"), "is_syndicated", F.col("media_id").alias("origin_label"))
+    return common_source.common_sources(a, {k: [rf"\b{w}\b" for w in v] for k, v in _SIGNS.items()})
+
+
+@query(f"""WITH g AS (SELECT o_orderkey AS group_id, CASE WHEN o_orderkey % 9 > 0 THEN o_orderdate END AS first_seen_at, o_custkey % 7 AS media FROM orders), t AS (SELECT doc_id AS group_id FROM documents WHERE regexp_matches({S.FOLD.format('text')}, '(^|[^\\p{{L}}\\p{{N}}_])(the water|la|und)($|[^\\p{{L}}\\p{{N}}_])'))
+SELECT group_id, first_seen_at, row_number() OVER (ORDER BY first_seen_at NULLS LAST, group_id DESC) AS rank FROM g WHERE group_id NOT IN (SELECT group_id FROM t) QUALIFY rank BETWEEN 41 AND 80""")
+def oldest_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of stories, the oldest first and undated ones last, without those whose titles have excluded words."""
+    k = F.col("o_orderkey")
+    g = V.table(spark, sf_dir, "orders").select(k.alias("group_id"), F.when(k % 9 > 0, F.col("o_orderdate")).alias("first_seen_at"))
+    titles = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("group_id"), F.col("text").alias("title"))
+    return selection.page(selection.without_terms(g, titles, ["The Water", "la", "", "und"]), selection.group_order("antiguos"), 2, 40)
