@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats, text, time
-from ..operators import common_source, evaluation, groups, headlines, highlight, interest, mentions, merges, metrics, relations, reports, selection, shared
+from ..operators import common_source, evaluation, groups, headlines, highlight, interest, mentions, merges, metrics, relations, reports, selection, shared, story_alerts
 from ..sources import pages as page_source
 from . import sql as S
 from . import views as V
@@ -745,3 +745,29 @@ def oldest_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = V.table(spark, sf_dir, "orders").select(k.alias("group_id"), F.when(k % 9 > 0, F.col("o_orderdate")).alias("first_seen_at"))
     titles = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("group_id"), F.col("text").alias("title"))
     return selection.page(selection.without_terms(g, titles, ["The Water", "la", "", "und"]), selection.group_order("antiguos"), 2, 40)
+
+
+_TYPE = "CASE (group_id + l) % 5 WHEN 0 THEN 'titular_identico' WHEN 1 THEN 'mismo_hecho' WHEN 2 THEN 'mismo_tema' WHEN 3 THEN 'afirmaciones_distintas' ELSE 'expresion_compartida' END"
+
+
+@query(f"""WITH {S.MEMBERS}, m AS (SELECT *, id % 10 AS l, 'n' || media_id AS name, (id % 13 = 0) AS marked FROM members), t AS (SELECT group_id, count(*) AS notes, list_sort(list(DISTINCT media_id) FILTER (WHERE NOT is_syndicated)) AS media_ids, bool_or(marked) AS marked FROM m GROUP BY 1
+), r AS (SELECT a.group_id, a.id, {_TYPE.replace('l)', 'a.l)').replace('group_id', 'a.group_id')} AS kind, a.group_id % 10 = 3 AS focus, CASE WHEN a.group_id % 2 = 1 THEN 30 ELSE 1 END AS hours, a.name AS x, b.name AS y FROM m a JOIN m b ON a.group_id = b.group_id AND b.id = a.id + 1 WHERE a.media_id <> b.media_id AND NOT a.is_syndicated AND NOT b.is_syndicated AND NOT (a.group_id % 4 = 0 AND a.l % 2 = 0)
+), k AS (SELECT group_id, id, CASE WHEN focus OR kind IN ('titular_identico', 'expresion_compartida') THEN 2 WHEN kind = 'mismo_hecho' AND hours <= 24 THEN 1 ELSE 0 END AS rank, CASE WHEN kind = 'afirmaciones_distintas' THEN 'Afirmaciones distintas entre ' || x || ' y ' || y || ': no es el mismo mensaje.' END AS warning FROM r
+), p AS (SELECT group_id, max(rank) AS rank, count(*) AS n, list_sort(list(DISTINCT warning) FILTER (WHERE warning IS NOT NULL)) AS warnings FROM k GROUP BY 1)
+SELECT group_id, CASE WHEN notes < 2 THEN 'menos de dos notas' WHEN coalesce(len(media_ids), 0) < 2 THEN 'menos medios independientes que el mínimo' WHEN group_id % 6 = 0 THEN 'sección excluida' WHEN marked THEN 'término excluido: Subió' WHEN n IS NULL THEN 'sin relaciones entre medios independientes' END AS skip,
+  coalesce(rank, 0)::INT AS priority, notes, coalesce(media_ids, []) AS media_ids, coalesce(warnings, []) AS warnings FROM t LEFT JOIN p USING (group_id)""")
+def evaluated_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which stories are worth an alert, why the others are not, and what to be careful about: neighbours in a story are
+    related, some analysed the other way round."""
+    i, l, g = F.col("id"), F.col("id") % 10, F.col("group_id")  # noqa: E741
+    none, words = F.lit(None).cast("string"), F.array().cast("array<string>")
+    m = V.members(spark, sf_dir).withColumns({
+        "active": F.lit(True), "media_name": F.concat(F.lit("n"), F.col("media_id").cast("string")), "title": F.when(i % 13 == 0, "SUBIÓ todo").otherwise("Baja"), "subtitle": none, "author": none, "section": F.when(g % 6 == 0, "Deportes"), "is_demo": F.lit(False), "origin_label": none, "url": none,
+        "published_precision": F.when(F.col("published_at").isNotNull(), "datetime").otherwise("none"),
+    })
+    kind = F.when((g + l) % 5 == 0, "titular_identico").when((g + l) % 5 == 1, "mismo_hecho").when((g + l) % 5 == 2, "mismo_tema").when((g + l) % 5 == 3, "afirmaciones_distintas").otherwise("expresion_compartida")
+    rel = m.select(i.alias("id"), i.alias("a"), (i + 1).alias("b"), kind.alias("relation_type"), F.lit(0.5).alias("score"), F.when((g % 4 == 0) & (l % 2 == 0), "rechazada").alias("review_status"), F.when(g % 2 == 1, 30 * 3600).cast("long").alias("delta_seconds"), words.alias("notes"), words.alias("phrases"), words.alias("rules"))
+    done = m.where(g % 10 == 3).select("id", (i + 1).alias("a"), i.alias("b"), F.lit("ok").alias("status"), F.col("first_seen_at").alias("created_at"), F.lit("si").alias("same_event"), F.lit("similar").alias("focus"), words.alias("flags"))
+    stories = m.select("group_id").distinct().select("group_id", none.alias("title"), words.alias("terms"), words.alias("phrases"))
+    found = story_alerts.evaluate(stories, m, rel, done, story_alerts.Rules(excluded_terms=("Subió",)))
+    return found.select("group_id", "skip", "priority", "notes", "media_ids", F.array_sort("warnings").alias("warnings"))
