@@ -40,6 +40,12 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *_accents()), r"\p{Mn}", "")
 
 
+def folded_in_place(c: Column) -> Column:
+    """Lower case without accents, code point by code point, so that places are those of the text; marks that stand alone
+    stay."""
+    return F.translate(F.lower(F.translate(c, "\u0130", "i")), *_accents())
+
+
 def norm(c: Column) -> Column:
     return clean_space(strip_accents(F.lower(c)))
 
