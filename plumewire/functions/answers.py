@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import norm
+from .lexicon import NOT_IN_SUMMARY
+from .text import norm, strip_accents
 
 MAX_ITEMS, MAX_TEXT, LEAST_QUOTE = 30, 2000, 3
 
@@ -89,3 +90,40 @@ def validated(answers: DataFrame, shape: dict, quotes: list[tuple[str, str, str]
     errors = F.when(F.size("_shape") > 0, F.col("_shape")).otherwise(quote_errors(F.col("_v"), F.coalesce("sources", F.create_map().cast("map<string, string>")), quotes))
     held = held.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
     return held.withColumn("result", F.when(F.col("valid"), F.from_json(F.to_json("_v"), schema, {"mode": "PERMISSIVE"}))).drop("_v", "_shape")
+
+
+#: A summary's shape, and the figures that need no source.
+SUMMARY = {"titulo": "string", "parrafos": ["string"], "limitaciones": ["string"]}
+SUMMARY_SCHEMA = "titulo string, parrafos array<string>, limitaciones array<string>"
+MAX_PARAGRAPHS, SMALL = 5, [str(i) for i in range(11)]
+
+
+def figures(c: Column) -> Column:
+    """The different figures of a text, with a point for the decimals and without zeros at their end."""
+    plain = lambda n: F.when(F.contains(n, F.lit(".")), F.regexp_replace(n, r"\.?0*$", "")).otherwise(n)
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\d+(?:[.,]\d+)?"), F.lit(0)), lambda n: plain(F.replace(n, F.lit(","), F.lit(".")))))
+
+
+def summary_errors(v: Column, data: Column) -> Column:
+    """What is wrong with a summary of the right shape: too few or many paragraphs, words that blame or judge (the first
+    found of each kind), figures that are neither in the data nor small."""
+    texts = lambda key: F.coalesce(F.try_variant_get(v, f"$.{key}", "array<string>"), F.array().cast("array<string>"))
+    whole = F.array_join(F.concat(F.array(F.coalesce(_get(v, "titulo", "string"), F.lit(""))), texts("parrafos"), texts("limitaciones")), " ")
+    n = F.size(texts("parrafos"))
+    few = F.when((n < 1) | (n > MAX_PARAGRAPHS), F.lit(f"parrafos: from 1 to {MAX_PARAGRAPHS}"))
+    plain = strip_accents(F.lower(whole))
+    said = []
+    for pattern, why in NOT_IN_SUMMARY:
+        hit = F.regexp_extract(plain, f"(?U){pattern}", 0)
+        said.append(F.when(hit != "", F.concat(F.lit("not to be said: "), hit, F.lit(f" ({why})"))))
+    unknown = F.array_sort(F.array_except(figures(whole), F.array_union(figures(data), F.array(*map(F.lit, SMALL)))))
+    return F.concat(F.filter(F.array(few, *said), lambda e: e.isNotNull()), F.transform(unknown, lambda x: F.concat(F.lit("figure not in the data: "), x)))
+
+
+def summaries(answers: DataFrame) -> DataFrame:
+    """Summaries with valid, errors and result (null unless valid).  answers: raw, data (the JSON text that was summed up)
+    and others, which stay.  Null and empty answers, and text that is no JSON, have one error; null data has no figures."""
+    held = answers.withColumn("_v", F.try_parse_json(F.coalesce("raw", F.lit(""))))
+    held = held.withColumn("_shape", F.when(F.col("_v").isNull(), F.array(F.lit("$: not JSON"))).otherwise(shape_errors(F.col("_v"), SUMMARY)))
+    held = held.withColumn("errors", F.when(F.size("_shape") > 0, F.col("_shape")).otherwise(summary_errors(F.col("_v"), F.col("data")))).withColumn("valid", F.size("errors") == 0)
+    return held.withColumn("result", F.when(F.col("valid"), F.from_json(F.to_json("_v"), SUMMARY_SCHEMA))).drop("_v", "_shape")

@@ -55,3 +55,17 @@ COMMON_SOURCES = {
 
 #: Events of a reader that are recorded.
 EVENTS = ["impresion", "detalle", "original", "ocultar"]
+
+#: What a summary must not say, in lower case without accents, and why.
+NOT_IN_SUMMARY = [
+    (r"\boriginad?[oaó]s?\b|\borigin(o|aron|a|an)\b", "atribuye el origen de una información"),
+    (r"\bcopi(o|aron|a|an|ado|ada|ados|adas)\b", "habla de copia entre medios"),
+    (r"\bcoordin", "sugiere coordinación"),
+    (r"\bdirig(e|en|io|ieron)\b", "dice que un medio dirige a otro"),
+    (r"\bmarc(o|aron|a|an) (la |el )?(agenda|tema|ritmo)", "dice que alguien marcó la agenda"),
+    (r"\b(instal|impuls)(o|aron|a|an) (el|la|los|las|un|una) (tema|agenda|discurso|relato)", "atribuye la instalación de un tema"),
+    (r"\bcampana\b|\boperacion (mediatica|de prensa)\b", "sugiere una campaña"),
+    (r"\bsesg", "atribuye sesgo"),
+    (r"\b(verdader[oa]s?|fals[oa]s?|mintio|miente|mienten|fake)\b", "juzga la verdad"),
+    (r"\blinea editorial\b", "atribuye línea editorial"),
+]

@@ -12,6 +12,7 @@ from ..functions.time import local_day
 
 MIN_TITLE = 0.3
 NEW_ACCOUNTS, ALL_ACCOUNTS = 100, 300
+WAITS, TRIES = [1, 5, 15, 60], 5
 POST = ["url", "text", "preview_title", "preview_text", "links", "posted_at", "is_repost", "forwarded_from"]
 
 
@@ -185,6 +186,30 @@ def notifications(alerts: DataFrame, sent: DataFrame) -> DataFrame:
     return insert_absent(sent, due, ["dedupe_key"])
 
 
+def due_messages(queue: DataFrame, now: Column, limit: int = 20) -> DataFrame:
+    """The waiting messages whose time has come, the oldest ids first, ``limit`` at a time."""
+    return queue.where((F.col("status") == "pendiente") & (F.col("next_attempt_at") <= now)).orderBy("id").limit(limit)
+
+
+def after_attempts(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """The queue after a round of sending.  A message that went out is ``enviada``; one that failed waits longer each time
+    (``WAITS`` minutes), and after ``TRIES`` tries it is in ``error``.  Messages that wait for nothing stay as they are.
+
+    queue: id, status, attempts, next_attempt_at, sent_at, last_error; outcomes: id, error (null: it went out).  A message
+    with several outcomes failed if none of them went out, and counts one try; null attempts are none."""
+    once = outcomes.where("id is not null").groupBy("id").agg(F.bool_or(F.col("error").isNull()).alias("went"), F.max("error").alias("error"))
+    both = queue.join(once, "id", "left")
+    tried = (F.col("status") == "pendiente") & F.col("went").isNotNull()
+    n = F.coalesce("attempts", F.lit(0)) + tried.cast("int")
+    failed = tried & ~F.col("went")
+    wait = F.get(F.array(*map(F.lit, WAITS)), F.least(n - 1, F.lit(len(WAITS) - 1)))
+    again = now + F.make_dt_interval(F.lit(0), F.lit(0), wait)
+    return both.select(
+        *(c for c in queue.columns if c not in ("status", "attempts", "next_attempt_at", "sent_at", "last_error")), F.when(tried & F.col("went"), "enviada").when(failed & (n >= TRIES), "error").otherwise(F.col("status")).alias("status"), n.cast("int").alias("attempts"),
+        F.when(failed & (n < TRIES), again).otherwise(F.col("next_attempt_at")).alias("next_attempt_at"), F.when(tried & F.col("went"), now).otherwise(F.col("sent_at")).alias("sent_at"), F.when(failed, F.col("error")).when(~tried, F.col("last_error")).alias("last_error"),
+    )
+
+
 def retention(articles: DataFrame, protected: list[DataFrame], before: Column) -> tuple[DataFrame, DataFrame]:
     """(kept, gone): articles first seen before a date go, unless one of the protected sets (id) has them."""
     safe = protected[0].select("id")

@@ -771,3 +771,15 @@ def evaluated_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     stories = m.select("group_id").distinct().select("group_id", none.alias("title"), words.alias("terms"), words.alias("phrases"))
     found = story_alerts.evaluate(stories, m, rel, done, story_alerts.Rules(excluded_terms=("Subió",)))
     return found.select("group_id", "skip", "priority", "notes", "media_ids", F.array_sort("warnings").alias("warnings"))
+
+
+@query("""WITH q AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'enviada' ELSE 'pendiente' END AS status, (o_orderkey % 5)::INT AS attempts, o_orderdate AS due, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate END AS sent, o_orderkey % 3 AS o FROM orders
+), x AS (SELECT *, status = 'pendiente' AND o < 2 AS tried, TIMESTAMP '2002-01-01' AS now FROM q)
+SELECT id, CASE WHEN tried AND o = 0 THEN 'enviada' WHEN tried AND attempts = 4 THEN 'error' ELSE status END AS status, attempts + tried::INT AS attempts, CASE WHEN tried AND o = 1 AND attempts < 4 THEN now + to_minutes([1, 5, 15, 60][attempts + 1]) ELSE due END AS next_attempt_at, CASE WHEN tried AND o = 0 THEN now ELSE sent END AS sent_at, CASE WHEN tried AND o = 1 THEN 'HTTP 500' END AS last_error FROM x""")
+def message_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages after a round of sending in which a third went out and a third failed."""
+    k = F.col("o_orderkey")
+    o = V.table(spark, sf_dir, "orders")
+    sent = k % 4 == 0
+    queue = o.select(k.alias("id"), F.when(sent, "enviada").otherwise("pendiente").alias("status"), (k % 5).cast("int").alias("attempts"), F.col("o_orderdate").alias("next_attempt_at"), F.when(sent, F.col("o_orderdate")).alias("sent_at"), F.lit(None).cast("string").alias("last_error"))
+    return merges.after_attempts(queue, o.where(k % 3 < 2).select(k.alias("id"), F.when(k % 3 == 1, "HTTP 500").alias("error")), ts("2002-01-01"))

@@ -158,6 +158,21 @@ def test_answers(spark):
     assert got[9].errors == ["quotes[0]: piece empty or too short"] and got[10].errors == ["$.quotes: not a list"] and got[11].errors == ["$.focus: text too long"] and got[12].errors == ["$: not an object"]
 
 
+def test_summaries(spark):
+    ok = '{"titulo": "Semana", "parrafos": ["Hubo 1.200 notas y 12,50 %, en 3 medios."], "limitaciones": []}'
+    data = '{"n": 1.2, "p": 12.5}'
+    texts = [
+        (1, ok, data), (2, ok, None), (3, ok.replace("Semana", "Un medio Copió y coordinó"), data), (4, ok.replace('["Hubo', '["a", "b", "c", "d", "e", "Hubo'), data), (5, '{"titulo": "x", "parrafos": [], "limitaciones": []}', data), (6, "no", data), (7, None, data),
+        (8, ok.replace('"limitaciones": []', '"limitaciones": "x"'), data), (9, ok.replace("3 medios", "11 medios; son verdaderos"), data), (10, ok.replace("Semana", "Originalidad, marco, campaña"), data),
+    ]
+    got = {x.id: x for x in answers.summaries(spark.createDataFrame(texts, "id long, raw string, data string")).collect()}
+    assert [i for i, x in got.items() if x.valid] == [1] and got[1].result.titulo == "Semana" and got[2].result is None
+    assert got[2].errors == ["figure not in the data: 1.2", "figure not in the data: 12.5"] and got[4].errors == got[5].errors == ["parrafos: from 1 to 5"] and got[6].errors == got[7].errors == ["$: not JSON"]
+    assert [e.split(" (")[0] for e in got[3].errors] == ["not to be said: copio", "not to be said: coordin"] and got[8].errors == ["$.limitaciones: not a list"]
+    assert [e.split(" (")[0] for e in got[9].errors] == ["not to be said: verdaderos", "figure not in the data: 11"] and [e.split(" (")[0] for e in got[10].errors] == ["not to be said: campana"]
+    assert answers.summaries(spark.createDataFrame([], "id long, raw string, data string")).count() == 0
+
+
 # Reports
 
 

@@ -187,3 +187,18 @@ def test_common_sources(spark):
     got = {(r.group_id, r.kind): (r.n, r.ids, r.evidence) for r in common_source.common_sources(a).collect()}
     assert got == {(1, "informe"): (2, [1, 2], ["estudio", "informe"]), (2, "agencia"): (1, [5], ["agencia"]), (3, "agencia"): (2, [6, 7], ["(na)", "republicación (agencia)"])}
     assert common_source.common_sources(a.limit(0)).count() == 0
+
+
+def test_messages_wait_longer_each_time(spark):
+    schema = "id long, status string, attempts int, next_attempt_at timestamp_ntz, sent_at timestamp_ntz, last_error string"
+    queue = spark.createDataFrame([(1, "pendiente", None, T0, None, None), (2, "pendiente", 0, T0, None, "old"), (3, "pendiente", 0, T0 + timedelta(1), None, None), (4, "error", 5, T0, None, "e"), (5, "pendiente", 0, T0, None, None)], schema)
+    assert ids(merges.due_messages(queue, now())) == [1, 2, 5] and ids(merges.due_messages(queue, now(), 2)) == [1, 2]
+    out = spark.createDataFrame([(1, "HTTP 500"), (1, "HTTP 500"), (2, None), (2, "x"), (4, "again"), (9, "x"), (None, "x")], "id long, error string")
+    got = {r.id: (r.status, r.attempts, r.next_attempt_at, r.sent_at, r.last_error) for r in merges.after_attempts(queue, out, now()).collect()}
+    assert got[1] == ("pendiente", 1, T0 + timedelta(minutes=1), None, "HTTP 500") and got[2] == ("enviada", 1, T0, T0, None) and got[4] == ("error", 5, T0, None, "e") and got[5] == ("pendiente", 0, T0, None, None)
+    failed, waits = spark.createDataFrame([(1, "no")], "id long, error string"), []
+    for _ in range(6):
+        queue = spark.createDataFrame(merges.after_attempts(queue.where("id = 1"), failed, now()).collect(), schema)
+        r = queue.first()
+        waits.append((r.status, r.attempts, (r.next_attempt_at - T0).total_seconds() / 60))
+    assert waits == [("pendiente", 1, 1), ("pendiente", 2, 5), ("pendiente", 3, 15), ("pendiente", 4, 60), ("error", 5, 60), ("error", 5, 60)]
