@@ -29,6 +29,8 @@ _HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>])[^>]*+(?:>.*?(?:</\1
 _SCRIPT = r"(?is)<script(?=[\s/>])[^>]*+(?:>.*?(?:</script|\z)|\z)"
 _TITLE = r"(?is)<title(?=[\s/>])[^>]*+(?:>(.*?)(?:</title|\z)|\z)"
 _ARTICLE = r"(?is)<(article|main)(?=[\s/>])[^>]*+(?:>.*?(?:</\1\s*+>|\z)|\z)"
+#: The first title as it stands: none where its end is missing.
+_RAW_TITLE = r"(?is)<title[^>]*+(?:>(?:(.*?)</title|.*\z)|\z)"
 #: A link goes on to its end or to the next link.
 _ANCHOR = r"(?is)<a(?=[\s/>])[^>]*+(?:>.*?(?=</?a(?=[\s/>])|\z)|\z)"
 
@@ -61,6 +63,13 @@ def metadata(pages: DataFrame) -> DataFrame:
     )
 
 
+def raw_titles(pages: DataFrame) -> DataFrame:
+    """page_id, title: the page's title tag as it was written, in one line, with references for & read and no others; empty
+    where there is none, null for a page that is null."""
+    written = F.replace(F.regexp_extract("html", _RAW_TITLE, 1), F.lit("&amp;"), F.lit("&"))
+    return pages.select("page_id", F.trim(F.regexp_replace(written, r"[\t\n\f\r ]+", " ")).alias("title"))
+
+
 def _row() -> Column:
     """Tells pages apart: two rows with one id and one text are the same page."""
     return F.xxhash64("page_id", "url", "html").alias("row")

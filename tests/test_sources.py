@@ -83,3 +83,10 @@ def test_merge_by_batches(spark, tmp_path):
     fold(runs, 1)
     fold(runs, 1)
     assert [(r.runs, r.last_run_id) for r in spark.read.parquet(str(tmp_path / "t" / "v=1")).collect()] == [(6, 5)]
+
+
+def test_raw_titles(spark):
+    """References other than that of & stay, a title without an end is none, and a null page has no title."""
+    cases = [(1, "<TITLE a=1> A &quot;b&quot;\n &amp; c </title><title>x</title>"), (2, "<title>never"), (3, None), (4, "<p>"), (5, "<title>" * 20000)]
+    got = {r.page_id: r.title for r in pages.raw_titles(spark.createDataFrame([(i, "u", h) for i, h in cases], "page_id long, url string, html string")).collect()}
+    assert got == {1: "A &quot;b&quot; & c", 2: "", 3: None, 4: "", 5: ""}
