@@ -217,8 +217,9 @@ def hourly_histogram(articles: DataFrame, now: Column, hours: int = 48) -> DataF
 
 
 def recent_failures(events: DataFrame, minutes: int) -> DataFrame:
-    """Each event with the number of events of its key in the ``minutes`` up to it.  events: key, at, id."""
-    at = time.seconds(F.col("at"))
+    """Each event with the number of events of its key in the ``minutes`` up to it, times to the nearest second (halves to
+    the even one).  events: key, at, id."""
+    at = F.rint(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("at").cast("timestamp_ntz")) / 1e6).cast("long")
     w = Window.partitionBy("key").orderBy("s").rangeBetween(-60 * minutes, 0)
     return events.withColumn("s", at).withColumn("n", F.count("*").over(w)).drop("s")
 

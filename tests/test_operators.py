@@ -243,3 +243,16 @@ def test_story_graph(spark):
     nodes, edges = graph.story_graph(m, r, p)
     assert nodes.count() == 5 and edges.count() == 5
     assert rows(edges.where("directed").select("kind")) == [("post",), ("referencia_explicita",)]
+
+
+def test_failures_count_to_the_nearest_second(spark):
+    at = lambda s, us: datetime(2024, 1, 1, 0, 0, 0) + timedelta(seconds=s, microseconds=us)
+    e = spark.createDataFrame([(1, "k", at(0, 400000)), (2, "k", at(3600, 600000)), (3, "k", at(3600, 500000))], "id long, key string, at timestamp_ntz")
+    assert {r.id: r.n for r in metrics.recent_failures(e, 60).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+def test_due_sources_have_their_turns(spark):
+    s = spark.createDataFrame([(i, datetime(2024, 1, 1) + timedelta(minutes=i * 37 % 11) if i % 4 else None) for i in range(60)], "id long, last_fetch_at timestamp_ntz")
+    got = [r.id for r in metrics.in_turn(s.repartition(7)).orderBy("place").collect()]
+    assert got == sorted(range(60), key=lambda i: (i % 4 != 0, i * 37 % 11 if i % 4 else 0, i))
+    assert [r.place for r in metrics.in_turn(s).orderBy("place").collect()] == list(range(1, 61))
