@@ -318,3 +318,14 @@ def due(sources: DataFrame, now: Column) -> DataFrame:
     min_interval_seconds, and others, which stay."""
     over = time.seconds(F.col("last_fetch_at")) + F.col("min_interval_seconds") <= time.seconds(now)
     return sources.where(F.col("enabled") & F.coalesce(over, F.lit(True)))
+
+
+def in_turn(sources: DataFrame) -> DataFrame:
+    """The sources with their ``place``: those never fetched first, then the longest ago (ties: by id).  Ranges of the order
+    are numbered by themselves, after the sizes of the ranges before.  sources: id, last_fetch_at and others."""
+    order = [F.asc_nulls_first("last_fetch_at"), F.asc("id")]
+    ranged = kept(sources.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.withColumn("own", place).join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("own")).drop("range", "own", "before")
