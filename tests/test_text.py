@@ -129,3 +129,11 @@ def test_wilson_and_quantiles(spark):
 def test_feed_dates(spark, raw, at, day, precision):
     r = one(spark, time.feed_date, raw)
     assert (str(r.at) if r.at else None, str(r.day) if r.day else None, r.precision) == (at, day, precision)
+
+
+def test_counts_of_tokens(spark):
+    from plumewire.functions import text as X
+
+    cases = [(1, ["b", "a", "b", "", "b"]), (2, []), (3, None), (4, ["x"])]
+    got = {r.id: r.c and [tuple(x) for x in r.c] for r in spark.createDataFrame(cases, "id long, t array<string>").select("id", X.counts(F.col("t")).alias("c")).collect()}
+    assert got == {1: [("", 1), ("a", 1), ("b", 3)], 2: None, 3: None, 4: [("x", 1)]}
