@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from plumewire import plans
+from plumewire.functions import text as X
 from plumewire.operators import evaluation, graph, groups, headlines, merges, metrics, relations
 
 T0 = datetime(2026, 10, 14, 18)
@@ -256,3 +257,26 @@ def test_due_sources_have_their_turns(spark):
     got = [r.id for r in metrics.in_turn(s.repartition(7)).orderBy("place").collect()]
     assert got == sorted(range(60), key=lambda i: (i % 4 != 0, i * 37 % 11 if i % 4 else 0, i))
     assert [r.place for r in metrics.in_turn(s).orderBy("place").collect()] == list(range(1, 61))
+
+
+def test_counted_terms_are_not_grouped_again(spark):
+    docs = [(i, [f"w{i % 3}", "a", "a"][: i % 4]) for i in range(12)]
+    table = spark.createDataFrame(docs, "id long, words array<string>")
+    one = relations.tf_idf(table.select("id", F.explode("words").alias("term")), 12, None)
+    two = relations.tf_idf(table.select("id", F.inline(X.counts(F.col("words")))), 12, None)
+    assert one.count() and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_partitions_follow_the_rows(spark):
+    from plumewire.operators import shared
+
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        shared.dealt_finely(spark, 40 * shared.ROWS + 1)
+        assert spark.conf.get(names[0]) == "41"
+        shared.dealt_finely(spark, 5)
+        assert spark.conf.get(names[0]) == "41"
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
