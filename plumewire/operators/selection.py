@@ -118,12 +118,18 @@ def both_ends(relations: DataFrame, ids: DataFrame) -> DataFrame:
     return out
 
 
+def newest_of_pairs(analyses: DataFrame, *columns: str) -> DataFrame:
+    """low, high, newest: the newest good analysis of two articles as a struct of created_at, id and the columns; ties go to
+    the larger id.  analyses: id, a, b, status, created_at."""
+    good = analyses.where((F.col("status") == "ok") & F.col("a").isNotNull() & F.col("b").isNotNull())
+    return good.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.max(F.struct("created_at", "id", *columns)).alias("newest"))
+
+
 def latest_of_pairs(pairs: DataFrame, analyses: DataFrame) -> DataFrame:
     """Each pair (a, b) with the newest good analysis of its two articles, whichever came first there; null where there is
     none.  analyses: id, a, b, status, created_at; ties go to the larger id.  A pair with a null has none."""
     low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
-    good = analyses.where((F.col("status") == "ok") & F.col("a").isNotNull() & F.col("b").isNotNull())
-    newest = good.groupBy(low, high).agg(F.max_by("id", F.struct("created_at", "id")).alias("analysis_id"))
+    newest = newest_of_pairs(analyses).select("low", "high", F.col("newest.id").alias("analysis_id"))
     asked = pairs.where("a is not null and b is not null").select("a", "b").distinct().select("a", "b", low, high)
     return asked.join(newest, ["low", "high"], "left").select("a", "b", "analysis_id")
 

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import norm
+from ..functions.text import norm, once
 from ..functions.time import seconds
 from .common_source import common_sources
-from .selection import latest_of_pairs
+from .selection import newest_of_pairs
 from .shared import kept
 
 LEVELS = ["baja", "media", "alta"]
@@ -38,10 +38,11 @@ class Rules:
 
 
 def _articles(members: DataFrame) -> DataFrame:
-    """Active members without made-up ones, or all of them where a group has no others."""
+    """Active members without made-up ones, or all of them where a group has no others; only made-up ones are looked up."""
     demo = F.coalesce("is_demo", F.lit(False))
-    some_real = F.max((~demo).cast("int")).over(Window.partitionBy("group_id"))
-    return members.where("active and group_id is not null").withColumn("real", some_real).where((F.col("real") == 0) | ~demo).withColumn("is_syndicated", F.coalesce("is_syndicated", F.lit(False)))
+    active = members.where("active and group_id is not null").withColumn("is_syndicated", F.coalesce("is_syndicated", F.lit(False)))
+    real = active.where(~demo)
+    return real.unionByName(kept(active.where(demo).join(real.select("group_id"), "group_id", "left_anti")))
 
 
 def _told(arts: DataFrame, rules: Rules) -> DataFrame:
@@ -49,12 +50,12 @@ def _told(arts: DataFrame, rules: Rules) -> DataFrame:
     one = F.struct("id", "media_name", "origin_label", "author", "is_syndicated", "title", "url", F.when(timed | (F.col("published_precision") == "date"), F.col("published_at")).alias("published_at"), F.coalesce("published_precision", F.lit("none")).alias("precision"), "first_seen_at")
     seen = F.struct(F.col("first_seen_at").isNull().alias("undated"), "first_seen_at", "id")
     out = arts.groupBy("group_id").agg(
-        F.count("*").alias("notes"), F.array_sort(F.collect_set(F.when(own, F.col("media_id")))).alias("media_ids"), F.array_sort(F.collect_set(F.when(own, F.col("media_name")))).alias("media"),
+        F.count("*").alias("notes"), F.sort_array(F.collect_set(F.when(own, F.col("media_id")))).alias("media_ids"), F.sort_array(F.collect_set(F.when(own, F.col("media_name")))).alias("media"),
         F.bool_and(F.lower(F.coalesce("section", F.lit(""))).isin(*rules.excluded_sections)).alias("off_section") if rules.excluded_sections else F.lit(False).alias("off_section"),
-        F.array_sort(F.collect_list(F.struct(seen.alias("at"), one.alias("one")))).alias("articles"), F.count(F.when(timed, 1)).alias("timed"),
+        F.sort_array(F.collect_list(F.struct(seen.alias("at"), one.alias("one")))).alias("articles"), F.sort_array(F.collect_list(F.struct(seen.alias("at"), "title"))).alias("titles"), F.count(F.when(timed, 1)).alias("timed"),
         F.min_by(F.struct("id", "media_name", "first_seen_at"), seen).alias("first_detected"), F.min_by(F.struct("id", "media_name", "published_at"), F.when(timed, F.struct("published_at", "id"))).alias("first_published"),
     )
-    return out.withColumn("articles", F.transform("articles", lambda x: x["one"]))
+    return out.withColumns({"articles": F.col("articles.one"), "titles": F.array_join("titles.title", " ")})
 
 
 def _between_outlets(arts: DataFrame, relations: DataFrame, analyses: DataFrame, rules: Rules) -> DataFrame:
@@ -62,9 +63,9 @@ def _between_outlets(arts: DataFrame, relations: DataFrame, analyses: DataFrame,
     end = lambda s: arts.where("not is_syndicated").select("group_id", F.col("id").alias(s), F.col("media_id").alias(f"{s}_media"), F.col("media_name").alias(f"{s}_name"), F.col("first_seen_at").alias(f"{s}_seen"))
     held = relations.where(F.coalesce("review_status", F.lit("")) != "rechazada").withColumnRenamed("id", "relation_id").select("relation_id", "a", "b", "relation_type", "score", "review_status", "delta_seconds", "notes", "phrases", "rules")
     rel = held.join(end("a"), "a").join(end("b"), ["group_id", "b"]).where(~F.col("a_media").eqNullSafe(F.col("b_media")))
-    rel = kept(rel)
-    done = analyses.select(F.col("id").alias("analysis_id"), "focus", "flags", ((F.col("same_event") == "si") & (F.col("focus") == "similar") & (F.size(F.coalesce("flags", F.array().cast("array<string>"))) == 0)).alias("supported"))
-    rel = rel.join(latest_of_pairs(rel.select("a", "b"), analyses), ["a", "b"], "left").join(done, "analysis_id", "left")
+    done = newest_of_pairs(analyses, "same_event", "focus", "flags").select("low", "high", F.col("newest.id").alias("analysis_id"), "newest.same_event", "newest.focus", "newest.flags")
+    rel = rel.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(done, ["low", "high"], "left")
+    rel = rel.withColumn("supported", (F.col("same_event") == "si") & (F.col("focus") == "similar") & (F.size(F.coalesce("flags", F.array().cast("array<string>"))) == 0))
     known = F.col("delta_seconds").isNotNull()
     hours = F.abs(F.when(known, F.col("delta_seconds")).otherwise(seconds(F.col("b_seen")) - seconds(F.col("a_seen")))) / 3600
     near = (F.col("relation_type") == "mismo_hecho") & (hours <= rules.same_event_hours)
@@ -80,6 +81,17 @@ def _between_outlets(arts: DataFrame, relations: DataFrame, analyses: DataFrame,
     return rel.select("group_id", "relation_id", "a", "b", "relation_type", "score", "review_status", "rules", F.coalesce("phrases", F.array().cast("array<string>")).alias("phrases"), rank.alias("rank"), reason.alias("reason"), warned.alias("warned"), seen.alias("analysis"))
 
 
+def _found(rel: DataFrame) -> DataFrame:
+    """What a group's relations say, each thing by itself, so that only what is asked for is collected; lists of one thing
+    are in the order of the relations."""
+    listed = lambda test, *what: F.sort_array(F.collect_list(F.when(test, F.struct("relation_id", "a", "b", "relation_type", *what))))
+    best = F.struct((-F.col("score")).alias("key"), F.col("relation_id").alias("id"), "relation_type", "score", "review_status", "rules", "a", "b")
+    return rel.withColumn("score", F.coalesce("score", F.lit(0.0))).groupBy("group_id").agg(
+        F.count("*").alias("related"), F.max("rank").alias("rank"), listed(F.col("reason").isNotNull(), "rank", "reason").alias("asked"), listed(F.size("warned") > 0, "warned").alias("warned"), listed(F.size("phrases") > 0, "phrases").alias("said"),
+        F.collect_set(F.struct("relation_type")).alias("types"), F.sort_array(F.collect_list("analysis")).alias("analyses"), F.sort_array(F.collect_list(best)).alias("best"),
+    )
+
+
 def evaluate(groups: DataFrame, members: DataFrame, relations: DataFrame, analyses: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """A row for each group: ``skip``, why there is no alert (null if there is one), ``priority`` (place in ``LEVELS``) and
     ``level``, ``reasons``, ``warnings``, the evidence, and ``fingerprint``, which changes only with what matters.
@@ -87,45 +99,47 @@ def evaluate(groups: DataFrame, members: DataFrame, relations: DataFrame, analys
     The priority is the highest that a relation between two outlets' own articles asks for: a shared expression or title, a
     similar focus that the pair's newest analysis supports, the same event within some hours; else that of a shared topic.
     The first rule that a group fails gives ``skip``.  Everything listed is of one story, whose size ``groups.cluster``
-    bounds; relations are joined to their groups by both ends.
+    bounds; relations are joined to their groups by both ends.  The members are read several times: store them where they
+    are costly to make.
 
     groups: group_id, title, terms, phrases; members: group_id, id, active, media_id, media_name, title, subtitle, author,
     section, is_demo, is_syndicated, origin_label, url, published_at, published_precision, first_seen_at; relations: id, a,
     b, relation_type, score, review_status, delta_seconds, notes, phrases, rules; analyses: id, a, b, status, created_at,
     same_event, focus, flags.  Nulls count as empty; a null review is no rejection, a null flag is false."""
-    arts = kept(_articles(members))
-    rel = _between_outlets(arts, relations, analyses, rules)
-    found = rel.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("relation_id", "a", "b", "relation_type", F.coalesce("score", F.lit(0.0)).alias("score"), "review_status", "rules", "phrases", "rank", "reason", "warned", "analysis"))).alias("items"))
-    signs = common_sources(arts).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("kind", "n", "ids", "evidence"))).alias("sources"))
+    arts = _articles(members)
+    found = _found(_between_outlets(arts, relations, analyses, rules))
+    signs = common_sources(arts).groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("kind", "n", "ids", "evidence"))).alias("sources"))
     g = groups.select("group_id", F.col("title").alias("group_title"), F.col("terms").alias("group_terms"), F.col("phrases").alias("group_phrases"))
     x = g.join(_told(arts, rules), "group_id", "left").join(found, "group_id", "left").join(signs, "group_id", "left")
     none = F.array().cast("array<string>")
-    x = x.withColumns({"items": F.coalesce("items", F.array().cast(found.schema["items"].dataType)), "sources": F.coalesce("sources", F.array().cast(signs.schema["sources"].dataType)), "media_ids": F.coalesce("media_ids", F.array()), "group_terms": F.coalesce("group_terms", none), "group_phrases": F.coalesce("group_phrases", none)})
+    empty = {n: F.coalesce(n, F.array().cast(found.schema[n].dataType)) for n in ("asked", "warned", "said", "types", "analyses", "best")}
+    x = x.withColumns(empty | {"sources": F.coalesce("sources", F.array().cast(signs.schema["sources"].dataType)), "media_ids": F.coalesce("media_ids", F.array()), "group_terms": F.coalesce("group_terms", none), "group_phrases": F.coalesce("group_phrases", none)})
     x = x.withColumns({
-        "priority": F.greatest(F.lit(rules.shared_topic), F.coalesce(F.array_max(F.transform("items", lambda i: i["rank"])), F.lit(rules.shared_topic))),
-        "warnings": F.array_distinct(F.flatten(F.transform("items", lambda i: i["warned"]))), "phrases": F.array_distinct(F.concat(F.flatten(F.transform("items", lambda i: i["phrases"])), "group_phrases")),
-        "types": F.array_sort(F.array_distinct(F.transform("items", lambda i: i["relation_type"]))), "analyses": F.array_sort(F.filter(F.transform("items", lambda i: i["analysis"]), lambda a: a.isNotNull())),
-        "said": norm(F.concat_ws(" ", "group_title", F.array_join("group_terms", " "), F.array_join("group_phrases", " "), F.array_join(F.transform("articles", lambda a: a["title"]), " "))),
+        "priority": F.greatest(F.lit(rules.shared_topic), F.coalesce("rank", F.lit(rules.shared_topic))), "warnings": F.array_distinct(F.flatten("warned.warned")), "phrases": F.array_distinct(F.concat(F.flatten("said.phrases"), "group_phrases")),
+        "types": F.array_sort("types.relation_type"),
     })
-    asked = F.transform(F.filter("items", lambda i: i["rank"] == F.col("priority")), lambda i: i["reason"])
+    asked = F.transform(F.filter("asked", lambda i: i["rank"] == F.col("priority")), lambda i: i["reason"])
     reasons = F.array_distinct(F.concat(F.when(F.col("priority") == rules.shared_topic, F.array(F.lit(TOPIC))).otherwise(none), asked))
-    best = F.transform("items", lambda i: F.struct((-i["score"]).alias("key"), i["relation_id"].alias("id"), i["relation_type"].alias("relation_type"), i["score"].alias("score"), i["review_status"].alias("review_status"), i["rules"].alias("rules"), i["a"].alias("a"), i["b"].alias("b")))
     first5 = F.array_sort(F.slice("phrases", 1, 5))
     kinds = F.transform("sources", lambda s: s["kind"])
     matters = F.struct("media_ids", "priority", "types", first5.alias("phrases"), kinds.alias("sources"), (F.size("warnings") > 0).alias("warned"), "analyses")
     return x.select(
         "group_id", _skip(rules).alias("skip"), "priority", F.get(F.array(*map(F.lit, LEVELS)), F.col("priority")).alias("level"), F.concat(reasons, F.when(F.size("warnings") > 0, F.array(F.lit(CAREFUL))).otherwise(none)).alias("reasons"), "warnings",
-        F.slice("phrases", 1, 8).alias("phrases"), F.slice("group_terms", 1, 8).alias("terms"), F.transform(F.slice(F.array_sort(best), 1, 20), lambda i: i.dropFields("key")).alias("relations"), "articles", F.coalesce("notes", F.lit(0)).alias("notes"), "media_ids", "media", "types", "sources", "analyses",
+        F.slice("phrases", 1, 8).alias("phrases"), F.slice("group_terms", 1, 8).alias("terms"), F.transform(F.slice("best", 1, 20), lambda i: i.dropFields("key")).alias("relations"), "articles", F.coalesce("notes", F.lit(0)).alias("notes"), "media_ids", "media", "types", "sources", "analyses",
         "first_detected", "first_published", F.coalesce("timed", F.lit(0)).alias("timed"), matters.alias("material"), F.sha2(F.to_json(matters), 256).alias("fingerprint"),
     )
 
 
 def _skip(rules: Rules) -> Column:
+    """The words of a story are made plain only where no earlier rule has spoken, and once for all terms."""
     out = F.when(F.coalesce("notes", F.lit(0)) < 2, "menos de dos notas").when(F.size("media_ids") < rules.least_media, "menos medios independientes que el mínimo").when(F.col("off_section"), "sección excluida")
-    for term in rules.excluded_terms:
-        if term.strip():
-            out = out.when(F.contains("said", norm(F.lit(term))), f"término excluido: {term}")
-    return out.when(F.size("items") == 0, "sin relaciones entre medios independientes").when(F.col("priority") < rules.least_priority, "prioridad menor que la mínima configurada")
+    last = F.when(F.coalesce("related", F.lit(0)) == 0, "sin relaciones entre medios independientes").when(F.col("priority") < rules.least_priority, "prioridad menor que la mínima configurada")
+    terms = [t for t in rules.excluded_terms if t.strip()]
+    if not terms:
+        return out.otherwise(last)
+    told = norm(F.concat_ws(" ", "group_title", F.array_join("group_terms", " "), F.array_join("group_phrases", " "), "titles"))
+    named = once(told, lambda said: F.coalesce(*(F.when(F.contains(said, norm(F.lit(t))), f"término excluido: {t}") for t in terms)))
+    return out.otherwise(F.coalesce(named, last))
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:

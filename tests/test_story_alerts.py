@@ -119,3 +119,26 @@ def test_changes(spark):
     assert told(said(base, rel, [(5, 12, 11, "ok", T0, "no", "similar", None)])) == ["analyses"]
     old.unpersist()
     assert S.changes(old.limit(0), old).count() == 0 and old.select(F.col("skip").isNull()).first()[0]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_what_is_asked_for_is_collected(spark, small):
+    from plumewire import plans
+
+    members = [member(g, g * 10 + k, k) for g in range(3) for k in range(3)]
+    rel = [(g, g * 10, g * 10 + 1, "mismo_hecho", 0.5, None, 3600, None, ["p"], None) for g in range(3)]
+    done = [(1, 1, 0, "ok", T0, "si", "similar", None)] * 2
+    x = S.evaluate(*frames(spark, [(g, "t", None, None) for g in range(3)], members, rel, done), S.Rules(excluded_terms=("Prohibida",)))
+    told = plan(x.select("group_id", "skip", "priority", "warnings"))
+    assert told.count("Exchange hashpartitioning") <= 9 and "origin_label, origin_label" not in told and "collect_list(struct(key" not in told
+    assert [(r.group_id, len(r.relations), r.level) for r in x.orderBy("group_id").collect()] == [(0, 1, "alta"), (1, 1, "media"), (2, 1, "media")]  # a row of an analysis twice is one analysis
+    assert "lineitem" not in plan(plans.QUERIES["evaluated_stories"](spark, small))  # the members are made once
+
+
+def test_made_up_articles_where_there_are_no_others(spark):
+    members = [member(1, 11, 1, demo=True), member(1, 12, 2, demo=True), member(2, 21, 1), member(2, 22, 2, demo=True), member(3, 31, 1), member(3, 32, 2, demo=True), member(3, 33, 3, active=False)]
+    got = S.evaluate(*frames(spark, [(g, None, None, None) for g in (1, 2, 3)], members, [(1, 11, 12, "mismo_tema", None, None, None, None, None, None)], []))
+    assert {r.group_id: (r.skip, [a.id for a in r.articles]) for r in got.collect()} == {1: (None, [11, 12]), 2: ("menos de dos notas", [21]), 3: ("menos de dos notas", [31])}
