@@ -137,3 +137,17 @@ def test_counts_of_tokens(spark):
     cases = [(1, ["b", "a", "b", "", "b"]), (2, []), (3, None), (4, ["x"])]
     got = {r.id: r.c and [tuple(x) for x in r.c] for r in spark.createDataFrame(cases, "id long, t array<string>").select("id", X.counts(F.col("t")).alias("c")).collect()}
     assert got == {1: [("", 1), ("a", 1), ("b", 3)], 2: None, 3: None, 4: [("x", 1)]}
+
+
+def test_phrases_judge_each_word_once(spark):
+    """Formulas and stop words as before; a phrase is not split again for its words."""
+    from plumewire.functions import lexicon as L
+
+    words = "lo que hay que saber del dolar blue en alza por 3 paritaria docente minuto a minuto".split()
+    tells = lambda w: w not in L.STOPWORDS and w not in L.DATE_WORDS and not w[0].isdigit() and len(w) > 2
+    runs = [words[i : i + n] for n in range(3, 7) for i in range(len(words) - n + 1)]
+    runs = [r for r in runs if r[0] not in L.STOPWORDS and r[-1] not in L.STOPWORDS and sum(map(tells, r)) >= 2]
+    want = sorted({" ".join(r) for r in runs if not any(b in " ".join(r) for b in L.BOILERPLATE)})
+    assert len(want) > 3 and one(spark, text.phrase_ngrams, " ".join(words)) == want
+    assert one(spark, text.phrase_ngrams, "dolar blue") == [] and one(spark, text.phrase_ngrams, None) == []
+    assert "split(" not in str(text.phrase_ngrams(F.col("c")))
